@@ -7,11 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from scholia.functions.text import let
 from scholia.vocab import AUTHOR_CHAR_SIMILARITY, AUTHOR_MIN_DISTINCT_CHARS
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_nfc(names: pd.Series) -> pd.Series:
     """Unicode composition, which Spark has no built-in for."""
     return names.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
@@ -38,17 +40,24 @@ def authors_match(left: Column, right: Column) -> Column:
     The character count runs over the left name with repeats, so the predicate
     is not symmetric.
     """
-    a, b = fold_author(left), fold_author(right)
-    a_last, b_last = F.replace(a, F.lit(",")), F.replace(b, F.lit(","))
-    chars_a, chars_b = _characters(a_last), _characters(b_last)
-    kinds_a, kinds_b = F.size(F.array_distinct(chars_a)), F.size(F.array_distinct(chars_b))
-    common = F.size(F.filter(chars_a, lambda c: F.contains(b_last, c)))
-    similar = (
+    present = (F.coalesce(left, F.lit("")) != "") & (F.coalesce(right, F.lit("")) != "")
+    folded = F.struct(fold_author(left).alias("a"), fold_author(right).alias("b"))
+    return F.coalesce(present & let(folded, _alike), F.lit(False))
+
+
+def _alike(n: Column) -> Column:
+    surnames = F.struct(
+        _characters(F.replace(n.a, F.lit(","))).alias("a"),
+        _characters(F.replace(n.b, F.lit(","))).alias("b"),
+    )
+    return F.contains(n.b, n.a) | F.contains(n.a, n.b) | let(surnames, _similar)
+
+
+def _similar(c: Column) -> Column:
+    kinds_a, kinds_b = F.size(F.array_distinct(c.a)), F.size(F.array_distinct(c.b))
+    common = F.size(F.filter(c.a, lambda x: F.array_contains(c.b, x)))
+    return (
         (kinds_a >= AUTHOR_MIN_DISTINCT_CHARS)
         & (kinds_b >= AUTHOR_MIN_DISTINCT_CHARS)
         & (common / F.greatest(kinds_a, kinds_b) >= AUTHOR_CHAR_SIMILARITY)
     )
-    present = (F.coalesce(left, F.lit("")) != "") & (F.coalesce(right, F.lit("")) != "")
-    return F.coalesce(
-        present & (F.contains(b, a) | F.contains(a, b) | similar), F.lit(False)
-    )

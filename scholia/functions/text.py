@@ -13,6 +13,15 @@ SPACE = r"[\s\p{Z}]"
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once.
+
+    A lambda variable is evaluated once per row, and the expression stays small
+    when the optimizer copies it into a pushed-down filter.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
@@ -58,17 +67,18 @@ def title_tokens(col: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two token arrays, 0 when either is empty."""
-    both = F.size(F.array_intersect(a, b)).cast("double")
+    shared = F.size(F.array_intersect(a, b)).cast("double")
     return F.when(
-        (F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b))
+        (F.size(a) > 0) & (F.size(b) > 0),
+        let(shared, lambda n: n / (F.size(a) + F.size(b) - n)),
     ).otherwise(F.lit(0.0))
 
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the title words of two strings."""
-    return jaccard(
-        title_tokens(F.coalesce(a, F.lit(""))), title_tokens(F.coalesce(b, F.lit("")))
-    )
+    left = title_tokens(F.coalesce(a, F.lit("")))
+    right = title_tokens(F.coalesce(b, F.lit("")))
+    return let(F.struct(left.alias("l"), right.alias("r")), lambda t: jaccard(t.l, t.r))
 
 
 def doi_to_file(doi: Column) -> Column:

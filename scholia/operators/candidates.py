@@ -7,20 +7,27 @@ pairs have to be looked at at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.chunked import chunked_join, first_n
 from scholia.functions.text import first_of
+from scholia.session import cut_lineage
 
 
-def _by_rarity(sets: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """Adds ``ranked``: the counted tokens of each set, rarest first."""
+def set_key(tokens: Column) -> Column:
+    """Short key of a token set, the same for every order of its tokens."""
+    return F.md5(F.array_join(F.sort_array(tokens), "\u0000"))
+
+
+def _by_rarity(sets: DataFrame, key: str, tokens: str, counts: DataFrame) -> DataFrame:
+    """``(key, ranked)``: the counted tokens of each set, rarest first."""
+    rare_first = F.array_sort(F.collect_list(F.struct("df", "token")))
     return (
-        sets.select(key, F.explode(key).alias("token"))
+        sets.select(key, F.explode(tokens).alias("token"))
         .join(counts, "token")
         .groupBy(key)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda t: t.token).alias("ranked"))
+        .agg(F.transform(rare_first, lambda t: t.token).alias("ranked"))
     )
 
 
@@ -28,7 +35,8 @@ def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = 32) -
     """The n items sharing most tokens with each query token set.
 
     ``queries(q)`` and ``items(item, tokens)`` hold arrays of distinct tokens;
-    the result is ``(q, item, overlap, rank)`` ordered by overlap, then item.
+    the result is ``(q, item, overlap, rank)`` ordered by overlap, then item,
+    where ``q`` is the :func:`set_key` of the query.
 
     Why a part of the posting lists is enough:
 
@@ -40,53 +48,50 @@ def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = 32) -
     * A better item shares at least max(s, 2) of the m query tokens, hence one
       of the m - max(s, 2) + 1 rarest; the lists of the others are not read.
     """
-    wanted = queries.select(F.sort_array("q").alias("q")).distinct().filter(F.size("q") > 0)
-    items = first_n(
-        items.select("item", F.sort_array("tokens").alias("tokens")), ["tokens"], ["item"], n
-    )
+    wanted = queries.select(set_key(F.col("q")).alias("id"), "q").groupBy("id").agg(F.any_value("q").alias("q"))
+    sets = items.select("item", "tokens", set_key(F.col("tokens")).alias("_set"))
+    items = first_n(sets, ["_set"], ["item"], n).drop("_set")
     postings = items.select("item", "tokens", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = _by_rarity(wanted, "q", counts)
+    ranked = cut_lineage(_by_rarity(wanted, "id", "q", counts))
     overlap = F.size(F.array_intersect("ranked", "tokens"))
 
     # short lists: the n smallest items of every token, all items of rare tokens
     bound = max(n, small)
     heads = first_n(postings, ["token"], ["item"], bound)
     near = (
-        ranked.select("q", "ranked", F.explode("ranked").alias("token"))
+        ranked.select("id", "ranked", F.explode("ranked").alias("token"))
         .join(heads, "token")
-        .groupBy("q", "item")
-        .agg(F.max(overlap).alias("overlap"))
+        .select("id", "item", overlap.alias("overlap"))
+        .groupBy("id", "item")
+        .agg(F.max("overlap").alias("overlap"))
     )
-    near = first_n(near, ["q"], [F.desc("overlap"), "item"], n)
-    floor = near.groupBy("q").agg(
+    near = cut_lineage(first_n(near, ["id"], [F.desc("overlap"), "item"], n))
+    floor = near.groupBy("id").agg(
         F.when(F.count("*") == n, F.min("overlap")).otherwise(0).alias("floor")
     )
 
     # long lists: only as many of the rarest tokens as the bound leaves open
     need = F.greatest(F.col("floor"), F.lit(2))
+    length = F.greatest(F.size("ranked") - need + 1, F.lit(0))
     probes = (
-        ranked.join(floor, "q")
-        .withColumn("open", F.slice("ranked", 1, F.greatest(F.size("ranked") - need + 1, F.lit(0))))
+        ranked.join(floor, "id")
+        .withColumn("open", F.slice("ranked", F.lit(1), length))
         .filter(F.size("open") > 0)
-        .select("q", "ranked", "open", need.alias("need"), F.explode("open").alias("token"))
+        .select("id", "ranked", "open", need.alias("need"), F.explode("open").alias("token"))
     )
     long_lists = counts.filter(F.col("df") > bound).select("token")
     far = chunked_join(
-        probes.join(long_lists, "token"),
-        postings.join(long_lists, "token"),
-        "token",
-        "q",
-        "item",
-    )
-    far = far.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
-    # a pair meets once per shared token; near and far may repeat a pair too
-    far = first_n(
-        far.filter(_first_shared("open", "tokens", "token")).select("q", "item", "overlap"),
-        ["q"], [F.desc("overlap"), "item"], n,
+        probes.join(long_lists, "token"), postings.join(long_lists, "token"), "token", "id", "item"
     )
+    far = far.filter(_first_shared("open", "tokens", "token"))
+    far = far.select("id", "item", "need", overlap.alias("overlap")).filter(F.col("overlap") >= F.col("need"))
+    far = first_n(far.select("id", "item", "overlap"), ["id"], [F.desc("overlap"), "item"], n)
+    # a pair may be in both parts
     both = near.unionByName(far).distinct()
-    return _ranked(both, n)
+    w = Window.partitionBy("id").orderBy(F.desc("overlap"), "item")
+    best = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return best.withColumnRenamed("id", "q")
 
 
 def _first_shared(prefix: str, tokens: str, token: str) -> Column:
@@ -94,45 +99,42 @@ def _first_shared(prefix: str, tokens: str, token: str) -> Column:
     return first_of(F.array_intersect(prefix, tokens)) == F.col(token)
 
 
-def _ranked(pairs: DataFrame, n: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("q").orderBy(F.desc("overlap"), "item")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-
-
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """All pairs of distinct token sets with Jaccard similarity >= threshold.
 
     ``left(l)`` and ``right(r)`` hold arrays of distinct tokens; the result is
-    ``(l, r, similarity)``.  Two sets that reach the threshold share one of
+    ``(l, r, similarity)`` of their :func:`set_key` values.  Two sets that reach the threshold share one of
     their rarest ``size - ceil(threshold * size) + 1`` tokens, so only these
     prefixes are joined, and only sets of comparable size are verified.
     """
-    left = left.select(F.sort_array("l").alias("l")).distinct().filter(F.size("l") > 0)
-    right = right.select(F.sort_array("r").alias("r")).distinct().filter(F.size("r") > 0)
+    left, right = _distinct_sets(left, "l"), _distinct_sets(right, "r")
     counts = (
-        left.select(F.explode("l").alias("token"))
-        .unionByName(right.select(F.explode("r").alias("token")))
+        left.select(F.explode("l_tokens").alias("token"))
+        .unionByName(right.select(F.explode("r_tokens").alias("token")))
         .groupBy("token")
         .agg(F.count("*").alias("df"))
     )
 
     def prefixes(sets: DataFrame, key: str) -> DataFrame:
-        ranked = _by_rarity(sets, key, counts)
+        ranked = _by_rarity(sets, key, f"{key}_tokens", counts)
         size = F.size("ranked")
         length = size - F.ceil(F.round(size * F.lit(threshold), 9)).cast("int") + 1
         ranked = ranked.withColumn(f"{key}_open", F.slice("ranked", F.lit(1), length))
-        return ranked.select(key, f"{key}_open", F.explode(f"{key}_open").alias("token"))
+        ranked = ranked.withColumnRenamed("ranked", f"{key}_all")
+        return ranked.select(key, f"{key}_all", f"{key}_open", F.explode(f"{key}_open").alias("token"))
 
     pairs = chunked_join(prefixes(left, "l"), prefixes(right, "r"), "token", "l", "r")
-    sizes = (F.size("r") >= F.size("l") * threshold - 1e-9) & (
-        F.size("l") >= F.size("r") * threshold - 1e-9
-    )
-    shared = F.size(F.array_intersect("l", "r")).cast("double")
-    similarity = shared / (F.size("l") + F.size("r") - shared)
+    l_size, r_size = F.size("l_all"), F.size("r_all")
+    comparable = (r_size >= l_size * threshold - 1e-9) & (l_size >= r_size * threshold - 1e-9)
+    shared = F.size(F.array_intersect("l_all", "r_all")).cast("double")
+    similarity = shared / (l_size + r_size - shared)
     return (
-        pairs.filter(sizes & _first_shared("l_open", "r_open", "token"))
+        pairs.filter(comparable & _first_shared("l_open", "r_open", "token"))
         .select("l", "r", similarity.alias("similarity"))
         .filter(F.col("similarity") >= threshold)
     )
+
+
+def _distinct_sets(df: DataFrame, side: str) -> DataFrame:
+    keyed = df.select(set_key(F.col(side)).alias("_id"), side).filter(F.size(side) > 0)
+    return keyed.groupBy("_id").agg(F.any_value(side).alias(f"{side}_tokens")).withColumnRenamed("_id", side)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.text import doi_to_file, file_to_doi, first_of, strip_supplement
+from scholia.functions.text import doi_to_file, file_to_doi, first_of, let, strip_supplement
 from scholia.vocab import FILENAME_COMMON_WORDS
 
 
@@ -83,50 +83,66 @@ def filename_clues(df: DataFrame, name: str) -> DataFrame:
 
     Everything is done on arrays inside the row, so no shuffle is needed.
     """
-    common = F.array(*[F.lit(w) for w in FILENAME_COMMON_WORDS])
     stem = F.regexp_replace(F.col(name), r"(?i)\.pdf$", "")
-    parts = F.split(stem, r"[_\s]+")
     pieces = F.flatten(
-        F.transform(parts, lambda p: F.split(p, r"(?<=[A-Za-z])-(?=\d)|(?<=\d)-(?=[A-Za-z])"))
+        F.transform(
+            F.split(stem, r"[_\s]+"),
+            lambda p: F.split(p, r"(?<=[A-Za-z])-(?=\d)|(?<=\d)-(?=[A-Za-z])"),
+        )
     )
-    df = df.withColumn("segments", F.filter(pieces, lambda s: s != ""))
+    clues = let(F.filter(pieces, lambda s: s != ""), _clues_of_segments)
+    return df.withColumn("_c", clues).select(*df.columns, "_c.*")
 
-    is_number = lambda s: s.rlike(r"^\p{Nd}+$")
-    plain = lambda s: ~is_number(s) & ~F.array_contains(common, F.lower(s))
+
+def _clues_of_segments(segments: Column) -> Column:
+    common = F.array(*[F.lit(w) for w in FILENAME_COMMON_WORDS])
     marked = F.transform(
-        "segments",
+        segments,
         lambda s, i: F.struct(
-            i.alias("i"), s.alias("s"), s.rlike(r"^(?:19|20)\d{2}$").alias("y"), plain(s).alias("p")
+            i.alias("i"),
+            s.alias("s"),
+            s.rlike(r"^(?:19|20)\d{2}$").alias("is_year"),
+            (~s.rlike(r"^\p{Nd}+$") & ~F.array_contains(common, F.lower(s))).alias("is_word"),
         ),
     )
-    df = df.withColumn("_m", marked).withColumn("_y", first_of(F.filter("_m", lambda m: m.y)))
-    name_like = F.filter("_m", lambda m: m.p & (F.length(m.s) >= 2))
-    df = df.withColumn("_n", name_like)
-    year_at, size = F.col("_y.i"), F.size("segments")
-    before = first_of(F.filter("_n", lambda m: m.i < year_at))
-    after = first_of(F.filter("_n", lambda m: (m.i > year_at) & (m.i + 1 < size)))
-    author = F.when(F.col("_y").isNotNull(), F.coalesce(before, after)).otherwise(first_of(F.col("_n")))
-    df = df.withColumn("_a", author)
-    df = df.withColumn("author", F.coalesce(F.col("_a.s"), F.lit("")))
-    df = df.withColumn("year", F.col("_y.s").cast("int"))
-    folded = F.lower("author")
-    hyphen_parts = F.when(F.contains("author", F.lit("-")), F.split(folded, "-")).otherwise(
-        F.array().cast("array<string>")
-    )
-    keep = F.filter(
-        "_m",
-        lambda m: m.p
-        & (m.i != F.coalesce(F.col("_y.i"), F.lit(-1)))
-        & (m.i != F.coalesce(F.col("_a.i"), F.lit(-1)))
-        & (F.lower(m.s) != folded)
-        & ~F.array_contains(hyphen_parts, F.lower(m.s)),
-    )
-    df = df.withColumn("keywords", F.transform(keep, lambda m: m.s))
-    has_year = F.col("year").isNotNull()
-    confidence = (
-        F.when(has_year, 0.3).otherwise(0.0)
-        + F.when(F.col("author") != "", 0.3).otherwise(0.0)
-        + F.when(has_year & (size >= 3), 0.2).otherwise(0.0)
-        + F.when(size >= 2, 0.2).otherwise(0.0)
-    )
-    return df.withColumn("confidence", F.least(F.round(confidence, 2), F.lit(1.0))).drop("_m", "_y", "_n", "_a")
+
+    def with_year(m: Column) -> Column:
+        year = first_of(F.filter(m, lambda x: x.is_year))
+        return let(F.struct(m.alias("m"), year.alias("year")), with_author)
+
+    def with_author(v: Column) -> Column:
+        named = F.filter(v.m, lambda x: x.is_word & (F.length(x.s) >= 2))
+        before = first_of(F.filter(named, lambda x: x.i < v.year.i))
+        after = first_of(F.filter(named, lambda x: (x.i > v.year.i) & (x.i + 1 < F.size(v.m))))
+        author = F.when(v.year.isNotNull(), F.coalesce(before, after)).otherwise(first_of(named))
+        return let(
+            F.struct(v.m.alias("m"), v.year.alias("year"), author.alias("author")), finished
+        )
+
+    def finished(v: Column) -> Column:
+        author = F.coalesce(v.author.s, F.lit(""))
+        hyphen_parts = F.when(F.contains(author, F.lit("-")), F.split(F.lower(author), "-"))
+        kept = F.filter(
+            v.m,
+            lambda x: x.is_word
+            & (x.i != F.coalesce(v.year.i, F.lit(-1)))
+            & (x.i != F.coalesce(v.author.i, F.lit(-1)))
+            & (F.lower(x.s) != F.lower(author))
+            & ~F.coalesce(F.array_contains(hyphen_parts, F.lower(x.s)), F.lit(False)),
+        )
+        has_year, size = v.year.isNotNull(), F.size(v.m)
+        confidence = (
+            F.when(has_year, 0.3).otherwise(0.0)
+            + F.when(author != "", 0.3).otherwise(0.0)
+            + F.when(has_year & (size >= 3), 0.2).otherwise(0.0)
+            + F.when(size >= 2, 0.2).otherwise(0.0)
+        )
+        return F.struct(
+            author.alias("author"),
+            v.year.s.cast("int").alias("year"),
+            F.transform(kept, lambda x: x.s).alias("keywords"),
+            segments.alias("segments"),
+            F.least(F.round(confidence, 2), F.lit(1.0)).alias("confidence"),
+        )
+
+    return let(marked, with_year)

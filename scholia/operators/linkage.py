@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.names import authors_match
 from scholia.functions.text import SPACE, last_of, strip_supplement, words
-from scholia.operators.candidates import similar_sets, top_overlap
+from scholia.operators.candidates import set_key, similar_sets, top_overlap
 from scholia.vocab import (
     AUTO_SCORE, BEST_AUTHOR_BONUS, BEST_YEAR_EXACT_BONUS, BEST_YEAR_NEAR_BONUS,
     CACHE_VERSION, CLUE_AUTHOR_POINTS, CLUE_CANDIDATES, CLUE_KEYWORD_POINTS,
@@ -23,7 +23,7 @@ from scholia.vocab import (
 def _attach(entries: DataFrame, tokens: Column, found: DataFrame) -> DataFrame:
     """Joins the search result of a token set back to the entries that have it."""
     return (
-        entries.withColumn("_q", F.sort_array(tokens))
+        entries.withColumn("_q", set_key(tokens))
         .join(found.withColumnRenamed("q", "_q"), "_q")
         .drop("_q")
         .withColumnRenamed("item", "doi")
@@ -166,7 +166,7 @@ def similarity_join(
     pairs = similar_sets(left.select(left_tokens.alias("l")), right.select(right_tokens.alias("r")), threshold)
 
     def members(df: DataFrame, tokens: Column, key: str, side: str, name: str) -> DataFrame:
-        return df.groupBy(F.sort_array(tokens).alias(side)).agg(
+        return df.groupBy(set_key(tokens).alias(side)).agg(
             F.min(key).alias(f"{name}_id"), F.count("*").alias(f"{name}_rows")
         )
 
@@ -181,8 +181,8 @@ def expand_pairs(
     left_tokens: Column, right_tokens: Column, left_id: str, right_id: str,
 ) -> DataFrame:
     """Row pairs behind the set pairs of :func:`similarity_join`."""
-    lhs = left.select(F.col(left_id), F.sort_array(left_tokens).alias("l"))
-    rhs = right.select(F.col(right_id), F.sort_array(right_tokens).alias("r"))
+    lhs = left.select(F.col(left_id), set_key(left_tokens).alias("l"))
+    rhs = right.select(F.col(right_id), set_key(right_tokens).alias("r"))
     return pairs.select("l", "r", "similarity").join(lhs, "l").join(rhs, "r").drop("l", "r")
 
 
@@ -295,7 +295,12 @@ def cascade(stages: list[DataFrame], key: str) -> DataFrame:
     rest = F.struct(*[c for c in rows.columns if c != key])
     hit = F.col("cr_doi").isNotNull()
     order = F.when(hit, F.col("stage")).otherwise(F.lit(1000) - F.col("stage"))
-    return rows.groupBy(key).agg(F.min_by(rest, order).alias("_row")).select(key, "_row.*")
+    return (
+        rows.groupBy(key)
+        .agg(F.min_by(rest, order).alias("_row"))
+        .select(key, "_row.*")
+        .drop("stage")
+    )
 
 
 def clue_stage(clues: DataFrame, works: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.text import contains_any, first_of, last_of, lines, starts_with_any, strip
+from scholia.functions.text import contains_any, first_of, last_of, let, lines, starts_with_any, strip
 from scholia.vocab import (
     FRONT_MATTER, MIN_TITLE_CHARS, PLAIN_TITLE_PREFIXES, SCORED_TITLE_PREFIXES, TITLE_HINTS,
 )
@@ -52,7 +52,11 @@ def scored_title(text: Column) -> Column:
         ),
     )
     parts = F.filter(parts, lambda p: F.length(p.line) >= MIN_TITLE_CHARS)
-    heading = first_of(F.filter(parts, lambda p: p.heading))
-    hinted = last_of(F.filter(parts, lambda p: p.hint))
-    best = F.coalesce(heading, hinted, first_of(parts))
-    return best["line"]
+    return let(
+        parts,
+        lambda ps: F.coalesce(
+            first_of(F.filter(ps, lambda p: p.heading)),
+            last_of(F.filter(ps, lambda p: p.hint)),
+            first_of(ps),
+        )["line"],
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators import linkage
 from scholia.operators.identifiers import filename_clues
+from scholia.session import cut_lineage
 
 KEY = "pdf_name"
 
@@ -54,9 +55,10 @@ def identify(
     """
     kind = linkage.entry_class(F.col("json_title"), F.col("json_author"))
     entries = entries.withColumn("entry_class", kind)
-    direct = direct_stage(entries, works, key)
+    # every stage is kept, so that a later one does not repeat it
+    direct = cut_lineage(direct_stage(entries, works, key))
     left = linkage.unmatched(entries, direct, key)
-    clue = linkage.clue_stage(filename_clues(left.select(key, KEY), KEY), works, key)
+    clue = cut_lineage(linkage.clue_stage(filename_clues(left.select(key, KEY), KEY), works, key))
     rest = linkage.unmatched(left, direct.unionByName(clue, allowMissingColumns=True), key)
     text = text_stage(rest, works, key, text_title)
     results = linkage.cascade([direct, clue, text], key)

@@ -12,6 +12,7 @@ from scholia.operators.titles import scored_title
 from scholia.plans.identify import direct_stage, identify
 from scholia.plans.match import match_status
 from scholia.queries import duck, query
+from scholia.queries.texts import scored_titles
 
 # --- shared check SQL ---------------------------------------------------------
 
@@ -324,7 +325,7 @@ def apply_manual(t):
 
 
 SECONDARY = """
-sec AS (SELECT w.doi, CASE WHEN e.event_id % 4 = 0 THEN w.title WHEN e.event_id % 4 = 1 THEN '' ELSE w.title || ' ' || x.event_type || ' draft notes' END AS title
+sec AS (SELECT w.doi, CASE WHEN e.event_id % 4 = 0 THEN w.title WHEN e.event_id % 4 = 1 THEN '' ELSE w.title || ' ' || x.prompt_name || ' draft notes' END AS title
   FROM events e JOIN f_extractions x USING (event_id) JOIN f_works w ON w.doc_id = e.event_id % 200)"""
 
 
@@ -398,7 +399,8 @@ def dual_channel(t):
 
 
 @query("q_match_status", "f_page_titles f_works", f"""
-WITH docs AS (SELECT page_id, {{scored}} AS title, CASE page_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS second_ok FROM f_page_titles),
+WITH {scored_titles("f_page_titles", "page_id", "title").strip()},
+docs AS (SELECT p.page_id, s.scored_title AS title, CASE p.page_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS second_ok FROM f_page_titles p LEFT JOIN scored s USING (page_id)),
 dt AS (SELECT * FROM docs WHERE title IS NOT NULL),
 {top_titles("c", "dt", "page_id", "title").strip()},
 {best_of("b", "c", "page_id", "''", "NULL::INTEGER").strip()},
@@ -411,9 +413,7 @@ SELECT page_id, title, status, CASE WHEN status = 'matched' THEN bdoi END AS doi
   CASE WHEN status = 'matched' THEN bt END AS canonical_title, CASE WHEN bdoi IS NOT NULL THEN round(sim, 3) END::DOUBLE AS title_sim,
   CASE WHEN status = 'matched' AND known THEN second_ok END AS second_ok,
   CASE WHEN status = 'no_confidence' THEN bdoi END AS nearest_doi, CASE WHEN status = 'no_confidence' THEN bt END AS nearest_title
-FROM s""".replace("{scored}", r"""CASE WHEN length(title) < 15 THEN NULL
-  WHEN regexp_matches(lower(title), '^(abstract|introduction|received|accepted|published|doi:|doi |journal|volume|page|copyright|corresponding|author|keywords|available|chapter|references|acm|ccs concepts|additional key|index terms|part|editor|foreword|preface|content)') THEN NULL
-  ELSE title END"""))
+FROM s""")
 def match(t):
     key = F.col("page_id")
     second = F.when(key % 3 == 0, False).when(key % 3 == 1, True)
