@@ -124,14 +124,14 @@ def _without(text: Column, command: str, arguments: int = 1) -> Column:
 
 def _replace_each(text: Column, pattern: str, render) -> Column:
     """Replaces every match by ``render(group 1)``."""
-    parts = F.struct(
-        F.split(text, pattern, -1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("inner"),
+    parts = lambda t: F.struct(
+        F.split(t, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("inner"),
     )
     put = lambda v: F.transform(
         v.gaps, lambda b, i: F.concat(b, F.coalesce(render(F.get(v.inner, i)), F.lit("")))
     )
-    return let(parts, lambda v: F.array_join(put(v), ""))
+    return let(let(text, parts), lambda v: F.array_join(put(v), ""))
 
 
 def _items(content: Column) -> Column:
