@@ -76,7 +76,7 @@ def crosstab(df: DataFrame, body: str, row: str, column: str, values: list[str]
     parsed = parse(F.col(body))
     pairs = df.select(F.explode(clean_values(field(parsed, row))).alias("row_value"), parsed.alias("_b"))
     pairs = pairs.select("row_value", F.explode(clean_values(field(F.col("_b"), column))).alias("_c"))
-    return pairs.groupBy("row_value").pivot("_c", values).agg(F.count("*")).na.fill(0)
+    return pairs.groupBy("row_value").pivot("_c", values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @dataclass(frozen=True)
@@ -124,6 +124,8 @@ def stats_sections(df: DataFrame, body: str, sections: list[Section], prompt: st
     top = first_n(cells.filter(of("value_counts")), ["section"], [F.desc("n"), "value"], top_k)
     place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "value"))
     top = top.withColumn("rank", place).filter(F.col("rank") <= F.get(limits, F.col("section")))
+    totals = cells.filter(of("value_counts")).groupBy("section").agg(F.sum("n").alias("total"))
+    top = top.join(totals, "section")
     means = cells.filter(of("mean")).groupBy("section").agg(
         F.sum("n").alias("n"), (F.sum(number * F.col("n")) / F.sum("n")).alias("mean"),
         F.min(number).alias("min"), F.max(number).alias("max"),

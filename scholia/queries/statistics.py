@@ -219,11 +219,11 @@ SECTIONS = [
 WITH v AS (SELECT 0 AS section, json_extract_string(body, '$.citation.title') AS v FROM f_extractions WHERE prompt_name = 'click'
   UNION ALL SELECT 1, 't' || (event_id % 4) FROM f_extractions WHERE prompt_name = 'error'
   UNION ALL SELECT 1, 't' || (event_id % 6) FROM f_extractions WHERE prompt_name = 'error'),
-c AS (SELECT section, {CLEAN} AS value, count(*) AS n FROM v WHERE {CLEAN} IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT section, {CLEAN} AS value, count(*) AS n, sum(count(*)) OVER (PARTITION BY section)::BIGINT AS total FROM v WHERE {CLEAN} IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, value)::INTEGER AS rank FROM c),
 y AS (SELECT json_extract_string(body, '$.citation.year')::DOUBLE AS x FROM f_extractions WHERE prompt_name = 'view')
 SELECT section, CASE section WHEN 0 THEN 'click' ELSE 'error' END AS prompt, CASE section WHEN 0 THEN 'citation.title' ELSE 'tags' END AS field,
-  'value_counts' AS type, rank, value, n, NULL::BIGINT AS total, NULL::DOUBLE AS mean, NULL::DOUBLE AS min, NULL::DOUBLE AS max
+  'value_counts' AS type, rank, value, n, total, NULL::DOUBLE AS mean, NULL::DOUBLE AS min, NULL::DOUBLE AS max
 FROM r WHERE rank <= CASE section WHEN 0 THEN 2 ELSE 3 END
 UNION ALL SELECT 2, 'view', 'citation.year', 'mean', NULL, NULL, count(*), NULL, round(avg(x), 6)::DOUBLE, min(x), max(x) FROM y
 UNION ALL SELECT 3, 'signup', 'flag', 'count_true', NULL, NULL, count(*) FILTER (WHERE event_id % 3 = 0), count(*), NULL, NULL, NULL FROM f_extractions WHERE prompt_name = 'signup'
