@@ -33,29 +33,28 @@ def _cells(df: DataFrame, key: str, name: str, chunk: int) -> DataFrame:
 
 
 def chunked_join(
-    left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, chunk: int = CHUNK
+    left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str,
+    left_payload: DataFrame | None = None, right_payload: DataFrame | None = None, chunk: int = CHUNK,
 ) -> DataFrame:
     """Inner equi-join on ``key`` whose hot keys are cut into chunk x chunk cells.
 
-    Keys that occur on one side only are dropped before any row is copied, and
-    a key with few rows stays in a single cell.
+    ``left(key, left_id)`` and ``right(key, right_id)`` are narrow; wide columns
+    come as payloads by id and are only attached to rows whose key occurs on
+    both sides.  A key with few rows stays in a single cell.
     """
     cells = _cells(left, key, "_lc", chunk).join(_cells(right, key, "_rc", chunk), key)
-    one, zero = F.lit(1), F.lit(0).cast("long")
-    copies = lambda n: F.explode(F.sequence(zero, F.col(n) - one))
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    lhs = (
-        left.join(cells, key)
-        .withColumn("_l", pick(left_id, "_lc"))
-        .withColumn("_r", copies("_rc"))
-        .drop("_lc", "_rc")
+    lhs = left.join(cells, key).select(
+        key, left_id, pick(left_id, "_lc").alias("_l"), copies("_rc").alias("_r")
     )
-    rhs = (
-        right.join(cells, key)
-        .withColumn("_r", pick(right_id, "_rc"))
-        .withColumn("_l", copies("_lc"))
-        .drop("_lc", "_rc")
+    rhs = right.join(cells, key).select(
+        key, right_id, pick(right_id, "_rc").alias("_r"), copies("_lc").alias("_l")
     )
+    if left_payload is not None:
+        lhs = lhs.join(left_payload, left_id)
+    if right_payload is not None:
+        rhs = rhs.join(right_payload, right_id)
     return lhs.join(rhs, [key, "_l", "_r"]).drop("_l", "_r")
 
 

@@ -16,18 +16,21 @@ from scholia.session import cut_lineage
 
 
 def set_key(tokens: Column) -> Column:
-    """Short key of a token set, the same for every order of its tokens."""
-    return F.md5(F.array_join(F.sort_array(tokens), "\u0000"))
+    """Short key of a token set, the same for every order of its tokens.
+
+    It is never NULL, so a join on it adds no filter that would compute the
+    tokens a second time below the join.
+    """
+    return F.coalesce(F.md5(F.array_join(F.sort_array(tokens), "\u0001")), F.lit(""))
 
 
 def _by_rarity(sets: DataFrame, key: str, tokens: str, counts: DataFrame) -> DataFrame:
-    """``(key, ranked)``: the counted tokens of each set, rarest first."""
-    rare_first = F.array_sort(F.collect_list(F.struct("df", "token")))
+    """``(key, ranked)``: the counted tokens of each set with counts, rarest first."""
     return (
         sets.select(key, F.explode(tokens).alias("token"))
         .join(counts, "token")
         .groupBy(key)
-        .agg(F.transform(rare_first, lambda t: t.token).alias("ranked"))
+        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     )
 
 
@@ -48,24 +51,24 @@ def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = 32) -
     * A better item shares at least max(s, 2) of the m query tokens, hence one
       of the m - max(s, 2) + 1 rarest; the lists of the others are not read.
     """
+    # the distinct queries are small next to their source and are used many times
     wanted = queries.select(set_key(F.col("q")).alias("id"), "q").groupBy("id").agg(F.any_value("q").alias("q"))
+    wanted = cut_lineage(wanted)
     sets = items.select("item", "tokens", set_key(F.col("tokens")).alias("_set"))
     items = first_n(sets, ["_set"], ["item"], n).drop("_set")
-    postings = items.select("item", "tokens", F.explode("tokens").alias("token"))
+    vocabulary = wanted.select(F.explode("q").alias("token")).distinct()
+    postings = items.select(F.explode("tokens").alias("token"), "item").join(vocabulary, "token", "left_semi")
     counts = postings.groupBy("token").agg(F.count("*").alias("df"))
     ranked = cut_lineage(_by_rarity(wanted, "id", "q", counts))
-    overlap = F.size(F.array_intersect("ranked", "tokens"))
+    searched = ranked.select("id", F.col("ranked.token").alias("query"))
+    overlap = F.size(F.array_intersect("query", "tokens")).alias("overlap")
 
     # short lists: the n smallest items of every token, all items of rare tokens
     bound = max(n, small)
     heads = first_n(postings, ["token"], ["item"], bound)
-    near = (
-        ranked.select("id", "ranked", F.explode("ranked").alias("token"))
-        .join(heads, "token")
-        .select("id", "item", overlap.alias("overlap"))
-        .groupBy("id", "item")
-        .agg(F.max("overlap").alias("overlap"))
-    )
+    met = searched.select("id", F.explode("query").alias("token")).join(heads, "token")
+    near = met.select("id", "item").distinct().join(items, "item").join(searched, "id")
+    near = near.select("id", "item", overlap)
     near = cut_lineage(first_n(near, ["id"], [F.desc("overlap"), "item"], n))
     floor = near.groupBy("id").agg(
         F.when(F.count("*") == n, F.min("overlap")).otherwise(0).alias("floor")
@@ -74,18 +77,16 @@ def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = 32) -
     # long lists: only as many of the rarest tokens as the bound leaves open
     need = F.greatest(F.col("floor"), F.lit(2))
     length = F.greatest(F.size("ranked") - need + 1, F.lit(0))
-    probes = (
-        ranked.join(floor, "id")
-        .withColumn("open", F.slice("ranked", F.lit(1), length))
-        .filter(F.size("open") > 0)
-        .select("id", "ranked", "open", need.alias("need"), F.explode("open").alias("token"))
+    long_ones = F.filter(F.slice("ranked", F.lit(1), length), lambda t: t.df > bound)
+    probes = ranked.join(floor, "id").select(
+        "id", F.col("ranked.token").alias("query"),
+        F.transform(long_ones, lambda t: t.token).alias("open"), need.alias("need"),
     )
-    long_lists = counts.filter(F.col("df") > bound).select("token")
     far = chunked_join(
-        probes.join(long_lists, "token"), postings.join(long_lists, "token"), "token", "id", "item"
+        probes.select("id", F.explode("open").alias("token")), postings, "token", "id", "item", probes, items
     )
     far = far.filter(_first_shared("open", "tokens", "token"))
-    far = far.select("id", "item", "need", overlap.alias("overlap")).filter(F.col("overlap") >= F.col("need"))
+    far = far.select("id", "item", "need", overlap).filter(F.col("overlap") >= F.col("need"))
     far = first_n(far.select("id", "item", "overlap"), ["id"], [F.desc("overlap"), "item"], n)
     # a pair may be in both parts
     both = near.unionByName(far).distinct()
@@ -115,15 +116,16 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
         .agg(F.count("*").alias("df"))
     )
 
-    def prefixes(sets: DataFrame, key: str) -> DataFrame:
-        ranked = _by_rarity(sets, key, f"{key}_tokens", counts)
-        size = F.size("ranked")
+    def prefixes(sets: DataFrame, side: str) -> DataFrame:
+        ranked = _by_rarity(sets, side, f"{side}_tokens", counts)
+        ranked = ranked.select(side, F.col("ranked.token").alias(f"{side}_all"))
+        size = F.size(f"{side}_all")
         length = size - F.ceil(F.round(size * F.lit(threshold), 9)).cast("int") + 1
-        ranked = ranked.withColumn(f"{key}_open", F.slice("ranked", F.lit(1), length))
-        ranked = ranked.withColumnRenamed("ranked", f"{key}_all")
-        return ranked.select(key, f"{key}_all", f"{key}_open", F.explode(f"{key}_open").alias("token"))
+        return ranked.withColumn(f"{side}_open", F.slice(f"{side}_all", F.lit(1), length))
 
-    pairs = chunked_join(prefixes(left, "l"), prefixes(right, "r"), "token", "l", "r")
+    lhs, rhs = prefixes(left, "l"), prefixes(right, "r")
+    token = lambda side: F.explode(f"{side}_open").alias("token")
+    pairs = chunked_join(lhs.select("l", token("l")), rhs.select("r", token("r")), "token", "l", "r", lhs, rhs)
     l_size, r_size = F.size("l_all"), F.size("r_all")
     comparable = (r_size >= l_size * threshold - 1e-9) & (l_size >= r_size * threshold - 1e-9)
     shared = F.size(F.array_intersect("l_all", "r_all")).cast("double")
