@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators.markup import render_prompt
 from scholia.operators.tasks import Prompt, plan_tasks, route_outcomes, run_batch, skip_completed
+from scholia.session import cut_lineage
 
 ANSWER = "task_id string, response string, call_error string"
 
@@ -32,14 +33,14 @@ def extraction_run(
     """Results and new state rows of one run over the documents not yet done.
 
     ``ask`` maps batches of ``(task_id, prompt)`` to :data:`ANSWER` rows.  The
-    answers are meant to be kept by the caller before both frames are used,
-    since asking twice may give two answers.
+    answers are kept at once: nothing later asks a second time, also not after
+    an executor was lost.
     """
     tasks = plan_tasks(docs, prompts, alias)
     if state is not None:
         tasks = skip_completed(tasks, state)
     asked = render_tasks(tasks, docs, prompts)
-    answers = run_batch(asked.select("task_id", "prompt"), ask, ANSWER, partitions)
+    answers = cut_lineage(run_batch(asked.select("task_id", "prompt"), ask, ANSWER, partitions))
     return asked.drop("prompt"), answers_with_state(answers, alias, at)
 
 

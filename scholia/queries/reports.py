@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scholia.operators import reports, stats
 from scholia.operators.verify import three_way_verify
 from scholia.queries import query
+from scholia.session import cut_lineage
 from scholia.queries.linkage import folders, identified, match, secondary_titles
 
 
@@ -30,7 +31,7 @@ def report(t):
 
 @query("q_match_report", "f_entries f_works")
 def match_report(t):
-    results = identified(t).withColumn("final_author", F.lit("")).persist()
+    results = cut_lineage(identified(t).withColumn("final_author", F.lit("")))
     conflicts = stats.doi_conflicts(results)
     summary = stats.match_summary(results.select("entry_class"), results)
     return reports.match_report(results, conflicts, summary)
