@@ -57,7 +57,7 @@ def test_extractions_of_folders(spark, tmp_path):
 
 
 def test_bib_ids_and_maps(spark, tmp_path):
-    bib = "@article{k1,\n title = {First},\n author = {Smith, John and Doe, A},\n DOI = {10.1/A}\n}\n@book{k2, title={No doi}}\n@misc{k3, title = {Again}, author = {M\\"uller~, Kai and X}, DOI = {10.1/a}}"
+    bib = "@article{k1,\n title = {First},\n author = {Smith, John and Doe, A},\n DOI = {10.1/A}\n}\n@book{k2, title={No doi}}\n@misc{k3, title = {Again}, author = {M\\^uller~, Kai and X}, DOI = {10.1/a}}"
     _write(tmp_path, {"refs.bib": bib, "ids.txt": " 10.1/x \n\n10.1/y\n", "manual.json": '{"a.pdf": "10.1/z"}'})
     assert [tuple(r) for r in corpus.read_bib(spark, str(tmp_path / "refs.bib")).collect()] == [("10.1/a", "Again", "Muller")]
     assert [r.id for r in corpus.read_id_list(spark, str(tmp_path / "ids.txt")).collect()] == ["10.1/x", "10.1/y"]
