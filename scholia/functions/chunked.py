@@ -58,15 +58,18 @@ def chunked_join(
     return lhs.join(rhs, [key, "_l", "_r"]).drop("_l", "_r")
 
 
-def _bucketed(keys: list[str], bucket: Column, df: DataFrame):
-    df = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket")
-    across = (
-        Window.partitionBy(*keys)
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
+def _carry(rows: DataFrame, keys: list[str], state: str, combine) -> DataFrame:
+    """Adds ``_carry``, the combined ``state`` of all earlier buckets of the key.
+
+    ``state`` is constant within a bucket, so the buckets are found without
+    another shuffle of the rows.
+    """
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return df, inside, across
+    buckets = rows.select(*keys, "_bucket", state).distinct()
+    carried = buckets.select(*keys, "_bucket", combine(state).over(earlier).alias("_carry"))
+    return rows.join(carried, [*keys, "_bucket"])
 
 
 def running_sum(
@@ -77,39 +80,30 @@ def running_sum(
     ``bucket`` must not decrease along ``order``.  Only one row per bucket goes
     through the window over the whole key.
     """
-    df, inside, across = _bucketed(keys, bucket, df.withColumn("_value", value))
-    totals = df.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
-    carried = totals.select(
-        *keys, "_bucket", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_carry")
-    )
-    local = F.sum("_value").over(
-        inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = df.withColumn("_local", local).join(carried, [*keys, "_bucket"])
-    return out.withColumn(name, F.col("_local") + F.col("_carry")).drop(
-        "_value", "_bucket", "_local", "_carry"
-    )
+    inside = Window.partitionBy(*keys, "_bucket")
+    so_far = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("_value", value).withColumn("_bucket", bucket)
+    rows = rows.withColumn("_local", F.sum("_value").over(so_far))
+    rows = rows.withColumn("_total", F.sum("_value").over(inside))
+    out = _carry(rows, keys, "_total", F.sum)
+    out = out.withColumn(name, F.col("_local") + F.coalesce("_carry", F.lit(0)))
+    return out.drop("_value", "_bucket", "_local", "_total", "_carry")
 
 
 def running_last(
     df: DataFrame, keys: list[str], order: str, value: Column, bucket: Column, name: str
 ) -> DataFrame:
     """Latest non-null ``value`` up to each row, carried across buckets."""
-    df, inside, across = _bucketed(keys, bucket, df.withColumn("_value", value))
-    ends = df.filter(F.col("_value").isNotNull()).groupBy(*keys, "_bucket").agg(
-        F.max_by("_value", order).alias("_end")
-    )
-    buckets = df.select(*keys, "_bucket").distinct().join(ends, [*keys, "_bucket"], "left")
-    carried = buckets.select(
-        *keys, "_bucket", F.last("_end", ignorenulls=True).over(across).alias("_carry")
-    )
-    local = F.last("_value", ignorenulls=True).over(
-        inside.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = df.withColumn("_local", local).join(carried, [*keys, "_bucket"])
-    return out.withColumn(name, F.coalesce("_local", "_carry")).drop(
-        "_value", "_bucket", "_local", "_carry"
-    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    latest = lambda c: F.last(c, ignorenulls=True)
+    rows = df.withColumn("_value", value).withColumn("_bucket", bucket)
+    rows = rows.withColumn("_local", latest("_value").over(so_far))
+    rows = rows.withColumn("_end", latest("_value").over(whole))
+    out = _carry(rows, keys, "_end", latest)
+    out = out.withColumn(name, F.coalesce("_local", "_carry"))
+    return out.drop("_value", "_bucket", "_local", "_end", "_carry")
 
 
 def number_rows(df: DataFrame, order: list, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -122,8 +116,7 @@ def number_rows(df: DataFrame, order: list, name: str, keys: tuple[str, ...] = (
     ranged = cut_lineage(
         df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
     )
-    return running_sum(
-        ranged, list(keys) or ["_all"], order, F.lit(1), F.col("_part"), name
-    ).drop("_part") if keys else running_sum(
-        ranged.withColumn("_all", F.lit(0)), ["_all"], order, F.lit(1), F.col("_part"), name
-    ).drop("_part", "_all")
+    groups = list(keys) or ["_all"]
+    if not keys:
+        ranged = ranged.withColumn("_all", F.lit(0))
+    return running_sum(ranged, groups, order, F.lit(1), F.col("_part"), name).drop("_part", "_all")

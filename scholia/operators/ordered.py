@@ -70,9 +70,10 @@ def rate_audit(
     """
     width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(seconds)).cast("decimal(18,6)"))
     counts = events.groupBy(key, ts).agg(F.count("*").alias("_n"))
-    arrive = counts.select(key, F.col(ts).alias("_at"), F.col("_n").alias("_step"))
-    leave = counts.select(key, (F.col(ts) + width).alias("_at"), (-F.col("_n")).alias("_step"))
-    steps = arrive.unionByName(leave).groupBy(key, "_at").agg(F.sum("_step").alias("_step"))
+    arrive = F.struct(F.col(ts).alias("_at"), F.col("_n").alias("_step"))
+    leave = F.struct((F.col(ts) + width).alias("_at"), (-F.col("_n")).alias("_step"))
+    steps = counts.select(key, F.explode(F.array(arrive, leave)).alias("s")).select(key, "s.*")
+    steps = steps.groupBy(key, "_at").agg(F.sum("_step").alias("_step"))
     bucket = F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / span_seconds)
     scanned = running_sum(steps, [key], ["_at"], F.col("_step"), bucket, "in_window")
     windows = scanned.select(key, F.col("_at").alias(ts), "in_window")

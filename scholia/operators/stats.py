@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.chunked import first_n
 from scholia.operators.semi import clean_values, field, is_true, is_valid_object, numbers, parse
+from scholia.session import cut_lineage
 from scholia.vocab import METADATA_KEYS, METADATA_MISSING_MARKERS
 
 
@@ -116,7 +117,8 @@ def stats_cells(df: DataFrame, body: str, sections: list[Section], prompt: str =
 
 def stats_sections(df: DataFrame, body: str, sections: list[Section], prompt: str = "prompt_name") -> DataFrame:
     """Rows of all sections: top values, or one summary row per section."""
-    cells = stats_cells(df, body, sections, prompt)
+    # the cells are kept, so that the parts below do not scan the bodies again
+    cells = cut_lineage(stats_cells(df, body, sections, prompt))
     of = lambda *kinds: F.col("section").isin([i for i, s in enumerate(sections) if s.type in kinds])
     number = F.col("value").try_cast("double")
     limits = F.array(*[F.lit(s.top_k) for s in sections])

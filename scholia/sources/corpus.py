@@ -58,8 +58,8 @@ def scan_corpus(
 ) -> DataFrame:
     """``path, rel_path, name, text``: one row per matching file, whole text.
 
-    Names are matched by their ending.  The name filters work on file
-    metadata, so files that do not match are not read.
+    Names are matched by their ending, when files are listed; files that match
+    an exclusion are dropped right after the scan.
     """
     root = root.rstrip("/")
     reader = (

@@ -33,8 +33,8 @@ def write_extractions(df: DataFrame, path: str, layout: str = "flat", fmt: str =
     if layout == "mirror":
         df = df.withColumn("rel_dir", F.regexp_replace(F.regexp_extract("document_path", r"^(.*/)?", 0), "/$", ""))
         keys = ["rel_dir", *keys]
-    # rows of a partition meet in few tasks, and a hot one is split in many
-    df.repartition(*keys, F.pmod(F.xxhash64("document_path"), F.lit(16))).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    # rows of a partition meet in few files; adaptive execution splits a hot one
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
