@@ -152,6 +152,7 @@ def _substitute(text: Column, rules) -> Column:
     return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
 
 
+# --- fixed values: commands that are rewritten or dropped ----------------------
 _END = r"(?![A-Za-z])"
 METADATA_RULES = [
     (rf"\\(?:maketitle|IEEEpeerreviewmaketitle){_END}", ""),

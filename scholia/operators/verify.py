@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.functions.chunked import chunked_join
 from scholia.functions.text import title_similarity
 from scholia.vocab import TITLE_SIMILARITY
 
@@ -27,7 +28,7 @@ def best_secondary_similarity(docs: DataFrame, extractions: DataFrame) -> DataFr
     """Per DOI the best similarity of the title with any extracted title.
 
     ``docs(doi, title)`` and ``extractions(doi, title)``; equal titles of a DOI
-    are compared once.
+    are compared once, and a DOI with very many titles is compared in cells.
     """
     left = docs.select("doi", "title").distinct()
     right = (
@@ -37,7 +38,7 @@ def best_secondary_similarity(docs: DataFrame, extractions: DataFrame) -> DataFr
     )
     similarity = title_similarity(F.col("title"), F.col("other"))
     return (
-        left.join(right, "doi")
+        chunked_join(left, right, "doi", "title", "other")
         .groupBy("doi", "title")
         .agg(F.max(similarity).alias("secondary_sim"))
     )
@@ -90,6 +91,6 @@ def three_way_verify(
         F.when(ok, F.col("canonical_author")).alias("first_author"),
         F.when(ok, F.round("_sim", 3)).otherwise(0.0).alias("title_sim"),
         F.when(ok, F.round("_bib_sim", 3)).alias("bib_sim"),
-        F.when(ok, F.round("secondary_sim", 3)).alias("litrev_sim"),
+        F.when(ok, F.round("secondary_sim", 3)).alias("secondary_sim"),
         status.alias("status"),
     )

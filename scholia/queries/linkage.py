@@ -367,7 +367,7 @@ s AS (SELECT *, coalesce(ct, '') <> '' AS ok, {duck.similarity(duck.tokens("titl
    CASE WHEN coalesce(bt, '') <> '' THEN {duck.similarity(duck.tokens("title"), duck.tokens("bt"))} END AS bs FROM j)
 SELECT folder, doi AS expected_doi, title, CASE WHEN ok THEN ct END AS canonical_title, CASE WHEN ok THEN first_author END AS first_author,
   CASE WHEN ok THEN round(sim, 3) ELSE 0 END::DOUBLE AS title_sim, CASE WHEN ok THEN round(bs, 3) END::DOUBLE AS bib_sim,
-  CASE WHEN ok THEN round(ss, 3) END::DOUBLE AS litrev_sim,
+  CASE WHEN ok THEN round(ss, 3) END::DOUBLE AS secondary_sim,
   CASE WHEN NOT ok THEN 'cannot_verify' WHEN sim >= 0.5 AND (bs IS NULL OR bs >= 0.5) AND (ss IS NULL OR ss >= 0.5) THEN 'verified' ELSE 'mismatch' END AS status
 FROM s""")
 def three_way_verify(t):

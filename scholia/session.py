@@ -26,12 +26,20 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only without one set our own."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own; on a
+    cluster a machine-local folder would not survive a lost machine.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    shared = context.getConf().get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(shared)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
