@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, jaccard, language, mixing, quality
+from scholia.llm import bpe, innerproduct, jaccard, language, licenses, mincut, mixing, polytope, quality, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,42 @@ def held_out(key: str) -> Column:
     return F.crc32(F.col(key).cast("string")) % 4 == 2
 
 
+#: Rules of the url query: host, path, verdict.
+RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op2_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact 20 largest inner products of whole-number vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return innerproduct.search(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate 20 nearest vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return polytope.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return mincut.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose word shingles are similar."""
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
@@ -59,7 +95,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_jaccard_join, op7_bpe, op8_source_mix, op9_language_id, op10_quality)
+    f.__name__: f for f in (op1_url_filter, op2_top_inner_products, op3_jaccard_join, op4_cross_polytope, op5_main_text, op6_license_scan, op7_bpe, op8_source_mix, op9_language_id, op10_quality)
 }
 
-SQL: dict[str, str] = {}
+_RULES = " UNION ALL ".join(f"SELECT '{h}' AS h, '{p}' AS p, '{v}' AS v" for h, p, v in RULES)
+
+SQL: dict[str, str] = {
+    "op1_url_filter": f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, row_number() OVER () AS r,
+         translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), rules AS ({_RULES}), fits AS (
+  SELECT s.r, h || p AS rule, v, row_number() OVER (PARTITION BY s.r ORDER BY length(h || p) DESC, h || p) AS n
+  FROM split s JOIN rules ON (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)
+)
+SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.v, 'allow') AS verdict
+FROM split s LEFT JOIN fits f ON f.r = s.r AND f.n = 1
+""",
+    "op2_top_inner_products": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+""",
+}
