@@ -15,9 +15,9 @@ Texts of equal sets are one class. In each bucket every class is first compared
 with the smallest (never all pairs), which joins large groups. Buckets that then
 hold several components are looked at again: members outside the largest
 component are sent to all chunks of the bucket and compared there on bit
-sketches, so every pair of different components that shares a bucket is compared
-and only pairs that the bound leaves open leave the task. No link is lost and no
-group is multiplied out.
+sketches. At first each sends on only its few nearest partners, which joins what is
+left of large groups; a last round sends on every pair of different components
+that the bound leaves open. No link is lost and no group is multiplied out.
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -46,6 +46,8 @@ WIDTH = 5
 PERCENT = 80
 #: Size bands grow by this factor, which is above 100 / PERCENT.
 BAND = 1.5
+#: Partners that a member of a bucket sends on in each round before the last, and the number of such rounds.
+NEAREST, ROUNDS = 2, 2
 #: Rows of a bucket in one chunk of the second round.
 CHUNK = 1024
 #: Largest broadcast list of texts to verify, in rows of two numbers; a longer one is joined by shuffle.
@@ -84,8 +86,8 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     w = min(width, len(h))
     rolled = np.full(len(h) - w + 1, w, np.uint64)
     for i in range(w):
-        rolled = mix(rolled * _MIX + h[i : len(h) - w + 1 + i])
-    return np.unique(rolled)
+        rolled = rolled * _MIX + h[i : len(h) - w + 1 + i]
+    return np.unique(mix(rolled))
 
 
 def band_of(n: int) -> int:
@@ -184,9 +186,10 @@ def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
             alone = of == np.arange(len(key))
             # the rows of a batch that have their hub need not meet again: they go to any task
             deal = np.where(alone, key.view(np.int64), mix(key + np.arange(len(key), dtype=np.uint64)).view(np.int64))
-            columns = [key.view(np.int64), deal, name, n]
+            # a lone row is dealt by its bucket, which then needs no second copy
+            bucket = pa.array(key.view(np.int64), mask=alone)
             hub = [pa.array(x[of], pa.int64(), mask=alone) for x in (name, n)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *hub], ["bucket", "deal", "name", "n", "hub", "hub_n"])
+            yield pa.RecordBatch.from_arrays([bucket, pa.array(deal), pa.array(name), pa.array(n), *hub], ["bucket", "deal", "name", "n", "hub", "hub_n"])
 
     schema = "bucket long, deal long, name long, n long, hub long, hub_n long"
     rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, schema)
@@ -194,7 +197,7 @@ def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     met = rows.withColumn("_least", least)
     return (
         met.select(
-            "bucket", "name", "n",
+            F.coalesce("bucket", "deal").alias("bucket"), "name", "n",
             F.coalesce("hub", F.col("_least.name")).alias("hub"), F.coalesce("hub_n", F.col("_least.n")).alias("hub_n"),
         )
         .where("name <> hub")
@@ -247,8 +250,8 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def open_pairs(met: DataFrame, labels: DataFrame, one: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a bucket and whose sketches allow a link."""
+def open_pairs(met: DataFrame, labels: DataFrame, one: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """(a, b) of different components that share a bucket and whose sketches allow a link; of each member the nearest, or all."""
     members = met.select("bucket", "name").union(met.select("bucket", F.col("hub").alias("name"))).distinct()
     named = members.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("k"))
@@ -266,11 +269,11 @@ def open_pairs(met: DataFrame, labels: DataFrame, one: DataFrame, percent: int)
             found: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][:2] != row[:2]:
-                    found += cell_pairs(held, percent)
+                    found += cell_pairs(held, percent, nearest)
                     held = []
                 held.append(row)
             yield pairs_batch(found)
-        yield pairs_batch(cell_pairs(held, percent))
+        yield pairs_batch(cell_pairs(held, percent, nearest))
 
     return cells.mapInArrow(compare, "a long, b long").distinct()
 
@@ -279,7 +282,7 @@ def pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def cell_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+def cell_pairs(rows: list[tuple], percent: int, nearest: int | None = None) -> list[tuple[int, int]]:
     """Pairs of a probe and a home row of one cell that sizes and sketches leave open."""
     probes, homes = ([r for r in rows if r[2] == kind] for kind in (True, False))
     if not probes or not homes:
@@ -301,7 +304,10 @@ def cell_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     for i, p in enumerate(probes):
         far = np.bitwise_count(y ^ x[i]).sum(axis=1)
         near = (label != p[4]) & (far * (100 + percent) <= (100 - percent) * (n + p[5])) & (np.minimum(n, p[5]) * 100 >= np.maximum(n, p[5]) * percent)
-        out += [(min(p[3], homes[j][3]), max(p[3], homes[j][3])) for j in np.flatnonzero(near)]
+        took = np.flatnonzero(near)
+        if nearest is not None and len(took) > nearest:
+            took = took[np.argsort(far[took], kind="stable")[:nearest]]
+        out += [(min(p[3], homes[j][3]), max(p[3], homes[j][3])) for j in took]
     return out
 
 
@@ -314,8 +320,15 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     stars = met.select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
     links = cut_lineage(linked(near_sketches(stars, one, percent), docs, one, text, key, width, percent))
     labels = cut_lineage(components(links))
-    more = linked(open_pairs(met, labels, one, percent), docs, one, text, key, width, percent)
-    labels = components(links.union(more))
+    for nearest in [*[NEAREST] * ROUNDS, None]:
+        found = cut_lineage(open_pairs(met, labels, one, percent, nearest))
+        if found.isEmpty():
+            break
+        more = cut_lineage(linked(found, docs, one, text, key, width, percent))
+        if not more.isEmpty():
+            # a link joins two labels: only the labels' own graph is new
+            old = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
+            labels = cut_lineage(components(old.union(more)))
     smallest = one.select("name", "doc").join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     smallest = smallest.join(smallest.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("name", "component_id")
     named = rows.join(cut_lineage(smallest), "name", "left")
