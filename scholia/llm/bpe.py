@@ -32,7 +32,9 @@ SHIFT = 24
 MASK = (1 << SHIFT) - 1
 NONE = 1 << 62
 #: Encoded pieces between blanks kept per Python worker, in each of two generations: when the younger is full, it becomes the older.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 100_000
+#: Rows handled at once, so that texts, ids and copies of few rows are held.
+ROWS = 256
 #: Longer pieces are encoded but not kept.
 KEPT_LENGTH = 64
 #: Fixed rule of the vocabulary family: contractions, letter runs, single digits, other runs.
@@ -189,7 +191,7 @@ def _mapped(df: DataFrame, name: str, kind: str, of: str, arrow: pa.DataType, pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = getattr(vocabulary(path), method)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             made = pa.array([call(x.as_py()) for x in batch.column(place)], arrow)
             columns = [batch.column(i) for i in kept]
             yield pa.RecordBatch.from_arrays([*columns, made], [*(f"c{i}" for i in kept), "made"])

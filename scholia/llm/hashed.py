@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Rows handled at once, so that few texts are held twice.
+ROWS = 256
+
+
 def mapped(df: DataFrame, of: str, made: dict[str, tuple[str, pa.DataType]], run: Callable[[list], dict[str, list]]) -> DataFrame:
     """df with the columns made by run from each batch of column of. Made columns replace those of the same name."""
     names = {m.lower() for m in made}
@@ -20,7 +24,7 @@ def mapped(df: DataFrame, of: str, made: dict[str, tuple[str, pa.DataType]], run
     order, kinds = list(made), [kind for _, kind in made.values()]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (b.slice(at, ROWS) for b in source for at in range(0, b.num_rows, ROWS)):
             found = run(batch.column(place).to_pylist())
             columns = [batch.column(i) for i in kept] + [pa.array(found[n], kind) for n, kind in zip(order, kinds)]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in kept] + [f"m{k}" for k in range(len(order))])
