@@ -142,7 +142,7 @@ def fit(rated: DataFrame, rows: int = 6000) -> QualityModel:
     found = mapped(picked.select("grade", "text"), "text", made, lambda texts: {"features": [features(t) for t in texts]}).select("grade", "features").toArrow()
     data = [np.asarray(x, np.int64) for x in found["features"].to_pylist()]
     if not data:
-        return QualityModel(np.zeros((1 << BITS) + SHAPES * STEPS, np.float32), -np.log(1 / (1 - np.arange(1, GRADES) / GRADES) - 1))
+        return QualityModel(np.zeros((1 << BITS) + SHAPES * STEPS, np.float32), np.log(np.arange(1, GRADES) / np.arange(GRADES - 1, 0, -1)))
     return regress(data, np.asarray(found["grade"].to_pylist(), np.int64))
 
 
