@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from scholia.session import cut_lineage
 
 CHUNK = 4096
+#: Hot keys of a join that are broadcast, three numbers each.
+MOST_HOT = 100_000
 
 
 def first_n(df: DataFrame, keys: list, order: list, n: int) -> DataFrame:
@@ -28,8 +30,8 @@ def first_n(df: DataFrame, keys: list, order: list, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def _cells(df: DataFrame, key: str, name: str, chunk: int) -> DataFrame:
-    return df.groupBy(key).agg(F.ceil(F.count("*") / chunk).alias(name))
+def _counts(df: DataFrame, key: str, name: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias(name))
 
 
 def chunked_join(
@@ -39,18 +41,24 @@ def chunked_join(
     """Inner equi-join on ``key`` whose hot keys are cut into chunk x chunk cells.
 
     ``left(key, left_id)`` and ``right(key, right_id)`` are narrow; wide columns
-    come as payloads by id and are only attached to rows whose key occurs on
-    both sides.  A key with few rows stays in a single cell.
+    come as payloads by id.  Only keys with more than ``chunk`` rows on a side
+    are looked up, so that no other row moves for it; there is at most one such
+    key for ``chunk`` rows.  Up to ``MOST_HOT`` of them are broadcast.  Beyond,
+    both sides of the look-up are plain exchanges, which are split at run time.
     """
-    cells = _cells(left, key, "_lc", chunk).join(_cells(right, key, "_rc", chunk), key)
-    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    lhs = left.join(cells, key).select(
-        key, left_id, pick(left_id, "_lc").alias("_l"), copies("_rc").alias("_r")
-    )
-    rhs = right.join(cells, key).select(
-        key, right_id, pick(right_id, "_rc").alias("_r"), copies("_lc").alias("_l")
+    counts = _counts(left, key, "_lc").join(_counts(right, key, "_rc"), key)
+    hot = cut_lineage(
+        counts.filter((F.col("_lc") > chunk) | (F.col("_rc") > chunk)).select(
+            key, F.ceil(F.col("_lc") / chunk).alias("_lc"), F.ceil(F.col("_rc") / chunk).alias("_rc")
+        )
     )
+    few = hot.limit(MOST_HOT + 1).count() <= MOST_HOT
+    one = F.lit(1).cast("long")
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), one) - 1))
+    pick = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(F.col(n), one))
+    cut = lambda df: df.join(F.broadcast(hot) if few else hot, key, "left")
+    lhs = cut(left).select(key, left_id, pick(left_id, "_lc").alias("_l"), copies("_rc").alias("_r"))
+    rhs = cut(right).select(key, right_id, pick(right_id, "_rc").alias("_r"), copies("_lc").alias("_l"))
     if left_payload is not None:
         lhs = lhs.join(left_payload, left_id)
     if right_payload is not None:

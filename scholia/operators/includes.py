@@ -70,11 +70,17 @@ def include_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _normal(path):
-    """Drops ``./`` and resolves ``x/../`` for a few levels of nesting."""
-    path = F.regexp_replace(path, r"(?<=^|/)\./", "")
-    for _ in range(8):
-        path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return path
+    """Drops ``.`` and resolves ``x/..`` at any depth; a ``..`` with nothing before it stays."""
+    steps = F.filter(F.split(path, "/"), lambda s: s != ".")
+    empty = F.array().cast("array<string>")
+    last = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(""))
+    resolved = F.aggregate(
+        steps, empty,
+        lambda kept, s: F.when(
+            (s == "..") & (last(kept) != "") & (last(kept) != ".."), F.slice(kept, F.lit(1), F.size(kept) - 1)
+        ).otherwise(F.concat(kept, F.array(s))),
+    )
+    return F.array_join(resolved, "/")
 
 
 def resolve_includes(files: DataFrame, roots: DataFrame) -> DataFrame:

@@ -160,8 +160,7 @@ def similarity_join(
     """All pairs of distinct titles with Jaccard similarity >= threshold.
 
     A row stands for two token sets and says how many rows of each side have
-    them and which is the smallest; copies are not multiplied out.  Use
-    :func:`expand_pairs` for single rows.
+    them and which is the smallest; copies are not multiplied out.
     """
     pairs = similar_sets(left.select(left_tokens.alias("l")), right.select(right_tokens.alias("r")), threshold)
 
@@ -176,15 +175,6 @@ def similarity_join(
     )
 
 
-def expand_pairs(
-    pairs: DataFrame, left: DataFrame, right: DataFrame,
-    left_tokens: Column, right_tokens: Column, left_id: str, right_id: str,
-) -> DataFrame:
-    """Row pairs behind the set pairs of :func:`similarity_join`."""
-    lhs = left.select(F.col(left_id), set_key(left_tokens).alias("l"))
-    rhs = right.select(F.col(right_id), set_key(right_tokens).alias("r"))
-    return pairs.select("l", "r", "similarity").join(lhs, "l").join(rhs, "r").drop("l", "r")
-
 
 def entry_class(title: Column, author: Column) -> Column:
     """A has title and author, B a title only, C no title."""

@@ -122,7 +122,3 @@ def rewrite_image_paths(df: DataFrame, keys: list[str], text: str, moved: DataFr
 def image_stem(path: Column) -> Column:
     """File name without directory and last extension."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
-
-
-def first_image(text: Column) -> Column:
-    return first_of(F.regexp_extract_all(text, F.lit(IMAGE_LINK), F.lit(2)))

@@ -16,7 +16,8 @@ SPAN = 10_000
 
 _IMAGE = r"!\[[^\]]*?\]\(images/[^)]+\)"
 _CENTERED = r"(?i:<center>\s*(?:Figure|Fig\.?|Scheme)\s+\d+[^<]*?</center>)"
-_LINE = r"(?:^|\n)\s*Figure\s+\d+\.[^\n]{0,500}"
+# a caption ends where an image begins on its line
+_LINE = r"(?:^|\n)\s*Figure\s+\d+\.(?:(?!!\[[^\]\n]*\]\(images/)[^\n]){0,500}"
 
 
 def caption_markers(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -77,7 +78,7 @@ def rate_audit(
     bucket = F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / span_seconds)
     scanned = running_sum(steps, [key], ["_at"], F.col("_step"), bucket, "in_window")
     windows = scanned.select(key, F.col("_at").alias(ts), "in_window")
-    return events.join(windows, [key, ts]).withColumn("over_limit", F.col("in_window") > limit)
+    return events.join(windows, [key, ts], "left").withColumn("over_limit", F.col("in_window") > limit)
 
 
 def with_index(df: DataFrame, keys: list[str], array: Column, pos: str, value: str) -> DataFrame:

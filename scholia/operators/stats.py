@@ -231,9 +231,3 @@ def doi_conflicts(results: DataFrame, key: str = "pdf_name", doi: str = "cr_doi"
     claimed = results.filter(F.col(doi).isNotNull()).select(key, doi)
     many = claimed.groupBy(doi).agg(F.count("*").alias("files")).filter(F.col("files") > 1)
     return claimed.join(many, doi)
-
-
-def split_valid(df: DataFrame, body: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a usable JSON object, and the others."""
-    ok = is_valid_object(F.col(body))
-    return df.filter(ok), df.filter(~ok)

@@ -120,9 +120,6 @@ def reset_model(state: DataFrame, alias: str) -> DataFrame:
     return state.filter(F.col("model_alias") != alias)
 
 
-def model_aliases(state: DataFrame) -> DataFrame:
-    return state.select("model_alias").distinct()
-
 
 def run_batch(tasks: DataFrame, fn: Callable, schema: str, partitions: int | None = None) -> DataFrame:
     """Applies a function over batches of tasks; the caller supplies it.

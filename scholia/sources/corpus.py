@@ -47,7 +47,7 @@ def exclude_globs(df: DataFrame, patterns: list[str], root: str, rel_path: str =
     return df.filter(~F.exists(ancestors, lambda path: path.rlike(any_of)))
 
 
-def _path(column: Column) -> Column:
+def plain_path(column: Column) -> Column:
     """Plain path of a file URI."""
     return F.regexp_replace(F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")
 
@@ -69,9 +69,9 @@ def scan_corpus(
         .option("pathGlobFilter", "{" + ",".join(f"*{e}" for e in extensions) + "}")
     )
     raw = reader.load(root).select("_metadata.file_path", "_metadata.file_name", F.col("value").alias("text"))
-    path = _path(F.col("file_path"))
+    path = plain_path(F.col("file_path"))
     df = raw.select(path.alias("path"), "text")
-    df = df.withColumn("rel_path", F.substring("path", len(root) + 2, 1_000_000))
+    df = df.withColumn("rel_path", F.expr(f"substring(path, {len(root) + 2})"))
     df = df.withColumn("name", F.regexp_extract("path", r"[^/]*$", 0))
     if not recursive:
         df = df.filter(~F.contains("rel_path", F.lit("/")))

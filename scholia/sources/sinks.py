@@ -24,17 +24,18 @@ def result_name(
     return fill(F.lit(pattern), values)
 
 
-def write_extractions(df: DataFrame, path: str, layout: str = "flat", fmt: str = "parquet", mode: str = "append") -> None:
+def write_extractions(df: DataFrame, path: str, layout: str = "flat", fmt: str = "parquet", mode: str = "overwrite") -> None:
     """One row per document, prompt and model, partitioned by prompt and model.
 
-    The mirror layout adds the directory of the document as a partition.
+    The mirror layout adds the directory of the document as a partition.  A
+    rerun replaces the partitions it writes and leaves the others alone.
     """
     keys = ["prompt_name", "model_alias"]
     if layout == "mirror":
         df = df.withColumn("rel_dir", F.regexp_replace(F.regexp_extract("document_path", r"^(.*/)?", 0), "/$", ""))
         keys = ["rel_dir", *keys]
     # rows of a partition meet in few files; adaptive execution splits a hot one
-    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
+    df.hint("rebalance", *keys).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).format(fmt).save(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

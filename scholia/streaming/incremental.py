@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scholia.operators.tasks import TASK_KEY, Prompt
 from scholia.plans.extraction import extraction_run
-from scholia.sources.corpus import exclude_globs
+from scholia.sources.corpus import exclude_globs, plain_path
 
 STATE_SCHEMA = (
     "model_alias string, task_id string, json string, status string, retries int, "
@@ -19,20 +19,21 @@ STATE_SCHEMA = (
 
 
 def corpus_stream(
-    spark: SparkSession, root: str, extension: str, exclude: list[str] | None = None, files_per_batch: int = 1000
+    spark: SparkSession, root: str, extension: str | list[str], exclude: list[str] | None = None, files_per_batch: int = 1000
 ) -> DataFrame:
     """New files below a folder as ``rel_path, text``, bounded per batch."""
     root = root.rstrip("/")
+    extensions = [extension] if isinstance(extension, str) else extension
     raw = (
         spark.readStream.format("text")
         .option("wholetext", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{extension}")
+        .option("pathGlobFilter", "{" + ",".join(f"*{e}" for e in extensions) + "}")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
-        .select(F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("path"), F.col("value").alias("text"))
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     )
-    rel = raw.select(F.substring("path", len(root) + 2, 1_000_000).alias("rel_path"), "text")
+    rel = raw.select(F.expr(f"substring(path, {len(root) + 2})").alias("rel_path"), "text")
     return exclude_globs(rel, exclude or [], root)
 
 

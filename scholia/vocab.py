@@ -6,31 +6,29 @@ place.
 """
 
 # --- fixed values: words that are never an author surname in a file name -----
-FILENAME_COMMON_WORDS = (
-    "the and for with from study based analysis "
-    "using method results research journal paper review "
-    "new high effect role impact approach model system "
-    "data application a an of in on by to is "
-    "it as at was are be has have not but "
-    "this that all each between during through under "
-    "over before after above below out off up down "
-    "about into than also very just more some any "
-    "one two three first second last next other "
-    "another such only own same so "
-    "well even still already however although because "
-    "while since until once though if when where "
-    "how what which who whom why "
-    "manuscript thesis main draft final revised "
-    "submitted accepted published preprint untitled "
-    "document file figure supplement supporting"
-).split()
+FILENAME_COMMON_WORDS = [
+    "the", "and", "for", "with", "from", "study", "based", "analysis", "using",
+    "method", "results", "research", "journal", "paper", "review", "new", "high", "effect",
+    "role", "impact", "approach", "model", "system", "data", "application", "a", "an",
+    "of", "in", "on", "by", "to", "is", "it", "as", "at",
+    "was", "are", "be", "has", "have", "not", "but", "this", "that",
+    "all", "each", "between", "during", "through", "under", "over", "before", "after",
+    "above", "below", "out", "off", "up", "down", "about", "into", "than",
+    "also", "very", "just", "more", "some", "any", "one", "two", "three",
+    "first", "second", "last", "next", "other", "another", "such", "only", "own",
+    "same", "so", "too", "well", "even", "still", "already", "however", "although",
+    "because", "while", "since", "until", "once", "though", "if", "when", "where",
+    "how", "what", "which", "who", "whom", "why", "manuscript", "thesis", "main",
+    "draft", "final", "revised", "submitted", "accepted", "published", "preprint", "untitled", "document",
+    "file", "figure", "supplement", "supporting",
+]
 
 # --- fixed values: words ignored when two titles are compared ----------------
-TITLE_STOPWORDS = (
-    "a an the of and for in on with based "
-    "using via toward towards article review paper "
-    "research study analysis method approach system"
-).split()
+TITLE_STOPWORDS = [
+    "a", "an", "the", "of", "and", "for", "in", "on", "with",
+    "based", "using", "via", "toward", "towards", "article", "review", "paper", "research",
+    "study", "analysis", "method", "approach", "system",
+]
 
 # --- fixed values: a line starting with one of these is not a title ----------
 PLAIN_TITLE_PREFIXES = [
