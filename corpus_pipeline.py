@@ -52,7 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-pair encoding and decoding of every whole text."""
     path = vocabulary_path()
-    out = bpe.decode(bpe.encode(docs, path), path)
+    out = bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), path)
     return out.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -28,11 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.hashed import mapped
+
 SHIFT = 24
 MASK = (1 << SHIFT) - 1
 NONE = 1 << 62
 #: Encoded pieces between blanks kept per Python worker, in each of two generations: when the younger is full, it becomes the older.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 60_000
 #: Rows handled at once, so that texts, ids and copies of few rows are held.
 ROWS = 256
 #: Longer pieces are encoded but not kept.
@@ -210,6 +212,17 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     return _mapped(docs, decoded, "string", ids, pa.string(), path, "decode")
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode and decode in one pass, so that a task needs one Python worker: docs with both columns in place of the text."""
+
+    def run(texts: list[str | None]) -> dict[str, list]:
+        known = vocabulary(path)
+        coded = [known.encode(t) for t in texts]
+        return {ids: coded, decoded: [known.decode(x) for x in coded]}
+
+    return mapped(docs, text, {ids: ("binary", pa.binary()), decoded: ("string", pa.string())}, run).drop(text)
+
+
 def n_tokens(ids: str = "ids"):
     """Number of tokens in a column of packed ids."""
     return (F.octet_length(ids) / 4).cast("long")

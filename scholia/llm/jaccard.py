@@ -66,7 +66,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hash(word: bytes) -> int:
     if (found := _known.get(word)) is None:
-        if len(_known) > 300_000:
+        if len(_known) > 100_000:
             _known.clear()
         found = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:

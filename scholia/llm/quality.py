@@ -38,7 +38,7 @@ _known: dict[str, int] = {}
 def bucket(word: str) -> int:
     """Hash of a lower-case word without marks at its ends; kept per Python worker."""
     if (found := _known.get(word)) is None:
-        if len(_known) > 200_000:
+        if len(_known) > 60_000:
             _known.clear()
         # words keep a bucket of their marks as well: '###' or '!!' tells as much as a word
         bare = word.strip("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~").lower()

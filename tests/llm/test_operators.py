@@ -262,6 +262,8 @@ def test_bpe_matches_tokenizer(spark, docs, hard):
     for r in bpe.decode(bpe.encode(rows, path), path).collect():
         want = right.encode(r["text"] or "", add_special_tokens=False).ids
         assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["decoded"] == right.decode(want, skip_special_tokens=False)
+    both = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.round_trip(more, path).collect()}
+    assert both == {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.decode(bpe.encode(more, path), path).collect()}
     assert bpe.encode(more, path).columns == ["doc_id", "text", "ids"] and bpe.encode(more.limit(0), path).count() == 0
 
 
