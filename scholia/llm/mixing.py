@@ -33,10 +33,8 @@ MOST_SOURCES = 100_000
 
 def word_count(text: str = "text") -> Column:
     """Runs between blanks, as tokens; 0 for null and empty texts."""
-    plain = F.trim(F.translate(F.col(text), "\n\t\r\f\v", "     "))
-    # a blank is counted only after another character, so runs of blanks count once
-    spaces = F.length(F.regexp_replace(plain, " +", " ")) - F.length(F.translate(plain, " ", ""))
-    return F.coalesce(F.when(plain == "", 0).otherwise(spaces + 1), F.lit(0)).cast("long")
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), "[ \n\t\r\f\x0b]")
+    return F.size(F.array_remove(parts, "")).cast("long")
 
 
 def weights_at(shares: list[float], exponent: float) -> list[float]:
