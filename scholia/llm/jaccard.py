@@ -29,7 +29,6 @@ empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.components import components
+from scholia.llm.scratch import Scratch
 from scholia.session import cut_lineage
 
 WIDTH = 5
@@ -50,9 +50,10 @@ BAND = 1.5
 NEAREST, ROUNDS = 2, 2
 #: Rows of a bucket in one chunk of the second round.
 CHUNK = 1024
+#: Bits of a bucket's number. Buckets that fall together only bring pairs that are then refused.
+BUCKET_BITS = 48
 #: Largest broadcast list of texts to verify, in rows of two numbers; a longer one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-_WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[bytes, int] = {}
 
@@ -159,49 +160,57 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """Rows (bucket, name, n, hub, hub_n) of sets that share a bucket with another set; hub is the bucket's smallest name,
+    """Rows (bucket, name, hub) of sets that share a bucket with another set; hub is the bucket's smallest name,
     or the smallest within one batch: a task sends one row of a bucket and batch, so that a hot bucket stays small."""
 
+    mask = np.uint64((1 << BUCKET_BITS) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, keys = [], []
             for t in batch.column(0).to_pylist():
                 marks = shingles(t, width)
                 if len(marks) and (name := digest(marks)) not in seen:
                     seen.add(name)
-                    found = np.unique(np.concatenate(keys_of(marks, percent)))
+                    found = np.unique(np.concatenate(keys_of(marks, percent)) & mask)
                     keys.append(found)
                     names.append(np.full(len(found), name, np.uint64))
-                    sizes.append(np.full(len(found), len(marks), np.int64))
             if len(seen) > 1_000_000:
                 seen.clear()
             if not keys:
                 continue
-            key, name, n = np.concatenate(keys), np.concatenate(names).view(np.int64), np.concatenate(sizes)
+            key, name = np.concatenate(keys), np.concatenate(names).view(np.int64)
             order = np.lexsort((name, key))
-            key, name, n = key[order], name[order], n[order]
+            key, name = key[order], name[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             of = np.repeat(first, np.diff(np.append(first, len(key))))
             alone = of == np.arange(len(key))
             # the rows of a batch that have their hub need not meet again: they go to any task
-            deal = np.where(alone, key.view(np.int64), mix(key + np.arange(len(key), dtype=np.uint64)).view(np.int64))
+            deal = np.where(alone, key.view(np.int64), (mix(key + np.arange(len(key), dtype=np.uint64)) & mask).view(np.int64))
             # a lone row is dealt by its bucket, which then needs no second copy
             bucket = pa.array(key.view(np.int64), mask=alone)
-            hub = [pa.array(x[of], pa.int64(), mask=alone) for x in (name, n)]
-            yield pa.RecordBatch.from_arrays([bucket, pa.array(deal), pa.array(name), pa.array(n), *hub], ["bucket", "deal", "name", "n", "hub", "hub_n"])
+            hub = pa.array(name[of], pa.int64(), mask=alone)
+            yield pa.RecordBatch.from_arrays([bucket, hub, pa.array(name), pa.array(deal)], ["bucket", "hub", "name", "deal"])
 
-    schema = "bucket long, deal long, name long, n long, hub long, hub_n long"
-    rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, schema)
-    least = F.min(F.when(F.col("hub").isNull(), F.struct("name", "n"))).over(Window.partitionBy("deal"))
+    # the columns that are mostly null stand together, which makes the shuffled rows pack well
+    rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, "bucket long, hub long, name long, deal long")
+    least = F.min(F.when(F.col("hub").isNull(), F.col("name"))).over(Window.partitionBy("deal"))
     met = rows.withColumn("_least", least)
-    return (
-        met.select(
-            F.coalesce("bucket", "deal").alias("bucket"), "name", "n",
-            F.coalesce("hub", F.col("_least.name")).alias("hub"), F.coalesce("hub_n", F.col("_least.n")).alias("hub_n"),
-        )
-        .where("name <> hub")
-    )
+    return met.select(F.coalesce("bucket", "deal").alias("bucket"), "name", F.coalesce("hub", "_least").alias("hub")).where("name <> hub")
+
+
+def crowded(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, name) of the buckets of three sets or more; two that are alone in a bucket are one star, which is compared as such."""
+    ends = met.select("bucket", F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b"))
+    spread = ends.groupBy("bucket").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in "ab" for f in (F.min, F.max)])
+    many = spread.where("min_a <> max_a OR min_b <> max_b").select("bucket")
+    # written first: a hot bucket is split in a join of two plain sides
+    rows = met.join(scratch.keep(many, "many"), "bucket", "left_semi")
+    members = rows.select("bucket", "name").union(rows.select("bucket", F.col("hub").alias("name"))).distinct()
+    kept = scratch.keep(members, "members")
+    scratch.drop("many")
+    return kept
 
 
 def near_sketches(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
@@ -250,13 +259,13 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def open_pairs(met: DataFrame, labels: DataFrame, one: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+def open_pairs(members: DataFrame, labels: DataFrame, one: DataFrame, percent: int, nearest: int | None, scratch: Scratch) -> DataFrame:
     """(a, b) of different components that share a bucket and whose sketches allow a link; of each member the nearest, or all."""
-    members = met.select("bucket", "name").union(met.select("bucket", F.col("hub").alias("name"))).distinct()
     named = members.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     counts = named.groupBy("bucket", "label").agg(F.count("*").alias("k"))
     main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("rows"), F.count("*").alias("labels")).where("labels > 1")
-    rows = cut_lineage(named.join(main, "bucket").join(one.select("name", "n", "bits"), "name"))
+    rows = named.join(scratch.keep(main, "main"), "bucket").join(one.select("name", "n", "bits"), "name")
+    rows = scratch.keep(rows, "rows")
     chunks = F.ceil(F.col("rows") / CHUNK).cast("long")
     home = rows.withColumn("chunk", F.pmod(F.xxhash64("name"), chunks)).withColumn("probe", F.lit(False))
     probes = rows.where("label <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("probe", F.lit(True))
@@ -275,7 +284,9 @@ def open_pairs(met: DataFrame, labels: DataFrame, one: DataFrame, percent: int,
             yield pairs_batch(found)
         yield pairs_batch(cell_pairs(held, percent, nearest))
 
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+    found = cut_lineage(cells.mapInArrow(compare, "a long, b long").distinct())
+    scratch.drop("main", "rows")
+    return found
 
 
 def pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -313,15 +324,18 @@ def cell_pairs(rows: list[tuple], percent: int, nearest: int | None = None) -> l
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key (long), n_shingles and component_id, the smallest key that links lead to, of every row of docs."""
-    rows = cut_lineage(sets_of(docs, key, text, width))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(sets_of(docs, key, text, width), "sets")
     keyed = rows.where("n > 0 AND doc IS NOT NULL")
-    one = cut_lineage(keyed.groupBy("name").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    met = cut_lineage(meetings(docs.where(F.col(key).isNotNull()), text, width, percent))
+    one = scratch.keep(keyed.groupBy("name").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "one")
+    met = scratch.keep(meetings(docs.where(F.col(key).isNotNull()), text, width, percent), "met")
+    members = crowded(met, scratch)
     stars = met.select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
     links = cut_lineage(linked(near_sketches(stars, one, percent), docs, one, text, key, width, percent))
+    scratch.drop("met")
     labels = cut_lineage(components(links))
     for nearest in [*[NEAREST] * ROUNDS, None]:
-        found = cut_lineage(open_pairs(met, labels, one, percent, nearest))
+        found = open_pairs(members, labels, one, percent, nearest, scratch)
         if found.isEmpty():
             break
         more = cut_lineage(linked(found, docs, one, text, key, width, percent))
@@ -332,5 +346,6 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     smallest = one.select("name", "doc").join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     smallest = smallest.join(smallest.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("name", "component_id")
     named = rows.join(cut_lineage(smallest), "name", "left")
+    scratch.drop("one", "members")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
     return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), own).alias("component_id"))
