@@ -50,6 +50,8 @@ BAND = 1.5
 NEAREST, ROUNDS = 2, 2
 #: Rows of a bucket in one chunk of the second round.
 CHUNK = 1024
+#: Home rows of a cell up to which its pairs are looked at one by one.
+SMALL = 64
 #: Bits of a bucket's number. Buckets that fall together only bring pairs that are then refused.
 BUCKET_BITS = 48
 #: Largest broadcast list of texts to verify, in rows of two numbers; a longer one is joined by shuffle.
@@ -298,6 +300,8 @@ def cell_pairs(rows: list[tuple], percent: int, nearest: int | None = None) -> l
     probes, homes = ([r for r in rows if r[2] == kind] for kind in (True, False))
     if not probes or not homes:
         return []
+    if len(homes) <= SMALL:
+        return small_cell_pairs(probes, homes, percent, nearest)
     least = min(len(r[6]) for r in rows)
 
     def bits(side: list[tuple]) -> np.ndarray:
@@ -322,6 +326,33 @@ def cell_pairs(rows: list[tuple], percent: int, nearest: int | None = None) -> l
     return out
 
 
+def small_cell_pairs(probes: list[tuple], homes: list[tuple], percent: int, nearest: int | None) -> list[tuple[int, int]]:
+    """The same for few home rows: labels and sizes refuse most pairs before a sketch is read."""
+    out = []
+    for p in probes:
+        near = []
+        for h in homes:
+            less, more = (p[5], h[5]) if p[5] < h[5] else (h[5], p[5])
+            if p[4] != h[4] and less * 100 >= more * percent:
+                far = folded_distance(p[6], h[6])
+                if far * (100 + percent) <= (100 - percent) * (less + more):
+                    near.append((far, h[3]))
+        if nearest is not None and len(near) > nearest:
+            near = sorted(near, key=lambda x: x[0])[:nearest]
+        out += [(min(p[3], name), max(p[3], name)) for _, name in near]
+    return out
+
+
+def folded_distance(a: bytes, b: bytes) -> int:
+    """As sketch_distance, on whole numbers."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    y, bits = int.from_bytes(long), 8 * len(long)
+    while bits > 8 * len(short):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (int.from_bytes(short) ^ y).bit_count()
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key (long), n_shingles and component_id, the smallest key that links lead to, of every row of docs."""
     scratch = Scratch(docs.sparkSession)

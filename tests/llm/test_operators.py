@@ -342,3 +342,16 @@ def test_quality_held_out(spark, hard):
     none = quality.fit(rated.limit(0))
     first = quality.score(hard, none).first()
     assert abs(first["p_clean"] - 2 / 3) < 1e-6 and abs(first["p_good"] - 1 / 3) < 1e-6
+
+
+def test_small_cells_find_the_pairs_of_large_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(base, 360, replace=False)) for _ in range(40)]
+    cell = [(1, 0, i % 3 == 0, i, i % 7, len(s), jaccard.bit_sketch(s)) for i, s in enumerate(sets)]
+    few = jaccard.cell_pairs(cell, 80), jaccard.cell_pairs(cell, 80, 2)
+    monkeypatch.setattr(jaccard, "SMALL", 0)
+    assert few == (jaccard.cell_pairs(cell, 80), jaccard.cell_pairs(cell, 80, 2)) and few[0]
+    for a, b in [(sets[0], sets[1]), (sets[0][:50], sets[1]), (sets[2], sets[3][:9])]:
+        x, y = jaccard.bit_sketch(a), jaccard.bit_sketch(b)
+        assert jaccard.folded_distance(x, y) == jaccard.folded_distance(y, x) == jaccard.sketch_distance(x, y)
