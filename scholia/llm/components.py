@@ -26,8 +26,9 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(smallest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         done = cut_lineage(hung.where("u > v").distinct())
-        # a star: no node is both a child and a parent
-        if done.select("u").join(done.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+        # stars: no node is both a child and a parent, and none is the child of two
+        roles = done.select("u").union(done.select("v").distinct()).groupBy("u").count()
+        if roles.where("count > 1").isEmpty():
             return done.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
                 done.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )

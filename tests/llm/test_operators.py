@@ -193,6 +193,14 @@ def test_components(spark):
     assert got == {x: m for x, m in label.items() if any(x in ab and ab[0] != ab[1] for ab in links)}
 
 
+def test_components_of_short_paths(spark):
+    # here a node hangs on two parents when no node is both child and parent
+    for path in ([1, 5, 4, 3, 2], [8, 3, 7, 5, 4, 1, 6, 2]):
+        links = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")
+        got = sorted((r["node"], r["label"]) for r in components(links).collect())
+        assert got == [(x, 1) for x in sorted(path)]
+
+
 # --- 5: main text
 
 
