@@ -9,8 +9,9 @@ k best of a block.
 
 Buckets have no cap: a large one is cut into chunks, and every probe goes to all of them.
 Of equal vectors only the k + 1 smallest ids are indexed, since others can never be among k results; every one
-may be a query. ``hashes`` axes form a bucket; by default as many as keep
-about ``bucket_rows`` rows in one.
+may be a query. ``hashes`` axes form a bucket, one at every size of the table: more make
+fewer candidates but find less (at 20 of 2,000 vectors of 64 components, 12 tables: one and 12 probes 0.979
+of 62 % of the rows; two and 12 probes 0.171, and with the most probes, 128, 0.685; in 24 tables 0.889; three 0.060).
 
 Defined results: vectors that are null, zero or hold null or non-finite components
 take no part; shorter vectors count as filled up with zeros; ties go to the smaller id; fewer
@@ -87,8 +88,8 @@ def placed(rows: DataFrame, width: int, tables: int, hashes: int, probes: int) -
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 12, probes: int = 12, hashes: int | None = None,
-    bucket_rows: int = 4096, key: str = "vec_id", vector: str = "embedding",
+    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 12, probes: int = 12, hashes: int = 1,
+    key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest inner products found for each query."""
     some = F.exists("v", lambda x: x != 0)
@@ -98,9 +99,6 @@ def search(
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     copies = Window.partitionBy("v").orderBy("id")
     index = cut_lineage(rows.distinct().withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"))
-    if hashes is None:
-        axes = 2 << max(0, (width - 1).bit_length())
-        hashes = max(1, round(np.log(max(1, index.count() / bucket_rows)) / np.log(axes)))
     held = cut_lineage(placed(index, width, tables, hashes, 1))
     # cells of a bucket: as many chunks as its rows need
     sizes = held.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
