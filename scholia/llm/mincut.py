@@ -42,7 +42,8 @@ BOILER_WORDS = set(
 MAIN_WORDS = set("article body content entry main post story text".split())
 HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+)>|<[!?][^>]*>""", re.S)
+# a quote opens a value only after "=", whatever its length; one that nothing closes is a character like others
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>=]|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>"'][^\s<>]*+|))*+)>|<[!?][^>]*>""", re.S)
 
 #: Joins of neighbours in page order, and of neighbours under one parent.
 NEXT, SIBLING = 0.4, 0.8

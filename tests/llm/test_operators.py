@@ -240,6 +240,15 @@ def test_main_text(spark):
     assert got[1] == got[6] == want and got[2] == got[3] == got[4] == ""
 
 
+def test_main_text_long_values_and_stray_quotes():
+    said = "These are some words of the main text, enough of them to be kept."
+    long = "x > y <p> z " * 10_000
+    assert mincut.main_text(f"<article><p>{said}<img src='data:{long}'> More.</p></article>") == said + " More."
+    assert mincut.main_text(f"<nav data-json=\"{long}\">Menu item</nav><div class=content data-x='{long}'>{said}</div>") == said
+    for stray in ("title=it's", "title='it's'", 'title="5" wide"', "'", 'alt="', "alt= '", "a==b"):
+        assert mincut.main_text(f"<article><p {stray}>{said}</p></article>") == said
+
+
 def test_main_text_of_pages(spark):
     import html
 
