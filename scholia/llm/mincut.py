@@ -28,9 +28,15 @@ from pyspark.sql import DataFrame
 from scholia.llm.hashed import mapped
 
 # Element names of the HTML standard.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    # embedded objects, whose fallback text is kept, and formulas
+    "object audio video canvas source track param embed "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title select option iframe svg canvas object audio video math button".split())
+RAW = set("script style noscript template textarea title select option iframe svg button".split())
 BOILER = set("nav footer aside form menu dialog fieldset".split())
 MAIN = set("article main".split())
 #: Words in class, id and role that tell of boilerplate.
@@ -40,7 +46,9 @@ BOILER_WORDS = set(
     "promotion related reply replies responses search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
 MAIN_WORDS = set("article body content entry main post story text".split())
-HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+HIDDEN = re.compile("hidden|display", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s<>"'][^\s<>]*+|)))?""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # a quote opens a value only after "=", whatever its length; one that nothing closes is a character like others
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>=]|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>"'][^\s<>]*+|))*+)>|<[!?][^>]*>""", re.S)
@@ -110,7 +118,7 @@ class Page:
                     opened[stack.pop().tag] -= 1
                 continue
             if tag in RAW:
-                if tag not in INLINE and tag not in ("svg", "math"):
+                if tag not in INLINE and tag != "svg":
                     close()
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source) if tag in ("script", "style", "textarea", "title") else at
@@ -136,12 +144,23 @@ class Page:
         return page
 
 
+def concealed(attributes: str) -> bool:
+    """Whether the attributes hide an element: hidden, aria-hidden=true, or display:none as its style."""
+    if not HIDDEN.search(attributes):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def child(parent: Element, tag: str, attributes: str, number: int) -> Element:
     words = {w for found in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", "".join(found).lower())} if "=" in attributes else set()
     boiler = parent.boiler + (tag in BOILER) + bool(words & BOILER_WORDS and tag not in ("body", "html") and not words & MAIN_WORDS - {"text", "body"})
     boiler += tag == "header" and not parent.main
     main = parent.main or tag in MAIN or bool(words & {"article", "main", "entry", "story", "post", "content"} and not words & BOILER_WORDS)
-    hidden = parent.hidden or tag == "head" or bool(HIDDEN.search(attributes))
+    hidden = parent.hidden or tag == "head" or concealed(attributes)
     return Element(tag, number, boiler, main, hidden, parent.link or tag == "a")
 
 

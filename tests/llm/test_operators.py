@@ -249,6 +249,16 @@ def test_main_text_long_values_and_stray_quotes():
         assert mincut.main_text(f"<article><p {stray}>{said}</p></article>") == said
 
 
+def test_main_text_hidden_elements_and_embedded_text():
+    said = "These are some words of the main text, enough of them to be kept."
+    for shown in ('class="overflow-hidden"', "class='md:hidden prose'", 'aria-hidden="false"', 'title="the hidden part"', "data-hidden=1", 'data-x="aria-hidden=true display:none"', 'style="display:block"'):
+        assert mincut.main_text(f"<div {shown}><article><p>{said}</article></div>") == said
+    for gone in ("hidden", 'HIDDEN=""', "aria-hidden=true", "aria-hidden = 'true'", 'style="color:red; display : none"', "class='a' hidden id=b"):
+        assert mincut.main_text(f"<article><p>{said}</p><div {gone}><p>{said}</div></article>") == said
+    page = f"<article><p>{said} Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.<p><object data=a><param name=b>{said}</object><p><video src=c><source src=d>{said}</video></article>"
+    assert mincut.main_text(page).split("\n") == [said + " Here x=2 holds.", said, said]
+
+
 def test_main_text_of_pages(spark):
     import html
 
