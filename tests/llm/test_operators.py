@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 import math
 import random
@@ -286,6 +287,35 @@ def test_license_scan(spark, docs):
     assert licenses.scan(docs.limit(0), model).count() == 0
 
 
+def test_license_scan_where_its_words_are_common(spark):
+    # each word of the licence line is an everyday word of this corpus; on few rows one occurrence was already often
+    texts = ["Er kommt mit dem Zug und mit der Bahn.", "The film was released in May.", "Under the bridge, under the road.", "My driving license is new.", "The end of the day."] * 20
+    texts += [f"Ein Satz mit Nummer {i} und noch mehr." for i in range(100)]
+    rows = spark.createDataFrame([*enumerate(texts), (900, "Released under the MIT License."), (901, "Distributed under the MIT license.")], "doc_id long, text string")
+    model = licenses.fit(rows)
+    found = lambda m: {(r["doc_id"], r["licence"]) for r in licenses.scan(rows, m).collect()}
+    got = found(model)
+    assert {(900, "mit"), (901, "mit")} <= got
+    # the same as by scoring every paragraph
+    assert got == found(dataclasses.replace(model, telling=None))
+
+
+def test_telling_words_are_a_bound():
+    random.seed(8)
+    for _ in range(200):
+        words = list("abcdef")
+        names = [*words, *(f"{x} {y}" for x in words for y in words)]
+        weights = [(g, [random.gauss(0, 1) for _ in range(3)]) for g in random.sample(names, 12)]
+        intercepts, level = [random.gauss(-1, 1), random.gauss(-1, 1), 1.0], random.uniform(0.5, 0.9)
+        telling = licenses.telling_words(weights, intercepts, level, words)
+        if telling is not None:
+            for _ in range(50):
+                said = random.choices([x for x in [*words, "z"] if x not in telling], k=random.randint(0, 8))
+                has = {*said, *(f"{x} {y}" for x, y in zip(said, said[1:]))}
+                sums = np.exp(np.array(intercepts) + sum((np.array(w) for g, w in weights if g in has), np.zeros(3)))
+                assert (sums[:2] / sums.sum() < level).all()
+
+
 # --- 7: tokens
 
 
