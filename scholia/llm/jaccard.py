@@ -15,7 +15,10 @@ Texts of equal sets are one class. In each bucket every class is first compared
 with the smallest (never all pairs), which joins large groups. Buckets that then
 hold several components are looked at again: members outside the largest
 component are sent to all chunks of the bucket and compared there on bit
-sketches. At first each sends on only its few nearest partners, which joins what is
+sketches; a task holds the chunk's own rows while those sent stream by. Where so many
+would be sent that more rows arise than keys of the bucket's sets, the bucket is divided: linked
+sets also agree in a part of another sketch, with new hashes, so unlike texts that share
+one shingle no longer meet. At first each sends on only its few nearest partners, which joins what is
 left of large groups; a last round sends on every pair of different components
 that the bound leaves open. No link is lost and no group is multiplied out.
 
@@ -50,6 +53,8 @@ BAND = 1.5
 NEAREST, ROUNDS = 2, 2
 #: Rows of a bucket in one chunk of the second round.
 CHUNK = 1024
+#: Rows sent to a cell that are compared at once, and how often a bucket is divided again.
+PROBES, DIVISIONS = 1024, 4
 #: Home rows of a cell up to which its pairs are looked at one by one.
 SMALL = 64
 #: Bits of a bucket's number. Buckets that fall together only bring pairs that are then refused.
@@ -261,34 +266,86 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, one: DataFrame, percent: int, nearest: int | None, scratch: Scratch) -> DataFrame:
+def open_pairs(
+    members: DataFrame, labels: DataFrame, one: DataFrame, percent: int, nearest: int | None, scratch: Scratch, docs: DataFrame, text: str, key: str, width: int
+) -> DataFrame:
     """(a, b) of different components that share a bucket and whose sketches allow a link; of each member the nearest, or all."""
     named = members.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
-    counts = named.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("rows"), F.count("*").alias("labels")).where("labels > 1")
-    rows = named.join(scratch.keep(main, "main"), "bucket").join(one.select("name", "n", "bits"), "name")
-    rows = scratch.keep(rows, "rows")
+    found = None
+    for division in range(DIVISIONS + 1):
+        counts = named.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+        main = counts.groupBy("bucket").agg(
+            F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("rows"), (F.sum("k") - F.max("k")).alias("probes"), F.count("*").alias("labels")
+        ).where("labels > 1")
+        rows = named.join(scratch.keep(main, f"main{division}"), "bucket").join(one.select("name", "n", "bits"), "name")
+        rows = scratch.keep(rows, f"rows{division}")
+        wide = wide_buckets(rows) if division < DIVISIONS else None
+        pairs = cut_lineage(cell_rows(rows if wide is None else rows.join(wide, "bucket", "left_anti")).mapInArrow(lambda batches: compared(batches, percent, nearest), "a long, b long").distinct())
+        found = pairs if found is None else found.union(pairs)
+        if wide is None:
+            break
+        parted = divided(rows.join(wide, "bucket", "left_semi").select("bucket", "name", "label"), division + 1, docs, one, text, key, width, percent)
+        named = scratch.keep(parted, f"divided{division}")
+    scratch.drop(*(f"{kind}{d}" for d in range(division + 1) for kind in ("main", "rows")), *(f"divided{d}" for d in range(division)))
+    return cut_lineage(found.distinct()) if division else found
+
+
+def wide_buckets(rows: DataFrame) -> DataFrame | None:
+    """The buckets whose rows sent to chunks are more than the keys of their sets, about n / 2 + 6 each; None if there are none."""
+    least = rows.where(F.col("probes") > 6 * CHUNK).groupBy("bucket").agg(F.first("probes").alias("probes"), F.max("n").alias("n"))
+    wide = cut_lineage(least.where(F.col("probes") > CHUNK * (F.col("n") / 2 + 6)).select("bucket"))
+    return None if wide.isEmpty() else wide
+
+
+def divided(rows: DataFrame, division: int, docs: DataFrame, one: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
+    """(bucket, name, label) of rows in buckets of another sketch within their own; linked sets share one again."""
+    asked = rows.select("name").distinct().join(one.select("name", F.col("doc").alias("_doc")), "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, keys = [], []
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                marks = shingles(t, width)
+                # repeated rows of a key have texts of their own
+                if len(marks) and digest(marks) == name % 2**64:
+                    # a bijection of the hashes: differences stay, parts and values are others
+                    keys.append(np.unique(np.concatenate(keys_of(mix(marks + np.uint64(division) * _MIX), percent))))
+                    names.append(np.full(len(keys[-1]), name, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), signed(np.concatenate(keys))], ["name", "key"])
+
+    texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
+    keys = texts.select("name", "_text").mapInArrow(run, "name long, key long").distinct()
+    return rows.join(keys, "name").select(F.xxhash64("bucket", "key").alias("bucket"), "name", "label")
+
+
+def cell_rows(rows: DataFrame) -> DataFrame:
+    """The rows by cell, a chunk of a bucket: first its own, then those outside the bucket's largest component, which go to all chunks."""
     chunks = F.ceil(F.col("rows") / CHUNK).cast("long")
     home = rows.withColumn("chunk", F.pmod(F.xxhash64("name"), chunks)).withColumn("probe", F.lit(False))
     probes = rows.where("label <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("probe", F.lit(True))
     cells = home.unionByName(probes).select("bucket", "chunk", "probe", "name", "label", "n", "bits")
-    cells = cells.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:2] != row[:2]:
-                    found += cell_pairs(held, percent, nearest)
-                    held = []
-                held.append(row)
-            yield pairs_batch(found)
-        yield pairs_batch(cell_pairs(held, percent, nearest))
-
-    found = cut_lineage(cells.mapInArrow(compare, "a long, b long").distinct())
-    scratch.drop("main", "rows")
-    return found
+    return cells.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "probe")
+
+
+def compared(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
+    """The open pairs of sorted cells; the own rows of one cell and PROBES others are held."""
+    cell, homes, probes = None, [], []
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:2] != cell:
+                found += cell_pairs(homes + probes, percent, nearest)
+                cell, homes, probes = row[:2], [], []
+            elif len(probes) >= PROBES:
+                found += cell_pairs(homes + probes, percent, nearest)
+                probes = []
+            (probes if row[2] else homes).append(row)
+            if len(found) >= 65536:
+                yield pairs_batch(found)
+                found = []
+        yield pairs_batch(found)
+    yield pairs_batch(cell_pairs(homes + probes, percent, nearest))
 
 
 def pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -366,7 +423,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     scratch.drop("met")
     labels = cut_lineage(components(links))
     for nearest in [*[NEAREST] * ROUNDS, None]:
-        found = open_pairs(members, labels, one, percent, nearest, scratch)
+        found = open_pairs(members, labels, one, percent, nearest, scratch, docs, text, key, width)
         if found.isEmpty():
             break
         more = cut_lineage(linked(found, docs, one, text, key, width, percent))

@@ -194,6 +194,37 @@ def test_similar_groups_hard(hard):
     assert jaccard.similar_groups(hard.limit(0)).count() == 0
 
 
+def test_similar_groups_of_a_crowded_bucket(spark, monkeypatch):
+    # unlike texts with one opening meet in a bucket, which has to be divided; some are similar
+    monkeypatch.setattr(jaccard, "CHUNK", 1)
+    divisions, divided = [], jaccard.divided
+    monkeypatch.setattr(jaccard, "divided", lambda *a: divisions.append(a[1]) or divided(*a))
+    random.seed(9)
+    rows = []
+    for i in range(400):
+        words = "all of them start alike".split() + [f"w{random.randrange(10**6)}" for _ in range(random.choice((3, 4, 9, 30)))]
+        rows.append((2 * i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join([*words, "more"])))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: frozenset(jaccard.shingles(t).tolist()) for i, t in rows}
+    want = {i: i - 1 if i % 2 and 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1]) else i for i in sets}
+    assert got == want and len(set(want.values())) < len(want) and divisions
+
+
+def test_cells_hold_few_probes(monkeypatch):
+    import pyarrow as pa
+
+    random.seed(10)
+    sizes, cell_pairs = [], jaccard.cell_pairs
+    rows = [(cell, 0, probe, 10_000 * cell + i + 5000 * probe, i, 60, random.randbytes(1) * 8) for cell in (1, 2) for probe, n in ((False, 9), (True, 3000)) for i in range(n)]
+    want = [p for c in (1, 2) for p in cell_pairs([r for r in rows if r[0] == c], 80)]
+    monkeypatch.setattr(jaccard, "cell_pairs", lambda held, *a: sizes.append(len(held)) or cell_pairs(held, *a))
+    batches = [pa.RecordBatch.from_pylist([dict(zip("abcdefg", r)) for r in rows[at : at + 500]]) for at in range(0, len(rows), 500)]
+    got = [p for b in jaccard.compared(iter(batches), 80, None) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(got) == sorted(want) and want and max(sizes) <= 9 + jaccard.PROBES
+
+
 def test_components(spark):
     random.seed(5)
     links = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
