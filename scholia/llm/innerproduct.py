@@ -9,7 +9,7 @@ k-th best reaches at least; blocks whose longest vector cannot reach it are not
 
 Defined results: vectors that are null or hold null or non-finite components take
 no part; shorter vectors count as filled up with zeros; a query is compared with every
-row of another id; ties go to the smaller id; fewer candidates than k give all;
+row of another id, repeated rows counting each, as in the SQL; ties go to the smaller id; fewer candidates than k give all;
 scores beyond 64 bits stay at the largest or smallest 64-bit number.
 """
 
@@ -114,9 +114,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     first = ranges[0]["a"]
     longest = blocks.where(F.col("cell") == first).select("id", "v").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))))
     none = asked.select(F.pmod(F.xxhash64("id"), F.lit(partitions)).cast("int").alias("cell"), "id", "v", F.lit(float("-inf")).alias("least"))
-    reached = V.ranked(V.score_cells(longest, none, scorer, "long"), k).where(F.col("rank") == k).groupBy("query_id").agg(F.max("score").alias("least"))
+    reached = V.ranked(V.score_cells(longest, none, scorer, "long"), k, once=False).where(F.col("rank") == k).groupBy("query_id").agg(F.max("score").alias("least"))
     bounded = asked.join(reached, asked.id == reached.query_id, "left").withColumn("least", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
     spans = F.array(*[F.struct(F.lit(r["a"]).alias("a"), F.lit(r["b"]).alias("b"), F.lit(float(r["top"])).alias("top")) for r in ranges])
     fits = F.filter(spans, lambda s: s["top"] * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("least"))
     sent = bounded.select("id", "v", "least", F.explode(F.flatten(F.transform(fits, lambda s: F.sequence(s["a"], s["b"])))).alias("cell"))
-    return V.ranked(V.score_cells(blocks, sent, scorer, "long"), k)
+    return V.ranked(V.score_cells(blocks, sent, scorer, "long"), k, once=False)

@@ -103,7 +103,8 @@ def best(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) ->
     return tuple(np.concatenate(x) if out else np.empty(0) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of each query, ties to smaller ids; a pair found twice counts once."""
+def ranked(found: DataFrame, k: int, once: bool = True) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of each query, ties to smaller ids; once: a pair found twice counts once."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.dropDuplicates(["query_id", "vec_id"]) if once else found
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -107,6 +107,18 @@ def test_exact_search_large_numbers(spark):
     assert [i for i, _ in got[0]] == [1, 2] and got[0][0][1] == 2**63 - 1
 
 
+def test_exact_search_repeated_rows(spark):
+    random.seed(11)
+    rows = [(i, [random.gauss(0, 1) for _ in range(6)]) for i in range(80)]
+    rows += [(7, [9.0] * 6)] * 25 + [(20, rows[20][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    want = {q: sorted((-int(w @ v), i) for p, v in whole if p == q for i, w in whole if i != q)[:20] for q in (0, 20, 40, 60)}
+    got = grouped(innerproduct.search(table, table.where("vec_id % 20 = 0")))
+    assert got == {q: [(i, -s) for s, i in b] for q, b in want.items()} and all(len(b) == 20 for b in got.values())
+    assert any(b[0][0] == b[19][0] == 7 for b in got.values()) and len({i for b in got.values() for i, _ in b}) > 1
+
+
 def test_searches_of_nothing(spark):
     none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
     assert innerproduct.search(none, none).count() == polytope.search(none, none).count() == 0
