@@ -21,14 +21,18 @@ LEAST_GOOD = 0.4
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: a fit on rated documents; toxic and poor ones go."""
+    """Quality classifier: a fit on rated documents; toxic and poor ones go. All stay where the ratings tell no texts apart."""
     model = quality.fit(quality.graded(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    if not model.weights.any():
+        return docs.select(*COLUMNS)
     return quality.score(docs, model).where(F.col("p_good") >= LEAST_GOOD).select(*COLUMNS)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: what has no letters or is far from every learned language goes."""
+    """Language ID: what has no letters or is far from every learned language goes. All stay where none was learned."""
     model = language.fit(docs.where(~held_out("doc_id")))
+    if not model.names:
+        return docs.select(*COLUMNS)
     return language.predict(docs, model).where(~F.col("lang_rejected")).select(*COLUMNS)
 
 

@@ -25,6 +25,16 @@ def test_stages(spark):
     assert docs.count() and {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(docs.columns)
 
 
+def test_stages_without_ratings_or_languages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rated = {"none": labels.limit(0), "others": labels.withColumn("doc_id", labels.doc_id + 10**9)}
+    for name, rows in rated.items():
+        rows.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.keep_good(spark, docs, f"{tmp_path}/{name}").count() == 40
+    assert corpus_pipeline.keep_known_languages(spark, docs, str(tmp_path)).count() == 40
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
