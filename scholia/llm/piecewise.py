@@ -39,7 +39,7 @@ from scholia.llm.hashed import mapped
 #: The mark that stands for a blank in pieces.
 BLANK = "▁"
 #: Encoded segments kept per Python worker, in each of two generations: when the younger is full, it becomes the older.
-KEPT = 120_000
+KEPT = 400_000
 #: Longer segments are encoded but not kept.
 KEPT_LENGTH = 48
 #: Marks a symbol that never merges; Spark's texts may hold it, pieces do not.
@@ -119,6 +119,8 @@ class Vocabulary:
         #: Decimal id and text of each piece that symbols merge to.
         self.shown = {p: (str(i), p.replace(BLANK, " ")) for p, i in self.ids.items()}
         self.lines = self.apart and "\n" not in joined
+        #: Whether some segment so far decoded to another text, as unknown symbols do.
+        self.lossy = False
         self.known = Segments(self._segment)
 
     def _piece(self, place: int, message: dict, pieces: list[str]) -> None:
@@ -211,13 +213,17 @@ class Vocabulary:
             was_unknown = unknown
         return out
 
-    def _segment(self, segment: str) -> tuple[str, int, str]:
+    def _segment(self, segment: str) -> str:
+        """Decimal ids of a segment, joined by commas; one that decodes to another text is noted."""
         try:
             found = [self.shown[s] for s in self.merged(segment)]
-            return ",".join([f[0] for f in found]), len(found), "".join([f[1] for f in found])
+            ids, text = ",".join([f[0] for f in found]), "".join([f[1] for f in found])
         except KeyError:
-            ids = self.numbers(segment)
-            return ",".join(map(str, ids)), len(ids), self._text(ids)
+            numbers = self.numbers(segment)
+            ids, text = ",".join(map(str, numbers)), self._text(numbers)
+        if text != segment.replace(BLANK, " "):
+            self.lossy = True
+        return ids
 
     def prepared(self, text: str) -> str:
         text = text.replace(" ", BLANK)
@@ -230,18 +236,17 @@ class Vocabulary:
         text = self.prepared(text)
         if not self.apart:
             return self.numbers(text)
-        return [int(i) for s in self.segments.findall(text) for i in self.known[s][0].split(",")]
+        return [int(i) for s in self.segments.findall(text) for i in self.known[s].split(",")]
 
     def joined(self, text: str | None) -> tuple[str, int, str]:
         """Decimal ids joined by commas, their number, and the text they decode to."""
         if not text:
             return "", 0, ""
         text = self.prepared(text)
-        found = list(map(self.known.__getitem__, self.segments.findall(text))) if self.apart else [self._segment(text)]
-        decoded = "".join([f[2] for f in found])
-        if self.dummy and decoded.startswith(" "):
-            decoded = decoded[1:]
-        return ",".join([f[0] for f in found]), sum([f[1] for f in found]), decoded
+        ids = ",".join(map(self.known.__getitem__, self.segments.findall(text))) if self.apart else self._segment(text)
+        # the ids of every segment were decoded when it was made
+        decoded = self.decode(list(map(int, ids.split(",")))) if self.lossy else text[self.dummy :].replace(BLANK, " ")
+        return ids, ids.count(",") + 1, decoded
 
     def _text(self, ids: list[int]) -> str:
         """Text of ids, blanks at the beginning included."""
@@ -291,14 +296,14 @@ def run_text(run: bytearray) -> str:
 
 
 class Segments(dict):
-    """What a segment encodes to, made when first asked for and kept in two generations."""
+    """Decimal ids by segment, made when first asked for and kept in two generations."""
 
-    def __init__(self, make: Callable[[str], tuple[str, int, str]]):
+    def __init__(self, make: Callable[[str], str]):
         self.make, self.older = make, {}
         #: Segments made since they were last taken, for the check.
-        self.fresh: dict[str, tuple[str, int, str]] = {}
+        self.fresh: dict[str, str] = {}
 
-    def __missing__(self, segment: str) -> tuple[str, int, str]:
+    def __missing__(self, segment: str) -> str:
         if (found := self.older.get(segment)) is None:
             found = self.fresh[segment] = self.make(segment)
         if len(segment) <= KEPT_LENGTH:
@@ -340,11 +345,11 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     return mapped(docs, ids, {decoded: ("string", pa.string())}, run).drop(ids)
 
 
-def differs(path: str, fresh: dict[str, tuple[str, int, str]]) -> bool:
+def differs(path: str, fresh: dict[str, str]) -> bool:
     """Whether the library encodes new segments, each on a line of one text, to other ids. No merge crosses a line's end."""
     known = vocabulary(path)
-    end = known.known["\n"][0]
-    ours = ",".join([x for s in fresh.values() for x in (s[0], end)])
+    end = known.known["\n"]
+    ours = ",".join([f"{ids},{end}" for ids in fresh.values()])
     theirs = library(path).encode("\n" + "".join([f"{s}\n" for s in fresh]).replace(BLANK, " "))
     return known.joined("\n")[0] + "," + ours != ",".join(map(str, theirs))
 

@@ -48,6 +48,15 @@ def test_pieces_without_segments(library):
         assert (known.numbers(known.prepared(text)) if text else []) == known.encode(text)
 
 
+def test_unknown_symbols_without_bytes():
+    """Without bytes a run of unknown symbols is one unknown id, whose text is not the symbols'."""
+    known = piecewise.Vocabulary(vocabulary_path(PIECES))
+    known.bytes, known.by_byte = {}, {}
+    ids, n, decoded = known.joined("a\n\nb")
+    assert known.lossy and n == len(ids.split(",")) and decoded == known.decode([int(i) for i in ids.split(",")])
+    assert "⁇" in decoded
+
+
 def test_fixed_and_unused_pieces():
     known = piecewise.Vocabulary(vocabulary_path(PIECES))
     known.fixed, known.marks = ["th"], piecewise.re.compile("th")
@@ -65,7 +74,7 @@ def test_piece_check_finds_differences():
     fresh = dict(known.known.fresh)
     assert fresh and not piecewise.differs(path, fresh)
     assert piecewise.agreeing(path, texts, found) == [True, True]
-    fresh[next(iter(fresh))] = ("5", 1, "x")
+    fresh[next(iter(fresh))] = "5"
     assert piecewise.differs(path, fresh)
     assert piecewise.agreeing(path, texts, [found[1], found[1]]) == [False, True]
 
