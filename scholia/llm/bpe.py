@@ -33,8 +33,8 @@ from scholia.llm.hashed import mapped
 SHIFT = 24
 MASK = (1 << SHIFT) - 1
 NONE = 1 << 62
-#: Encoded pieces between blanks kept per Python worker, in each of two generations: when the younger is full, it becomes the older.
-KEPT_PIECES = 60_000
+#: Encoded pieces between blanks, and words of pieces of several words, kept per Python worker in each of two generations: when the younger is full, it becomes the older.
+KEPT_PIECES, KEPT_WORDS = 300_000, 60_000
 #: Rows handled at once, so that texts, ids and copies of few rows are held.
 ROWS = 256
 #: Longer pieces are encoded but not kept.
@@ -78,39 +78,54 @@ def merge(symbols: list[int], pairs: dict[int, int]) -> list[int]:
                 at += 1
         i = at - leaves
         j = after[i]
-        symbols[i], symbols[j] = low & MASK, -1
+        made = symbols[i] = low & MASK
+        symbols[j] = -1
         after[i] = k = after[j]
-        h = before[i]
-        changed = [(i, NONE)]
+        tree[at] = NONE
         if k < n:
             before[k] = i
-            changed = [(i, get(symbols[i] << SHIFT | symbols[k], NONE)), (j, NONE)]
+            tree[at] = get(made << SHIFT | symbols[k], NONE)
+            other = j + leaves
+            tree[other] = NONE
+            while other > 1:
+                a, b = tree[other], tree[other ^ 1]
+                other >>= 1
+                a = a if a <= b else b
+                if tree[other] == a:
+                    break
+                tree[other] = a
+        h = before[i]
         if h >= 0:
-            changed.append((h, get(symbols[h] << SHIFT | symbols[i], NONE)))
-        for leaf, value in changed:
-            at = leaf + leaves
-            tree[at] = value
-            while at > 1:
-                a, b = tree[at], tree[at ^ 1]
-                at >>= 1
+            other = h + leaves
+            tree[other] = get(symbols[h] << SHIFT | made, NONE)
+            while other > 1:
+                a, b = tree[other], tree[other ^ 1]
+                other >>= 1
                 a = a if a <= b else b
-                if tree[at] == a:
+                if tree[other] == a:
                     break
-                tree[at] = a
+                tree[other] = a
+        while at > 1:
+            a, b = tree[at], tree[at ^ 1]
+            at >>= 1
+            a = a if a <= b else b
+            if tree[at] == a:
+                break
+            tree[at] = a
     return [s for s in symbols if s >= 0]
 
 
 class Pieces(dict):
-    """Packed ids by piece of text, encoded when first asked for and kept in two generations."""
+    """What a piece of text encodes to, made when first asked for and kept in two generations."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode, self.older = encode, {}
+    def __init__(self, encode: Callable[[str], object], most: int):
+        self.encode, self.most, self.older = encode, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str):
         if (found := self.older.get(piece)) is None:
             found = self.encode(piece)
         if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = found
@@ -139,11 +154,14 @@ class Vocabulary:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.words = regex.compile(WORDS)
-        self.known, self.pieces = Pieces(self.word), Pieces(self.piece)
+        self.known, self.pieces = Pieces(self.word, KEPT_WORDS), Pieces(self.piece, KEPT_PIECES)
 
-    def piece(self, piece: str) -> bytes:
-        """Packed ids of the words of a piece; no word crosses a blank."""
-        return b"".join(map(self.known.__getitem__, self.words.findall(piece)))
+    def piece(self, piece: str) -> tuple[bytes, str]:
+        """Packed ids of the words of a piece and the text they decode to; no word crosses a blank."""
+        words = self.words.findall(piece)
+        # a piece that is one word is kept as a piece only
+        ids = self.word(words[0]) if len(words) == 1 else b"".join(map(self.known.__getitem__, words))
+        return ids, self.decode(ids)
 
     def word(self, word: str) -> bytes:
         """Ids of a word as packed little-endian unsigned 32-bit integers."""
@@ -152,20 +170,24 @@ class Vocabulary:
         ids.append(self.last[data[-1]])
         return array("I", merge([i for i in ids if i >= 0], self.pairs)).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Packed ids of a whole text."""
+    def both(self, text: str | None) -> tuple[bytes, str]:
+        """Packed ids of a whole text and the text they decode to, by one look-up a piece."""
         if not text:
-            return b""
-        out: list[bytes] = []
+            return b"", ""
+        out: list[tuple[bytes, str]] = []
         packed = self.pieces.__getitem__
         for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
             if k % 2:
-                out.append(self.special[part].to_bytes(4, "little"))
+                out.append((self.special[part].to_bytes(4, "little"), part))
             elif part:
                 # each character lowers on its own: a final sigma is not special
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 out += map(packed, part.replace("\n", " ").split(" "))
-        return b"".join(out)
+        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])
+
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of a whole text."""
+        return self.both(text)[0]
 
     def decode(self, ids: bytes | None) -> str:
         """Tokens of packed ids, joined by blanks as a file without decoder asks for; special tokens stay, unknown ids go."""
@@ -217,8 +239,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
     def run(texts: list[str | None]) -> dict[str, list]:
         known = vocabulary(path)
-        coded = [known.encode(t) for t in texts]
-        return {ids: coded, decoded: [known.decode(x) for x in coded]}
+        made = [known.both(t) for t in texts]
+        return {ids: [m[0] for m in made], decoded: [m[1] for m in made]}
 
     return mapped(docs, text, {ids: ("binary", pa.binary()), decoded: ("string", pa.string())}, run).drop(text)
 
