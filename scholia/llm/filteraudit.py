@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows looked at to place the ranges, for each range, and the most bytes of their prefixes; ranges for each shuffle partition.
-SAMPLED, PREFIX, RANGES = 8, 256, 2
+SAMPLED, PREFIX, RANGES = 4, 1024, 2
 #: Rows handled at once, and bytes of text above which they are divided.
 ROWS, BYTES = 4096, 16 << 20
 
