@@ -19,7 +19,22 @@ SELECT event_id, path, CASE WHEN regexp_matches(path, '\\]$') THEN NULL ELSE k E
   CASE WHEN jt NOT IN ('OBJECT', 'ARRAY') THEN atom ->> '$' END AS value FROM t WHERE path <> '$'""")
 def leaves(t):
     rows = semi.leaves(t("f_extractions"), ["event_id"], "body")
-    return rows.withColumn("above", F.array_join("ancestors", ".")).drop("ancestors")
+    return rows.withColumn("above", F.array_join("ancestors", ".")).drop("ancestors", "depth")
+
+
+@query("q_deep_bodies", "", """
+SELECT event_id, 2 * (event_id % 12) + 3 AS nodes, CAST(2 * (event_id % 12) + 3 AS INTEGER) AS deepest, event_type AS leaf, 1::BIGINT AS flat FROM events""")
+def deep_bodies(t):
+    """Bodies nested up to 25 levels, with a list nested as deeply: all nodes, the innermost value, the list made flat."""
+    n = (F.col("event_id") % 12).cast("int")
+    core = F.concat(F.lit('{"v":["'), "event_type", F.lit('"]}'))
+    body = F.concat(F.lit('{"t":'), F.repeat(F.lit('{"a":['), n), core, F.repeat(F.lit("]}"), n), F.lit("}"))
+    listed = F.concat(F.repeat(F.lit("["), n + 1), F.lit('"x"'), F.repeat(F.lit("]"), n + 1))
+    rows = t("events").select("event_id", body.alias("body"), listed.alias("listed"))
+    found = semi.leaves(rows, ["event_id", "listed"], "body")
+    flat = F.size(semi.clean_values(F.array(semi.parse(F.col("listed"))))).cast("long")
+    whole = found.groupBy("event_id", "listed").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"), F.max("value").alias("leaf"))
+    return whole.select("event_id", "nodes", "deepest", "leaf", flat.alias("flat"))
 
 
 @query("q_find_key", "f_extractions", """

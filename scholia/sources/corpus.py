@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
 from scholia.operators.semi import parse_whole
+from scholia.sources.hidden import hidden_texts
 
 # --- fixed values: file endings and the reader they belong to -----------------
 READERS = {".pdf.txt": "pdf_text", ".pdf_text": "pdf_text", ".md": "markdown", ".txt": "text"}
@@ -54,12 +55,13 @@ def plain_path(column: Column) -> Column:
 
 def scan_corpus(
     spark: SparkSession, root: str, extensions: list[str], recursive: bool = True,
-    exclude: list[str] | None = None,
+    exclude: list[str] | None = None, hidden: bool = True,
 ) -> DataFrame:
     """``path, rel_path, name, text``: one row per matching file, whole text.
 
     Names are matched by their ending, when files are listed; files that match
-    an exclusion are dropped right after the scan.
+    an exclusion are dropped right after the scan.  Hidden files, which Spark's
+    text source passes over, are read as well.
     """
     root = root.rstrip("/")
     reader = (
@@ -75,9 +77,20 @@ def scan_corpus(
     df = df.withColumn("name", F.regexp_extract("path", r"[^/]*$", 0))
     if not recursive:
         df = df.filter(~F.contains("rel_path", F.lit("/")))
+    if hidden:
+        more = hidden_texts(spark, root, extensions, recursive)
+        df = df.unionByName(more.select(
+            F.concat(F.lit(plain_root(root) + "/"), "rel_path").alias("path"), "text", "rel_path",
+            F.regexp_extract("rel_path", r"[^/]*$", 0).alias("name"),
+        ))
     return exclude_globs(df, exclude or [], root)
 
 
+def plain_root(root: str) -> str:
+    """A root as plain paths show it."""
+    return re.sub(r"^file:/+", "/", root.rstrip("/"))
+
+
 def reader_kind(name: Column, allowed: list[str] | None = None) -> Column:
     """Reader for a file name, compound endings first; NULL when there is none."""
     allowed = allowed or list(READERS)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from scholia.operators.tasks import TASK_KEY, Prompt
 from scholia.plans.extraction import extraction_run
 from scholia.sources.corpus import exclude_globs, plain_path
+from scholia.sources.hidden import hidden_texts
 
 STATE_SCHEMA = (
     "model_alias string, task_id string, json string, status string, retries int, "
@@ -19,9 +20,10 @@ STATE_SCHEMA = (
 
 
 def corpus_stream(
-    spark: SparkSession, root: str, extension: str | list[str], exclude: list[str] | None = None, files_per_batch: int = 1000
+    spark: SparkSession, root: str, extension: str | list[str], exclude: list[str] | None = None, files_per_batch: int = 1000,
+    hidden: bool = True,
 ) -> DataFrame:
-    """New files below a folder as ``rel_path, text``, bounded per batch."""
+    """New files below a folder as ``rel_path, text``, bounded per batch; hidden ones as well."""
     root = root.rstrip("/")
     extensions = [extension] if isinstance(extension, str) else extension
     raw = (
@@ -34,6 +36,8 @@ def corpus_stream(
         .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     )
     rel = raw.select(F.expr(f"substring(path, {len(root) + 2})").alias("rel_path"), "text")
+    if hidden:
+        rel = rel.unionByName(hidden_texts(spark, root, extensions, stream=True, files_per_batch=files_per_batch))
     return exclude_globs(rel, exclude or [], root)
 
 

@@ -58,6 +58,44 @@ def test_json_repair_in_the_jvm(spark):
     assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
 
 
+def test_json_repair_takes_linear_time(spark):
+    import time
+
+    quote, slash = '"', "\\"
+    bodies = {
+        "escapes": ("{" + quote + slash * 300_001, None), "quotes": ("{" + quote + (slash + quote) * 300_000, None), "braces": ("{" * 500_000, None),
+        "lists": ("[" * 200_000 + "x" + "]" * 200_000 + "{", None), "items": ('{"a": [' + '{"k": "v {x} \\" y"}, ' * 40_000, None),
+        "whole": ('noise {"a": [' + '{"k": "v {x} \\" y"}, ' * 40_000 + "1]} } tail {", 3),
+    }
+    rows = spark.createDataFrame([(k, v[0]) for k, v in bodies.items()], "k string, r string").repartition(1)
+    semi.repair_json(rows.limit(0), "r").collect()
+    start = time.perf_counter()
+    got = {r["k"]: r["tier"] for r in semi.repair_json(rows, "r").select("k", "tier").collect()}
+    assert got == {k: v[1] for k, v in bodies.items()}
+    assert time.perf_counter() - start < 30  # six texts of about a megabyte; quadratic work takes hours
+
+
+def test_marks_in_strings_do_not_end_a_value(spark):
+    texts = ['{"a":"\\"}"} {', '{"a\\\\":1} }{', 'x ["[\\"", {"b":"]"}] tail ]', "{'a': 1} {", '{"a": "open } {', "[1, [2]] {"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, r string")
+    got = {r["i"]: r["json"] for r in semi.repair_json(rows, "r").collect()}
+    assert got == {0: '{"a":"\\"}"}', 1: '{"a\\\\":1}', 2: '{"b":"]"}', 3: None, 4: None, 5: "[1, [2]]"}
+
+
+def test_nodes_and_lists_at_any_depth(spark):
+    lists, objects = lambda n: "[" * n + '1,"x"' + "]" * n, lambda n: '{"a":' * n + "7" + "}" * n
+    rows = [(1, lists(13)), (2, lists(200)), (3, objects(13)), (4, objects(200)), (5, '{"t":[["a",["b"]],[],"c"]}'), (6, "broken"), (7, None)]
+    df = spark.createDataFrame(rows, "i int, b string")
+    got = {r["i"]: (r["n"], r["d"]) for r in semi.leaves(df, ["i"], "b").groupBy("i").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()}
+    assert got == {1: (14, 13), 2: (201, 200), 3: (13, 13), 4: (200, 200), 5: (7, 4)}
+    flat = {r["i"]: r["v"] for r in df.select("i", semi.clean_values(F.array(semi.parse(F.col("b")))).alias("v")).collect()}
+    assert flat[2] == ["1", "x"] and flat[4] == [] and flat[6] == []
+    # a key search still ends where its bound is
+    assert semi.find_key_rows(semi.leaves(df, ["i"], "b"), "a").count() == 2
+    chain = spark.createDataFrame([(1, '{"b":' * 11 + '{"k":1}' + "}" * 11), (2, '{"b":' * 10 + '{"k":1}' + "}" * 10)], "i int, b string")
+    assert [r["i"] for r in semi.find_key_rows(semi.leaves(chain, ["i"], "b"), "k").collect()] == [2]
+
+
 def test_rerun_replaces_results(spark, tmp_path):
     rows = spark.createDataFrame([("d", "p", "m", "{}")], "document_path string, prompt_name string, model_alias string, body string")
     for _ in range(2):

@@ -34,6 +34,20 @@ def test_scan_and_exclude(spark, tmp_path):
     assert [r.name for r in bad.collect()] == ["x.doc"]
 
 
+def test_hidden_files_are_read(spark, tmp_path):
+    from scholia.sources.hidden import is_hidden
+
+    _write(tmp_path, {"a.md": "A", "_b.md": "B", ".c.md": "C", "_x/d.md": "D", ".git/deep/e.md": "E", "s/_f.md": "F", "_k=v.md": "K", "_n.txt": "N", "draft/_g.md": "G"})
+    found = corpus.scan_corpus(spark, str(tmp_path), [".md"], exclude=["*/draft"])
+    assert {(r.rel_path, r.name, r.text) for r in found.collect()} == {
+        ("a.md", "a.md", "A"), ("_b.md", "_b.md", "B"), (".c.md", ".c.md", "C"), ("_x/d.md", "d.md", "D"), (".git/deep/e.md", "e.md", "E"), ("s/_f.md", "_f.md", "F"), ("_k=v.md", "_k=v.md", "K"),
+    }
+    assert all(r.path == f"{tmp_path}/{r.rel_path}" for r in found.collect())
+    flat = corpus.scan_corpus(spark, str(tmp_path), [".md"], recursive=False)
+    assert sorted(r.rel_path for r in flat.collect()) == [".c.md", "_b.md", "_k=v.md", "a.md"]
+    assert [is_hidden(n) for n in ("_metadata", "x._COPYING_", "a_b", "_a=1")] == [False, True, False, False]
+
+
 def test_globs():
     import re
 

@@ -73,3 +73,20 @@ def test_rate_windows_equal_batch(spark):
     got = {(r.user_id, r.window_start, r.in_window) for r in streamed.collect()}
     closed = max(w for _, w, _ in got)
     assert got == {x for x in want if x[1] <= closed} and len(got) > 100
+
+
+def test_hidden_files_stream_once(spark, tmp_path):
+    root = tmp_path / "docs"
+    (root / "_in").mkdir(parents=True)
+
+    def run():
+        query = corpus_stream(spark, str(root), ".md", files_per_batch=1).writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"out/n={n}")))
+        query.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.rel_path, r.text) for r in spark.read.schema("rel_path string, text string, n long").parquet(str(tmp_path / "out")).collect())
+
+    (root / "a.md").write_text("A")
+    (root / "_b.md").write_text("B")
+    (root / "_in/c.md").write_text("C")
+    assert run() == [("_b.md", "B"), ("_in/c.md", "C"), ("a.md", "A")]
+    (root / ".d.md").write_text("D")
+    assert run() == [(".d.md", "D"), ("_b.md", "B"), ("_in/c.md", "C"), ("a.md", "A")]
