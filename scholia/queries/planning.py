@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators import stats, tasks
 from scholia.operators.verify import dual_channel
+from scholia.plans.extraction import extraction_run, render_tasks
 from scholia.queries import query
 from scholia.sources.corpus import reader_kind
 from scholia.sources.sinks import result_name
@@ -215,3 +216,50 @@ def outcome_status(t):
     key = F.col("event_id")
     decision = dual_channel((key % 11) / 10.0, F.when(key % 3 == 0, False), key % 7 != 0)
     return stats.status_counts(t("events").select(decision.alias("d")).select("d.status"), ["status"])
+
+
+ASKED = """
+a AS (SELECT d.doc_id, p.id, d.lang, length(CASE p.id WHEN 'r' THEN 'Read ' || d.doc_id || ': ' || substring(coalesce(d.text, ''), 1, 50) ELSE 'All ' || coalesce(d.text, '') END) AS n
+  FROM documents d, (VALUES ('r'), ('a')) AS p(id)),
+o AS (SELECT *, CASE n % 3 WHEN 0 THEN 'failed' ELSE 'success' END AS status, n % 6 = 3 AS call FROM a)"""
+
+
+def deterministic_answers(batches):
+    """In place of a model: an object with the length, or a failure that depends on it."""
+    for batch in batches:
+        n = batch["prompt"].str.len()
+        answer = "The object is {\"chars\": " + n.astype(str) + "}."
+        yield batch[["task_id"]].assign(response=answer.where(n % 3 != 0, "no object"), call_error=None).assign(
+            call_error=(n % 6 == 3).map({True: "HTTP 503", False: None})
+        )
+
+
+@query("q_run_state", "", f"""
+WITH {ASKED.strip()}
+SELECT doc_id || '|' || id || '|m0' AS task_id, status, CAST(CASE WHEN status = 'failed' AND lang = 'en' THEN 3 WHEN status = 'failed' THEN 1 ELSE 0 END AS INTEGER) AS retries,
+  CASE WHEN status = 'success' THEN '{{"chars": ' || n || '}}' END AS json,
+  CASE WHEN status = 'failed' AND call THEN 'HTTP 503' WHEN status = 'failed' THEN 'JSON parse failed' END AS error FROM o""")
+def run_state(t):
+    """State after a run over the English documents and one over all, each with one retry: finished tasks are not asked again."""
+    docs = t("documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    prompts = [tasks.Prompt("read", "r", "Read {document}: {content}", limit=50), tasks.Prompt("all", "a", "All {content}")]
+    at = lambda day: F.lit(f"2024-01-0{day}").cast("timestamp")
+    _, first = extraction_run(docs.where("lang = 'en'"), prompts, "m0", None, deterministic_answers, at(1), max_retries=1)
+    _, second = extraction_run(docs, prompts, "m0", first, deterministic_answers, at(2), max_retries=1)
+    return tasks.merge_state(first, second).select("task_id", "status", "retries", "json", "error")
+
+
+@query("q_render_image_prompt", "f_markers", """
+WITH s AS (SELECT *, last_value(CASE WHEN kind = 'image' THEN value END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS image FROM f_markers),
+m AS (SELECT doc_id, image, coalesce(arg_min(value, pos) FILTER (WHERE kind = 'caption'), '') AS caption FROM s WHERE image IS NOT NULL GROUP BY 1, 2)
+SELECT doc_id || '/' || image || '|f|m0' AS task_id, 'Figure ' || regexp_extract(image, '([0-9]+)\\.jpg', 1) || ' of ' || doc_id || ': ' || caption || ' {unknown}' AS prompt FROM m""")
+def render_image_prompt(t):
+    """Prompts of image tasks: the whole caption, the image's stem, the document's folder."""
+    from scholia.operators.ordered import pair_captions
+
+    path = F.concat(F.col("doc_id").cast("string"), F.lit("/text.md"))
+    images = pair_captions(t("f_markers"), "doc_id").select(path.alias("rel_path"), "image", "caption")
+    docs = images.select("rel_path").distinct().withColumn("text", F.lit("not used"))
+    prompt = tasks.Prompt("figures", "f", "Figure {image_stem} of {doi_slug}: {content} {unknown}", limit=3, per_image=True)
+    planned = tasks.plan_tasks(docs, [prompt], "m0", images)
+    return render_tasks(planned, docs, [prompt]).select("task_id", "prompt")

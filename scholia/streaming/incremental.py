@@ -12,6 +12,7 @@ from scholia.operators.tasks import TASK_KEY, Prompt
 from scholia.plans.extraction import extraction_run
 from scholia.sources.corpus import exclude_globs, plain_path
 from scholia.sources.hidden import hidden_texts
+from scholia.sources.sinks import merge_rows, path_exists, read_merged, write_extractions
 
 STATE_SCHEMA = (
     "model_alias string, task_id string, json string, status string, retries int, "
@@ -42,27 +43,42 @@ def corpus_stream(
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The task state log written by :func:`ingest`."""
-    return spark.read.schema(STATE_SCHEMA).parquet(path)
+    """The latest state of every task, as :func:`ingest` keeps it."""
+    return read_merged(spark, f"{path.rstrip('/')}/latest", schema=STATE_SCHEMA)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All answers that :func:`ingest` ever got, by batch."""
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{path.rstrip('/')}/log")
 
 
 def ingest(
-    docs: DataFrame, prompts: list[Prompt], alias: str, ask: Callable, state_path: str, checkpoint: str
+    docs: DataFrame, prompts: list[Prompt], alias: str, ask: Callable, state_path: str, checkpoint: str,
+    results_path: str | None = None, max_retries: int = 0,
 ) -> StreamingQuery:
     """Runs the extraction on every batch of new documents until none are left.
 
-    A batch writes its answers under its own number, so a batch repeated after a
-    failure replaces what it wrote before; finished tasks are not asked again.
+    A batch reads the latest state of its tasks, one row each however many batches
+    there were. It writes its answers to the log under its own number, merges them
+    into the state, and its objects into the results. A batch repeated after a failure
+    finds its own answers in the log and asks no task twice.
     """
+    root = state_path.rstrip("/")
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = None
-        if number > 0:
-            earlier = read_state(spark, state_path).filter(F.col("batch") < number)
-        _, rows = extraction_run(batch, prompts, alias, earlier, ask, F.current_timestamp())
-        target = f"{state_path.rstrip('/')}/batch={number}"
-        rows.write.mode("overwrite").parquet(target)
+        log = f"{root}/log/batch={number}"
+        earlier = read_state(spark, root) if path_exists(spark, f"{root}/latest") else None
+        if not path_exists(spark, f"{log}/_SUCCESS"):
+            tasks, rows = extraction_run(batch, prompts, alias, earlier, ask, F.current_timestamp(), max_retries=max_retries)
+            named = rows.join(tasks.select("task_id", F.col("rel_path").alias("document_path"), "prompt_name"), "task_id")
+            named.write.mode("overwrite").parquet(log)
+        answers = spark.read.parquet(log)
+        state = answers.withColumn("batch", F.lit(number).cast("bigint"))
+        merge_rows(state.select(*[c.split()[0] for c in STATE_SCHEMA.split(", ")]), f"{root}/latest", TASK_KEY, ["model_alias"], ["ts"])
+        if results_path:
+            good = answers.where("status = 'success'").select("document_path", "prompt_name", "model_alias", F.col("json").alias("body"))
+            write_extractions(good, results_path)
 
     return (
         docs.writeStream.foreachBatch(handle)

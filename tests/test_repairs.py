@@ -103,6 +103,21 @@ def test_rerun_replaces_results(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "x")).count() == 1
 
 
+def test_results_of_other_documents_stay(spark, tmp_path):
+    schema, path = "document_path string, prompt_name string, model_alias string, body string", str(tmp_path / "x")
+
+    def run(*rows):
+        write_extractions(spark.createDataFrame(list(rows), schema), path, buckets=4)
+        return {(r.document_path, r.prompt_name, r.model_alias): r.body for r in spark.read.parquet(path).collect()}
+
+    run(*[(f"d{i}", "p", "m", "old") for i in range(20)], ("d1", "q", "m", "q"))
+    got = run(("d1", "p", "m", "new"), ("d99", "p", "m", "new"), ("d1", "p", "n", "n"))
+    assert got == {(f"d{i}", "p", "m"): "old" for i in range(20) if i != 1} | {
+        ("d1", "q", "m"): "q", ("d1", "p", "m"): "new", ("d99", "p", "m"): "new", ("d1", "p", "n"): "n",
+    }
+    assert len(run()) == 23  # a run without rows changes nothing
+
+
 def test_hot_key_is_cut_without_one_task_holding_it(spark):
     left = spark.range(4000).select((F.col("id") % 1000 * (F.col("id") % 4 == 0).cast("int")).alias("k"), F.col("id").alias("a"))
     right = spark.range(400).select((F.col("id") % 2 * F.col("id")).alias("k"), F.col("id").alias("b"))

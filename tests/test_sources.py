@@ -93,7 +93,8 @@ def test_sinks(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "flat")).filter("model_alias = 'm1'")
     assert [r.document_path for r in back.collect()] == ["t/b.md"]
     sinks.write_extractions(rows, str(tmp_path / "mirror"), layout="mirror", fmt="json")
-    assert {p.parent.name for p in (tmp_path / "mirror").glob("rel_dir=s/*/*/*.json")} == {"model_alias=m0"}
+    assert {p.parent.parent.name for p in (tmp_path / "mirror").glob("prompt_name=p/*/*/*.json")} == {"model_alias=m0", "model_alias=m1"}
+    assert sorted((r.rel_dir, r.document_path) for r in sinks.read_merged(spark, str(tmp_path / "mirror"), "json").collect()) == [("s", "s/a.md"), ("t", "t/b.md")]
     sinks.write_csv(rows.select("document_path", "body"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     lines = spark.createDataFrame([(1, 2, "c"), (0, 1, "a"), (1, 1, "b")], "section int, pos int, line string")

@@ -53,6 +53,53 @@ def test_only_new_documents_are_asked(spark, tmp_path):
     assert len(second) == 6
 
 
+def test_failed_tasks_are_asked_again_and_counted(spark, tmp_path):
+    root, state, results = tmp_path / "docs", str(tmp_path / "state"), str(tmp_path / "results")
+    root.mkdir()
+    prompts = [Prompt("meta", "1", "{content}")]
+
+    def run(check):
+        docs = corpus_stream(spark, str(root), ".md")
+        ingest(docs, prompts, "m0", _ask, state, str(tmp_path / check), results, max_retries=2).awaitTermination()
+        rows = {r.task_id.split("|")[0]: (r.status, r.retries) for r in read_state(spark, state).collect()}
+        return rows, {r.document_path: r.body for r in spark.read.parquet(results).collect()}
+
+    (root / "a.md").write_text("fine")
+    (root / "b.md").write_text("bad")
+    rows, made = run("c")
+    assert rows == {"a.md": ("success", 0), "b.md": ("failed", 2)} and made == {"a.md": '{"chars": 4}'}
+    (root / "b.md").write_text("now fine")
+    (root / "b2.md").write_text("new")
+    # a stream of its own sees the changed file; the state says what is done
+    (tmp_path / "state/log").rename(tmp_path / "state/log1")
+    rows, made = run("d")
+    assert rows == {"a.md": ("success", 0), "b.md": ("success", 3), "b2.md": ("success", 0)}
+    assert made == {"a.md": '{"chars": 4}', "b.md": '{"chars": 8}', "b2.md": '{"chars": 3}'}
+
+
+def test_a_repeated_batch_asks_nothing_again(spark, tmp_path):
+    import shutil
+
+    root, state, check = tmp_path / "docs", str(tmp_path / "state"), tmp_path / "check"
+    root.mkdir()
+    (root / "a.md").write_text("bad")
+    calls = spark.sparkContext.accumulator(0)
+
+    def ask(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield from _ask([batch])
+
+    def run():
+        ingest(corpus_stream(spark, str(root), ".md"), [Prompt("meta", "1")], "m0", ask, state, str(check)).awaitTermination()
+        return [(r.task_id, r.status, r.retries) for r in read_state(spark, state).collect()]
+
+    first = run()
+    assert calls.value == 1
+    shutil.rmtree(check / "commits")  # as if the batch had not been finished
+    assert run() == first == [("a.md|1|m0", "failed", 0)] and calls.value == 1
+
+
 def test_latest_state_equals_batch(spark):
     def state(df):
         return df.select(
