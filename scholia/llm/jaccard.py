@@ -183,7 +183,7 @@ def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
                     found = np.unique(np.concatenate(keys_of(marks, percent)) & mask)
                     keys.append(found)
                     names.append(np.full(len(found), name, np.uint64))
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             if not keys:
                 continue
@@ -331,7 +331,7 @@ def cell_rows(rows: DataFrame) -> DataFrame:
 def compared(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
     """The open pairs of sorted cells; the own rows of one cell and PROBES others are held."""
     cell, homes, probes = None, [], []
-    for batch in batches:
+    for batch in (b.slice(at, PROBES) for b in batches for at in range(0, b.num_rows, PROBES)):
         found: list[tuple[int, int]] = []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:2] != cell:

@@ -74,6 +74,10 @@ def document_counts(docs: DataFrame, text: str, bits: int) -> tuple[np.ndarray,
     return out[:-1], int(out[-1])
 
 
+#: Languages whose rows are thinned before they are dealt; those of fewer rows beyond are dealt whole.
+MOST_LANGUAGES = 10_000
+
+
 def k_means(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from evenly spaced rows; at most k unit centroids."""
     centres = vectors[np.linspace(0, len(vectors) - 1, min(k, len(vectors))).astype(int)]
@@ -107,8 +111,12 @@ def fit(
         own = [best[near == c] if (near == c).any() else best for c in range(len(centres))]
         return pd.DataFrame({"lang": group["lang"].iloc[0], "v": [c.astype(np.float32).tobytes() for c in centres], "least": [float(np.quantile(x, share) * slack) for x in own]})
 
-    order = F.xxhash64("text")
-    picked = sample(rows.withColumn("_h", order), "lang", "_h", per_language).select("text", "lang")
+    # rows of a language beyond a hash threshold cannot be among its first: only few more than are wanted are dealt
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    reach = F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang", F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")).alias("reach")))
+    hashed = rows.withColumn("_h", F.xxhash64("text")).join(reach, "lang", "left")
+    near = hashed.where(F.pmod("_h", F.lit(1 << 30)) <= F.coalesce("reach", F.lit(1.0)) * (1 << 30)).withColumn("_h", F.pmod("_h", F.lit(1 << 30)))
+    picked = sample(near, "lang", "_h", per_language).select("text", "lang")
     found = picked.mapInArrow(vectors, "lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, v binary, least double").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     matrix = np.stack([np.frombuffer(r["v"], np.float32) for r in found]) if found else np.zeros((0, 1 << bits), np.float32)

@@ -128,18 +128,27 @@ def regress(rows: list[np.ndarray], grades: np.ndarray, least_rows: int = 8, lea
     return QualityModel(weights, cuts)
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and grade of the documents with labels; of repeated labels of a document the worst counts."""
+def graded(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> DataFrame:
+    """text and grade of documents with labels, of at most rows ids, those of the smallest hash; of repeated labels of a document the worst counts.
+
+    The ids are chosen among the labels alone and sent to all tasks, so no text moves for it.
+    """
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    rated = labels.select("doc_id", grade.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(rated, "doc_id")
+    rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    # a first cut by the hash leaves few more than are wanted, wherever they lie
+    share = min(1.0, 1.2 * rows / max(1, labels.select("doc_id").distinct().count()))
+    place = F.xxhash64("doc_id")
+    near = rated.where(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30)))
+    chosen = near.orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id").limit(rows)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
 
 
 def fit(rated: DataFrame, rows: int = 6000) -> QualityModel:
-    """Fit on at most rows rated rows, those of the smallest hash of doc_id; the driver gets their features."""
+    """Fit on at most rows rated rows, those of the smallest hash of doc_id and text; the driver gets their features."""
     made = {"features": ("array<long>", pa.list_(pa.int64()))}
-    picked = rated.orderBy(F.xxhash64("doc_id", "text"), "grade").limit(rows)
-    found = mapped(picked.select("grade", "text"), "text", made, lambda texts: {"features": [features(t) for t in texts]}).select("grade", "features").toArrow()
+    hashed = rated.select("grade", "text", F.xxhash64("doc_id", "text").alias("place"))
+    found = mapped(hashed, "text", made, lambda texts: {"features": [features(t) for t in texts]}).select("place", "grade", "features")
+    found = found.orderBy("place", "grade").limit(rows).select("grade", "features").toArrow()
     data = [np.asarray(x, np.int64) for x in found["features"].to_pylist()]
     if not data:
         return QualityModel(np.zeros((1 << BITS) + SHAPES * STEPS, np.float32), np.log(np.arange(1, GRADES) / np.arange(GRADES - 1, 0, -1)))

@@ -22,7 +22,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def held_out(key: str) -> Column:
-    return F.crc32(F.col(key).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
 #: Rules of the url query: host, path, verdict.

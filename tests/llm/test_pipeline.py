@@ -35,7 +35,27 @@ def test_stages_without_ratings_or_languages(spark, tmp_path):
     assert corpus_pipeline.keep_known_languages(spark, docs, str(tmp_path)).count() == 40
 
 
+def test_rows_of_one_id_with_unlike_texts_stay(spark):
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    rows = [
+        (1, words("a", 40), "en", "s", 1), (1, words("b", 40), "en", "s", 2), (1, words("b", 40), "en", "s", 2), (2, words("b", 40) + " tail", "en", "s", 3),
+        (3, None, None, None, None), (3, "", "en", "s", 0), (None, words("a", 40), "en", "s", 4), (4, words("c", 40), "en", "s", 5), (5, words("c", 40), "en", "s", 5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row_key", corpus_pipeline.F.lit(0)).withColumn("again", corpus_pipeline.F.lit(0))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(1, rows[0][1]), (2, rows[3][1]), (3, None), (3, ""), (None, rows[6][1]), (4, rows[7][1])]))
+    plain = corpus_pipeline.one_of_each_group(spark, docs.where("doc_id > 3"), SF)
+    assert plain.columns == corpus_pipeline.COLUMNS and [r["doc_id"] for r in plain.collect()] == [4]
+
+
+def test_stages_on_no_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
