@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, language, near copies, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the
-result is written as Parquet and read again.
+result is written as Parquet and read again. All stages but the last return the columns
+of documents and drop others; an empty table gives an empty table; null texts count as
+the operators say; rows that share a doc_id are rows of their own.
 """
 
 from __future__ import annotations
@@ -37,15 +39,24 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the smallest doc_id of each group of similar documents stays; documents without words or id stay."""
-    groups = jaccard.similar_groups(docs.select("doc_id", "text"))
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    first = F.min(F.struct(*COLUMNS[1:])).alias("row")
-    copies = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # rows that share a doc_id are told apart by nothing else: one of them stays
-    repeated = kept.join(copies, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "row.*")
-    return kept.join(copies, "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
+    """N-gram Jaccard join: the smallest doc_id of each group of similar documents stays; documents without words or id stay.
+
+    Rows that share a doc_id are told apart by their texts: each takes part with a
+    number of its own above all ids, and of equal rows one stays.
+    """
+    copies = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if copies.isEmpty():
+        groups = jaccard.similar_groups(docs.select("doc_id", "text"))
+        gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = docs.select(*COLUMNS).join(copies.withColumn("again", F.lit(True)), "doc_id", "left")
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    keyed = again.withColumn("row_key", F.when(F.col("again"), own).otherwise(F.col("doc_id").cast("long")))
+    groups = jaccard.similar_groups(keyed.select("row_key", "text"), key="row_key")
+    gone = groups.where("component_id <> row_key").select("row_key").distinct()
+    kept = keyed.join(gone, "row_key", "left_anti")
+    one = kept.where("again").groupBy("doc_id", "row_key").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.where("again IS NULL").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
