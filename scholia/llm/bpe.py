@@ -28,13 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.hashed import mapped
+from scholia.llm.hashed import few, mapped, tidied
 
 SHIFT = 24
 MASK = (1 << SHIFT) - 1
 NONE = 1 << 62
 #: Encoded pieces between blanks, and words of pieces of several words, kept per Python worker in each of two generations: when the younger is full, it becomes the older.
-KEPT_PIECES, KEPT_WORDS = 300_000, 60_000
+KEPT_PIECES, KEPT_WORDS = 200_000, 60_000
 #: Rows handled at once, so that texts, ids and copies of few rows are held.
 ROWS = 256
 #: Longer pieces are encoded but not kept.
@@ -131,6 +131,10 @@ class Pieces(dict):
             self[piece] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Vocabulary:
     """Symbols, merges and special tokens of one tokenizer file."""
@@ -156,6 +160,11 @@ class Vocabulary:
         self.words = regex.compile(WORDS)
         self.known, self.pieces = Pieces(self.word, KEPT_WORDS), Pieces(self.piece, KEPT_PIECES)
 
+    def forget(self) -> None:
+        """Lets go of what was encoded, at the end of a task."""
+        self.known.forget()
+        self.pieces.forget()
+
     def piece(self, piece: str) -> tuple[bytes, str]:
         """Packed ids of the words of a piece and the text they decode to; no word crosses a blank."""
         words = self.words.findall(piece)
@@ -215,12 +224,12 @@ def _mapped(df: DataFrame, name: str, kind: str, of: str, arrow: pa.DataType, pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = getattr(vocabulary(path), method)
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in few(batches, ROWS):
             made = pa.array([call(x.as_py()) for x in batch.column(place)], arrow)
             columns = [batch.column(i) for i in kept]
             yield pa.RecordBatch.from_arrays([*columns, made], [*(f"c{i}" for i in kept), "made"])
 
-    out = plain.mapInArrow(run, f"{fields}{', ' if fields else ''}`made` {kind}")
+    out = plain.mapInArrow(lambda batches: tidied(run(batches), lambda: vocabulary(path).forget()), f"{fields}{', ' if fields else ''}`made` {kind}")
     return out.toDF(*[df.columns[i] for i in kept], name)
 
 
@@ -242,7 +251,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
         made = [known.both(t) for t in texts]
         return {ids: [m[0] for m in made], decoded: [m[1] for m in made]}
 
-    return mapped(docs, text, {ids: ("binary", pa.binary()), decoded: ("string", pa.string())}, run).drop(text)
+    return mapped(docs, text, {ids: ("binary", pa.binary()), decoded: ("string", pa.string())}, run, lambda: vocabulary(path).forget()).drop(text)
 
 
 def n_tokens(ids: str = "ids"):

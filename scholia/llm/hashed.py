@@ -14,8 +14,23 @@ from pyspark.sql import DataFrame
 ROWS = 256
 
 
-def mapped(df: DataFrame, of: str, made: dict[str, tuple[str, pa.DataType]], run: Callable[[list], dict[str, list]]) -> DataFrame:
-    """df with the columns made by run from each batch of column of. Made columns replace those of the same name."""
+def few(source: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows."""
+    return (b.slice(at, rows) for b in source for at in range(0, b.num_rows, rows))
+
+
+def tidied(made: Iterator[pa.RecordBatch], done: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """What a task makes; at its end the worker, which stays for other tasks, gives back the memory that this one took."""
+    try:
+        yield from made
+    finally:
+        if done:
+            done()
+        pa.default_memory_pool().release_unused()
+
+
+def mapped(df: DataFrame, of: str, made: dict[str, tuple[str, pa.DataType]], run: Callable[[list], dict[str, list]], done: Callable[[], None] | None = None) -> DataFrame:
+    """df with the columns made by run from each batch of column of; done ends a task. Made columns replace those of the same name."""
     names = {m.lower() for m in made}
     place, width = df.columns.index(of), len(df.columns)
     kept = [i for i in range(width) if df.columns[i].lower() not in names]
@@ -24,12 +39,12 @@ def mapped(df: DataFrame, of: str, made: dict[str, tuple[str, pa.DataType]], run
     order, kinds = list(made), [kind for _, kind in made.values()]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, ROWS) for b in source for at in range(0, b.num_rows, ROWS)):
+        for batch in few(source, ROWS):
             found = run(batch.column(place).to_pylist())
             columns = [batch.column(i) for i in kept] + [pa.array(found[n], kind) for n, kind in zip(order, kinds)]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in kept] + [f"m{k}" for k in range(len(order))])
 
-    return plain.mapInArrow(batches, ", ".join(fields)).toDF(*[df.columns[i] for i in kept], *order)
+    return plain.mapInArrow(lambda source: tidied(batches(source), done), ", ".join(fields)).toDF(*[df.columns[i] for i in kept], *order)
 
 
 @lru_cache(maxsize=1)

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.components import components
+from scholia.llm.hashed import few, tidied
 from scholia.llm.scratch import Scratch
 from scholia.session import cut_lineage
 
@@ -53,6 +54,8 @@ BAND = 1.5
 NEAREST, ROUNDS = 2, 2
 #: Rows of a bucket in one chunk of the second round.
 CHUNK = 1024
+#: Texts handled at once in a task.
+SLICE = 1024
 #: Rows sent to a cell that are compared at once, and how often a bucket is divided again.
 PROBES, DIVISIONS = 1024, 4
 #: Home rows of a cell up to which its pairs are looked at one by one.
@@ -158,23 +161,23 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """doc, n, set name and bit sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, SLICE):
             marks = [shingles(t, width) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([len(m) for m in marks], pa.int64()), signed(np.array([digest(m) for m in marks], np.uint64)), pa.array(map(bit_sketch, marks), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "name", "bits"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc long, n long, name long, bits binary")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(lambda batches: tidied(run(batches)), "doc long, n long, name long, bits binary")
 
 
 def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """Rows (bucket, name, hub) of sets that share a bucket with another set; hub is the bucket's smallest name,
-    or the smallest within one batch: a task sends one row of a bucket and batch, so that a hot bucket stays small."""
+    or the smallest within SLICE rows: a task sends one row of a bucket and slice, so that a hot bucket stays small."""
 
     mask = np.uint64((1 << BUCKET_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in few(batches, SLICE):
             names, keys = [], []
             for t in batch.column(0).to_pylist():
                 marks = shingles(t, width)
@@ -201,7 +204,7 @@ def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([bucket, hub, pa.array(name), pa.array(deal)], ["bucket", "hub", "name", "deal"])
 
     # the columns that are mostly null stand together, which makes the shuffled rows pack well
-    rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, "bucket long, hub long, name long, deal long")
+    rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(lambda batches: tidied(run(batches)), "bucket long, hub long, name long, deal long")
     least = F.min(F.when(F.col("hub").isNull(), F.col("name"))).over(Window.partitionBy("deal"))
     met = rows.withColumn("_least", least)
     return met.select(F.coalesce("bucket", "deal").alias("bucket"), "name", F.coalesce("hub", "_least").alias("hub")).where("name <> hub")
@@ -244,7 +247,7 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
         asked = F.broadcast(asked)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, SLICE):
             packed = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["name", "marks"])
 
@@ -331,7 +334,7 @@ def cell_rows(rows: DataFrame) -> DataFrame:
 def compared(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
     """The open pairs of sorted cells; the own rows of one cell and PROBES others are held."""
     cell, homes, probes = None, [], []
-    for batch in (b.slice(at, PROBES) for b in batches for at in range(0, b.num_rows, PROBES)):
+    for batch in few(batches, PROBES):
         found: list[tuple[int, int]] = []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:2] != cell:

@@ -313,6 +313,11 @@ class Segments(dict):
             self[segment] = found
         return found
 
+    def forget(self) -> None:
+        """Lets go of what was made, at the end of a task."""
+        self.clear()
+        self.older, self.fresh = {}, {}
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -333,7 +338,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(texts: list[str | None]) -> dict[str, list]:
         return {ids: [vocabulary(path).encode(t) for t in texts]}
 
-    return mapped(docs, text, {ids: ("array<int>", pa.list_(pa.int32()))}, run).drop(text)
+    return mapped(docs, text, {ids: ("array<int>", pa.list_(pa.int32()))}, run, lambda: vocabulary(path).known.forget()).drop(text)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -382,7 +387,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", check: str = "seg
             out["agrees"] = agreeing(path, texts, found) if whole else [True] * len(texts)
         return out
 
-    return mapped(docs, text, made, run).drop(text)
+    return mapped(docs, text, made, run, lambda: vocabulary(path).known.forget()).drop(text)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
