@@ -52,7 +52,8 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return mincut.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return mincut.extract(pages, weights=mincut.fit(pages))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

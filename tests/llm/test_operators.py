@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -303,6 +304,57 @@ def test_main_text_hidden_elements_and_embedded_text():
     assert mincut.main_text(page).split("\n") == [said + " Here x=2 holds.", said, said]
 
 
+def test_main_text_keeps_short_lines_and_items_of_content():
+    said = "These are some words of the main text, enough of them to be kept."
+    said = f"{said} {said}"
+    items = "Salt", "Two eggs", "Flour", "Milk"
+    page = f"<body><div><a href=/>Home</a></div><div><p>{said}</p><p>Yes.</p><p>{said}</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><p>{said}</p></div><div>Share this</div>"
+    assert mincut.main_text(page).split("\n") == [said, "Yes.", said, *items, said]
+    menu = "".join(f"<li><a href=/{x}>{x}</a>" for x in items)
+    assert mincut.main_text(f"<div><p>{said}</p><ul>{menu}</ul><p>{said}</p></div>").split("\n") == [said, said]
+    assert mincut.main_text(f"<div class='search-results'><p>{said}</div><div class=search-box><p>{said}</div>") == said
+    inside = f"<article><p>{said}<p><noscript>{said}</noscript><p><svg><text>{said}</text></svg><p><iframe>{said}</iframe></article>"
+    assert mincut.main_text(inside).split("\n") == [said] * 4
+
+
+def test_main_text_of_small_pages_is_the_least_cut():
+    rng, changed = random.Random(5), 0
+    texts = ["Yes.", "Two eggs", "Some words of a text that goes on for a while and says things.", "<a href=/>Home page</a>", "A line of six words here."]
+    for _ in range(120):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "</p>", "<ul>", "<li>", "</ul>", "<nav>", "</nav>", "<table><tr><td>"]) + rng.choice(texts) * rng.randint(0, 1) for _ in range(18))
+        blocks = mincut.Page.read(page).blocks[:12]
+        sides, edges = [mincut.costs(mincut.score(b)) for b in blocks], [e for e in mincut.edges(blocks)]
+        cost = lambda x: sum(b if k else a for (a, b), k in zip(sides, x)) + sum(w for a, b, w in edges if x[a] != x[b])
+        got = mincut.minimum_cut(sides, edges)
+        assert cost(got) == pytest.approx(min(map(cost, itertools.product((False, True), repeat=len(blocks)))))
+        changed += got != [mincut.score(b) > 0 for b in blocks]
+        # no two edges cross
+        spans = {(a, b) for a, b, _ in edges}
+        assert not any(a < c < b < d for a, b in spans for c, d in spans)
+    assert changed > 20
+
+
+def test_main_text_takes_linear_time():
+    said = "These are some words of the main text, enough of them to be kept."
+    pages = ["<div>" + "".join(f"<p>{said if i % 2 else 'Yes.'}</p>" for i in range(20_000)) + "</div>"]
+    pages += [f"<p>{said}</p><ul>" + "<li>Salt" * 20_000, "<b>" * 10_000 + "Yes.<hr>" * 10_000, "<button>" * 20_000, "<ul><li>Yes." * 10_000]
+    for page in pages:
+        began = time.perf_counter()
+        mincut.main_text(page)
+        assert time.perf_counter() - began < 4
+
+
+def test_main_text_weights_are_learned(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    weights = mincut.fit(pages)
+    assert weights != mincut.WEIGHTS and weights[2] == mincut.WEIGHTS[2] and weights[3] < -1
+    blocks = [b for r in pages.limit(20).collect() for b in mincut.Page.read(r["html"]).blocks]
+    assert sum(w == mincut.SIBLING for _, _, w in mincut.edges(blocks)) > 0
+    assert mincut.extract(pages, weights=weights).collect() == mincut.extract(pages).collect()
+    assert mincut.fit(pages.limit(0)) == mincut.fit(pages.select(F.lit("<p>no mark").alias("html"))) == mincut.WEIGHTS
+    assert mincut.extract(pages.limit(0)).count() == 0
+
+
 def test_main_text_of_pages(spark):
     import html
 
