@@ -8,6 +8,8 @@ results while bounding what one task sees:
 * ``running_sum`` and ``running_last`` scan an ordered group bucket by bucket
   and carry the state of the earlier buckets in, so that an ordered group of
   any length is spread over many tasks;
+* ``heavy_join`` joins rows with a table of one or few rows per key, such as an
+  aggregate, and keeps the rows of heavy keys where they are;
 * ``first_n`` keeps the n smallest rows per key, which Spark limits within each
   map task before the shuffle.
 """
@@ -22,6 +24,8 @@ from scholia.session import cut_lineage
 CHUNK = 4096
 #: Hot keys of a join that are broadcast, three numbers each.
 MOST_HOT = 100_000
+#: Keys that ``heavy_join`` may treat as heavy, and keys its sketch tracks.
+MOST_HEAVY, TRACKED = 1000, 10_000
 
 
 def first_n(df: DataFrame, keys: list, order: list, n: int) -> DataFrame:
@@ -66,6 +70,40 @@ def chunked_join(
     return lhs.join(rhs, [key, "_l", "_r"]).drop("_l", "_r")
 
 
+def _hash(keys: list[str]) -> Column:
+    return F.xxhash64(*[F.col(k).cast("string") for k in keys])
+
+
+def heavy_keys(df: DataFrame, keys: list[str], chunk: int = CHUNK) -> list[int]:
+    """Hashes of keys with more than ``chunk`` rows, of the ``MOST_HEAVY`` most frequent keys.
+
+    Found by a mergeable sketch, so each map task sends one small row.  A key
+    that is left out holds less than one row in ``MOST_HEAVY``, give or take the
+    sketch's error of one in ``TRACKED``, or no more than a chunk.
+    """
+    sketch = F.expr(f"approx_top_k(_h, {MOST_HEAVY}, {TRACKED})")
+    found = df.select(_hash(keys).alias("_h")).agg(sketch.alias("top")).select(F.filter("top", lambda t: t["count"] > chunk).item).first()[0]
+    return list(found or [])
+
+
+def heavy_join(
+    rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", chunk: int = CHUNK
+) -> DataFrame:
+    """``rows`` joined with ``few``, which has a bounded number of rows per key.
+
+    An adaptive plan cannot split a hot key where ``few`` is an aggregate or a
+    window result.  Here the rows of heavy keys are not shuffled at all: the part
+    of ``few`` for them, at most ``MOST_HEAVY`` keys, is sent to them.  ``how`` is
+    inner, left, left_semi or left_anti.  Runs one job over the keys of ``rows``.
+    """
+    heavy = heavy_keys(rows, keys, chunk)
+    if not heavy:
+        return rows.join(few, keys, how)
+    hot = _hash(keys).isin(heavy)
+    kept = rows.filter(hot).join(F.broadcast(few.filter(hot)), keys, how)
+    return kept.unionByName(rows.filter(~hot).join(few.filter(~hot), keys, how))
+
+
 def _carry(rows: DataFrame, keys: list[str], state: str, combine) -> DataFrame:
     """Adds ``_carry``, the combined ``state`` of all earlier buckets of the key.
 

@@ -10,9 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.functions.chunked import heavy_join
 from scholia.functions.names import authors_match
 from scholia.functions.text import SPACE, last_of, strip_supplement, words
 from scholia.operators.candidates import set_key, similar_sets, top_overlap
+from scholia.session import cut_lineage
 from scholia.vocab import (
     AUTO_SCORE, BEST_AUTHOR_BONUS, BEST_YEAR_EXACT_BONUS, BEST_YEAR_NEAR_BONUS,
     CACHE_VERSION, CLUE_AUTHOR_POINTS, CLUE_CANDIDATES, CLUE_KEYWORD_POINTS,
@@ -20,27 +22,24 @@ from scholia.vocab import (
 )
 
 
-def _attach(entries: DataFrame, tokens: Column, found: DataFrame) -> DataFrame:
-    """Joins the search result of a token set back to the entries that have it."""
-    return (
-        entries.withColumn("_q", set_key(tokens))
-        .join(found.withColumnRenamed("q", "_q"), "_q")
-        .drop("_q")
-        .withColumnRenamed("item", "doi")
-    )
+def _search(entries: DataFrame, tokens: Column, items: DataFrame, n: int) -> DataFrame:
+    """``top_overlap`` of the entries' token sets, at the entries: adds ``doi, overlap, rank``.
+
+    Tokens are found once. Entries without any have no result and do not move.
+    """
+    # a filter before the cut would be pushed below the tokens and find them again
+    keyed = cut_lineage(entries.withColumn("q", tokens).withColumn("_q", set_key(F.col("q")))).filter(F.size("q") > 0)
+    found = top_overlap(keyed.select("q"), items, n)
+    rows = heavy_join(keyed.drop("q"), found.withColumnRenamed("q", "_q"), ["_q"])
+    return rows.drop("_q").withColumnRenamed("item", "doi")
 
 
 def title_candidates(
     entries: DataFrame, works: DataFrame, key: str, title: str, n: int = TITLE_CANDIDATES
 ) -> DataFrame:
     """n works per entry by shared title words: adds ``doi, overlap, rank``."""
-    tokens = words(F.col(title))
-    found = top_overlap(
-        entries.select(tokens.alias("q")),
-        works.select(F.col("doi").alias("item"), words(F.col("title")).alias("tokens")),
-        n,
-    )
-    return _attach(entries.select(key, title), tokens, found).select(key, "doi", "overlap", "rank")
+    items = works.select(F.col("doi").alias("item"), words(F.col("title")).alias("tokens"))
+    return _search(entries.select(key, title), words(F.col(title)), items, n).select(key, "doi", "overlap", "rank")
 
 
 def pick_best(
@@ -117,12 +116,8 @@ def clue_candidates(
     sets without any clue give no row.
     """
     tokens = _clue_tokens(F.col("author"), F.col("year"), F.col("keywords"))
-    found = top_overlap(
-        clues.select(tokens.alias("q")),
-        works.select(F.col("doi").alias("item"), _work_tokens().alias("tokens")),
-        n,
-    )
-    return _attach(clues.select(key, "author", "year", "keywords"), tokens, found).select(
+    items = works.select(F.col("doi").alias("item"), _work_tokens().alias("tokens"))
+    return _search(clues.select(key, "author", "year", "keywords"), tokens, items, n).select(
         key, "doi", "overlap", "rank"
     )
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.chunked import first_n
+from scholia.functions.chunked import first_n, heavy_join
 from scholia.operators.semi import clean_values, field, is_true, is_valid_object, numbers, parse
 from scholia.session import cut_lineage
 from scholia.vocab import METADATA_KEYS, METADATA_MISSING_MARKERS
@@ -91,17 +91,23 @@ class Section:
 
 
 def stats_cells(df: DataFrame, body: str, sections: list[Section], prompt: str = "prompt_name") -> DataFrame:
-    """``(section, value, n)``: everything the sections need, from one scan."""
+    """``(section, value, n, sum, min, max)``: everything the sections need, from one scan.
+
+    Only values that are counted one by one make a row each; a mean or a count
+    is one row per section, put together in the map tasks.
+    """
     parsed = F.col("_b")
+    cell = lambda value, x: F.struct(value.cast("string").alias("value"), x.cast("double").alias("x"))
+    nothing = F.lit(None)
 
     def wanted(s: Section) -> Column:
         if s.type == "value_counts":
-            return clean_values(field(parsed, s.field))
+            return F.transform(clean_values(field(parsed, s.field)), lambda v: cell(v, nothing))
         if s.type == "mean":
-            return F.transform(numbers(field(parsed, s.field)), lambda x: x.cast("string"))
+            return F.transform(numbers(field(parsed, s.field)), lambda x: cell(nothing, x))
         if s.type == "count_true":
-            return F.array(is_true(parsed, s.field).cast("string"))
-        return F.array(F.lit("entry"))
+            return F.array(cell(is_true(parsed, s.field), nothing))
+        return F.array(cell(F.lit("entry"), nothing))
 
     parts = F.array(
         *[
@@ -111,8 +117,10 @@ def stats_cells(df: DataFrame, body: str, sections: list[Section], prompt: str =
     )
     used = df.filter(F.col(prompt).isin([s.prompt for s in sections]))
     rows = used.select(prompt, parse(F.col(body)).alias("_b")).select(F.explode(parts).alias("_p"))
-    rows = rows.select("_p.section", F.explode("_p.values").alias("value"))
-    return rows.groupBy("section", "value").agg(F.count("*").alias("n"))
+    rows = rows.select("_p.section", F.explode("_p.values").alias("_c")).select("section", "_c.value", "_c.x")
+    return rows.groupBy("section", "value").agg(
+        F.count("*").alias("n"), F.sum("x").alias("sum"), F.min("x").alias("min"), F.max("x").alias("max")
+    )
 
 
 def stats_sections(df: DataFrame, body: str, sections: list[Section], prompt: str = "prompt_name") -> DataFrame:
@@ -120,7 +128,6 @@ def stats_sections(df: DataFrame, body: str, sections: list[Section], prompt: st
     # the cells are kept, so that the parts below do not scan the bodies again
     cells = cut_lineage(stats_cells(df, body, sections, prompt))
     of = lambda *kinds: F.col("section").isin([i for i, s in enumerate(sections) if s.type in kinds])
-    number = F.col("value").try_cast("double")
     limits = F.array(*[F.lit(s.top_k) for s in sections])
     top_k = max([s.top_k for s in sections if s.type == "value_counts"], default=1)
     top = first_n(cells.filter(of("value_counts")), ["section"], [F.desc("n"), "value"], top_k)
@@ -128,10 +135,7 @@ def stats_sections(df: DataFrame, body: str, sections: list[Section], prompt: st
     top = top.withColumn("rank", place).filter(F.col("rank") <= F.get(limits, F.col("section")))
     totals = cells.filter(of("value_counts")).groupBy("section").agg(F.sum("n").alias("total"))
     top = top.join(totals, "section")
-    means = cells.filter(of("mean")).groupBy("section").agg(
-        F.sum("n").alias("n"), (F.sum(number * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min(number).alias("min"), F.max(number).alias("max"),
-    )
+    means = cells.filter(of("mean")).select("section", "n", (F.col("sum") / F.col("n")).alias("mean"), "min", "max")
     hits = F.when(F.col("value") != "false", F.col("n")).otherwise(0)
     flags = cells.filter(of("count_true", "count")).groupBy("section").agg(
         F.sum(hits).alias("n"), F.sum("n").alias("total")
@@ -164,7 +168,7 @@ def enrich(rows: DataFrame, metadata: DataFrame, prompts: list[str], keys: list[
     values = used.select("paper_id", order.alias("_o"), *tie, *[usable(pick(k)).alias(k) for k in keys])
     latest = lambda k: F.max_by(k, F.when(F.col(k).isNotNull(), F.struct("_o", *tie)))
     meta = values.groupBy("paper_id").agg(*[latest(k).alias(f"_m_{k}") for k in keys])
-    joined = rows.join(meta, "paper_id", "left")
+    joined = heavy_join(rows, meta, ["paper_id"], "left")
     merged = [
         (F.coalesce(f"_m_{k}", F.col(k).cast("string")) if k in rows.columns else F.col(f"_m_{k}")).alias(k)
         for k in keys
@@ -228,6 +232,6 @@ def doi_conflicts(results: DataFrame, key: str = "pdf_name", doi: str = "cr_doi"
 
     Groups stay rows, so a DOI claimed by very many files is no single value.
     """
-    claimed = results.filter(F.col(doi).isNotNull()).select(key, doi)
+    claimed = cut_lineage(results.filter(F.col(doi).isNotNull()).select(key, doi))
     many = claimed.groupBy(doi).agg(F.count("*").alias("files")).filter(F.col("files") > 1)
-    return claimed.join(many, doi)
+    return heavy_join(claimed, many, [doi])

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.functions.chunked import heavy_join
 from scholia.functions.text import doi_to_file
 from scholia.operators.semi import is_valid_object, repair_json
+from scholia.session import cut_lineage
 
 TASK_KEY = ["model_alias", "task_id"]
 MAX_ERROR = 500
@@ -168,15 +170,16 @@ def rename_plan(results: DataFrame, existing: DataFrame, key: str = "pdf_name")
     present.  Files that are gone give no row.
     """
     present = existing.select("file_name").distinct()
-    matched = results.filter(F.col("match") & F.col("cr_doi").isNotNull()).select(key, "cr_doi")
+    matched = cut_lineage(results.filter(F.col("match") & F.col("cr_doi").isNotNull()).select(key, "cr_doi"))
+    # what depends on the DOI alone is found once per DOI
     claims = matched.groupBy("cr_doi").agg((F.count("*") > 1).alias("_shared"))
-    rows = matched.join(claims, "cr_doi")
-    # a file is left alone when any of its DOIs is shared
-    held = rows.filter("_shared").select(key).distinct().withColumn("_held", F.lit(True))
-    rows = rows.join(held, key, "left").join(present.withColumnRenamed("file_name", key), key, "left_semi")
-    rows = rows.withColumn("target", F.concat(doi_to_file(F.col("cr_doi")), F.lit(".pdf")))
+    claims = claims.withColumn("target", F.concat(doi_to_file(F.col("cr_doi")), F.lit(".pdf")))
     taken = present.select(F.col("file_name").alias("target"), F.lit(True).alias("_taken"))
-    rows = rows.join(taken, "target", "left")
+    rows = cut_lineage(heavy_join(matched, claims.join(taken, "target", "left"), ["cr_doi"]))
+    # a file is left alone when any of its DOIs is shared
+    held = rows.groupBy(key).agg(F.bool_or("_shared").alias("_held"))
+    here = present.withColumnRenamed("file_name", key).join(held, key)
+    rows = heavy_join(rows, here, [key])
     action = (
         F.when(F.col("_held"), "skip_conflict")
         .when(F.col(key) == F.col("target"), "already_named")
@@ -191,7 +194,7 @@ def gated_rename_plan(doi_map: DataFrame, existing: DataFrame, force: bool = Fal
     rows = doi_map.filter(F.col("status") == "matched")
     rows = rows.withColumn("target", F.concat(doi_to_file(F.col("doi")), F.lit(".pdf")))
     taken = existing.select(F.col("file_name").alias("target"), F.lit(True).alias("_taken")).distinct()
-    rows = rows.join(taken, "target", "left")
+    rows = heavy_join(rows, taken, ["target"], "left")
     blocked = F.lit(not force) & F.coalesce(~F.col("verified"), F.lit(False))
     action = F.when(blocked, "blocked").when(F.col("_taken"), "skip_exists").otherwise("rename")
     return rows.select("pdf_name", "doi", "target", action.alias("action"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholia.functions.text import title_similarity
 from scholia.operators.linkage import pick_best, title_candidates
 from scholia.operators.verify import dual_channel
+from scholia.session import cut_lineage
 
 
 def match_status(docs: DataFrame, works: DataFrame, key: str) -> DataFrame:
@@ -17,6 +18,8 @@ def match_status(docs: DataFrame, works: DataFrame, key: str) -> DataFrame:
     title check.  The chosen work is the canonical record of its DOI, so its
     title is compared without another look-up.
     """
+    # titles are often worked out from whole texts: once is enough
+    docs = cut_lineage(docs.select(key, "title", "second_ok"))
     has_title = F.coalesce(F.col("title"), F.lit("")) != ""
     titled = docs.filter(has_title)
     best = pick_best(title_candidates(titled, works, key, "title"), works, key).select(

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from scholia.functions.chunked import chunked_join, first_n, number_rows, running_last, running_sum
+from scholia.functions.chunked import chunked_join, first_n, heavy_join, heavy_keys, number_rows, running_last, running_sum
 from scholia.operators.candidates import set_key, similar_sets, top_overlap
 from scholia.operators.ordered import rate_audit
 from scholia.operators.tasks import merge_state
@@ -70,6 +70,29 @@ def test_chunked_join_equals_join(spark):
     assert got == Counter(tuple(r) for r in left.join(right, "k").select("k", "l", "r").collect())
 
 
+def test_heavy_join_keeps_hot_rows_in_their_tasks(spark):
+    # one key on 75 % of the rows, another on 10 %, NULL keys, keys of unlike integer types
+    n, hot = 40_000, F.col("id") % 20
+    key = F.when(hot < 15, 7).when(hot < 17, 9).when(hot < 18, None).otherwise(F.col("id")).cast("int")
+    rows = spark.range(0, n, 1, 8).select("id", key.alias("k"))
+    assert len(heavy_keys(rows, ["k"], 500)) == 3 and heavy_keys(rows.limit(0), ["k"], 500) == []
+    few = rows.groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            got = heavy_join(rows, few, ["k"], how, 500)
+            want = rows.join(few, "k", how)
+            assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+        joined = heavy_join(rows, few, ["k"], "inner", 500)
+        most = joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        assert most <= 2 * n / 8
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def test_scans_carry_over_buckets(spark):
     rng = random.Random(4)
     rows = [(k, p, rng.choice([None, f"v{p}"]), rng.randrange(-2, 3)) for k in "ab" for p in range(0, 200, 3)]
