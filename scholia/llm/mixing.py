@@ -25,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.llm.columns import set_aside
 from scholia.session import cut_lineage
 
 BLOCKS = 512
@@ -83,8 +84,8 @@ def mix_sources(
     target_entropy: float | None = None, budget: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """docs as they are drawn: a row for each use, with tokens, mix_weight, mix_pass (from 0) and mix_order (from 0 to 1 within a pass)."""
-    made = ["tokens", "mix_weight", "mix_pass", "mix_order"]
-    kept = [c for c in docs.columns if c.lower() not in made]
+    docs, at, renamed = set_aside(docs, ["tokens", "mix_weight", "mix_pass", "mix_order"])
+    kept, key, source, text = docs.columns, at[key], at[source], at[text]
     named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     # rows of a block: by key and text, so that a hot key is no hot block
     rows = docs.select(*kept, word_count(text).alias("tokens"), named.alias("_s"), F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(BLOCKS)).alias("_b"))
@@ -95,7 +96,7 @@ def mix_sources(
         raise ValueError(f"more than {MOST_SOURCES} sources")
     total = sum(n for _, n in totals)
     if not total:
-        return docs.select(*kept, F.lit(0).cast("long").alias("tokens"), F.lit(0.0).alias("mix_weight"), F.lit(0).alias("mix_pass"), F.lit(0.0).alias("mix_order"))
+        return renamed(docs.select(*kept, F.lit(0).cast("long").alias("tokens"), F.lit(0.0).alias("mix_weight"), F.lit(0).alias("mix_pass"), F.lit(0.0).alias("mix_order")))
     shares = [n / total for _, n in totals]
     weights = weights_at(shares, find_exponent(shares, most_passes, target_entropy))
     whole = budget if budget is not None else max(n / w for (_, n), w in zip(totals, weights) if w)
@@ -129,4 +130,4 @@ def mix_sources(
     # place in the pass: the block's turn, then the row's turn within the block
     spread = lambda c: (F.pmod(c, F.lit(1 << 24)) / (1 << 24))
     place = spread(order("_s", "_b", "mix_pass")) + spread(F.xxhash64(F.lit(seed), F.col(key), F.col("mix_pass"))) / (1 << 24)
-    return out.withColumn("mix_order", place).select(*kept, *made)
+    return renamed(out.withColumn("mix_order", place))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.columns import set_aside
 from scholia.session import cut_lineage
 
 WORDS = 8
@@ -74,8 +75,8 @@ def pass_filter(rows: DataFrame, key: str, built: DataFrame, blocks: int) -> Dat
 
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """urls with host, path, rule and verdict; rules: host, path, verdict."""
-    made = {"host", "path", "rule", "verdict"}
-    kept = [c for c in urls.columns if c.lower() not in made]
+    urls, at, named = set_aside(urls, ["host", "path", "rule", "verdict"])
+    kept, url = urls.columns, at[url]
     listed = rules.where(F.col("host").isNotNull() & (F.col("host") != "")).select(
         F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
     )
@@ -84,7 +85,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     n = listed.count()
     rows = urls.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"))
     if not n:
-        return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+        return named(rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default)))
     # shapes of the rules: labels of the host, characters of the path; a few, whatever the list
     shapes = listed.select(F.size(F.split("host", "[.]")).alias("k"), F.length("path").alias("n")).distinct().collect()
     longest = max(s["n"] for s in shapes)
@@ -103,4 +104,4 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     # written, so that both sides of the last join are plain exchanges and a hot host is split at run time
     found = cut_lineage(found.select(F.col("host").alias("_h"), "start", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("_v")))
     out = rows.join(found, (rows.host == found._h) & (F.substring("path", 1, longest) == found.start), "left")
-    return out.select(*[rows[c] for c in kept], rows.host, rows.path, "rule", F.coalesce("_v", F.lit(default)).alias("verdict"))
+    return named(out.select(*[rows[c] for c in kept], rows.host, rows.path, "rule", F.coalesce("_v", F.lit(default)).alias("verdict")))

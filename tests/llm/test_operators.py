@@ -58,6 +58,31 @@ def test_url_rules(spark):
     assert got == {i: brute_verdict(u) for i, u in enumerate(urls)}
 
 
+def test_working_columns_clash_with_none_of_the_input(spark, docs):
+    urls = spark.createDataFrame([(1, "http://a.example.com/en/x"), (2, "http://b.net/es/"), (3, None)], "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    extra = ["_v", "_h", "_block", "start", "rule", "carried 0", "_w0"]
+    wide = urls.select(*[F.lit(9).alias(c) for c in extra], "*")
+    plain = sorted(urlfilter.judge(urls, rules).collect())
+    got = urlfilter.judge(wide, rules)
+    assert got.columns == [c for c in extra if c != "rule"] + plain[0].__fields__
+    assert sorted(got.select(*plain[0].__fields__).collect()) == plain and got.where("_v = 9 AND start = 9").count() == 3
+
+    some = docs.limit(60)
+    extra = ["_s", "_b", "_take", "_left", "_r", "_in", "_full", "n", "mix_pass"]
+    wide = some.select("*", *[F.lit(9).alias(c) for c in extra])
+    plain, got = mixing.mix_sources(some), mixing.mix_sources(wide)
+    assert got.columns == some.columns + extra[:-1] + plain.columns[-4:]
+    assert sorted(got.select(*plain.columns).collect(), key=str) == sorted(plain.collect(), key=str) and got.where("_s <> 9 OR n <> 9").count() == 0
+
+    model = licenses.fit(docs)
+    rows = spark.createDataFrame([(1, "Some words.\nReleased under the MIT License.")], "doc_id long, text string")
+    extra = ["w", "grams", "p", "best", "_p", "licence", "t"]
+    plain, got = licenses.scan(rows, model), licenses.scan(rows.select(*[F.lit(9).alias(c) for c in extra], "*"), model)
+    assert got.columns == [c for c in extra if c != "licence"] + plain.columns
+    assert got.select(*plain.columns).collect() == plain.collect() and got.first()["w"] == 9
+
+
 def test_url_rules_none(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
