@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.functions.names import authors_match
+from scholia.functions.names import authors_match, compose
 from scholia.functions.text import title_similarity
 from scholia.operators import identifiers as ids
 from scholia.operators.linkage import confidence_band, entry_class
@@ -101,6 +101,19 @@ def author_pairs(t):
     )
 
 
+@query("q_authors_composed", "f_entries f_works", f"""
+SELECT e.page_id, w.doi,
+       {duck.authors_match("nfc_normalize(replace(e.json_author, 'e', 'e' || chr(769)))", "nfc_normalize(replace(w.first_author, 'e', chr(233)))")} AS same_author,
+       nfc_normalize(replace(e.json_author, 'e', 'e' || chr(769))) AS author
+FROM f_entries e JOIN f_works w ON w.doc_id = e.page_id""")
+def composed_author_pairs(t):
+    """Names with marks apart on one side and as one letter on the other."""
+    e = t("f_entries").select("page_id", F.replace("json_author", F.lit("e"), F.lit("e\u0301")).alias("_apart"))
+    pairs = e.join(t("f_works"), F.col("page_id") == F.col("doc_id"))
+    whole = F.replace("first_author", F.lit("e"), F.lit("\u00e9"))
+    return pairs.select("page_id", "doi", authors_match(F.col("_apart"), whole).alias("same_author"), compose(F.col("_apart")).alias("author"))
+
+
 @query("q_title_similarity", "f_page_titles f_works", f"""
 SELECT p.page_id, w.doi, round({duck.similarity(duck.tokens("p.title"), duck.tokens("w.title"))}, 3)::DOUBLE AS title_sim
 FROM f_page_titles p JOIN f_works w ON w.doc_id = p.page_id""")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scholia.functions.names import authors_match, normalize_author
+from scholia.functions.names import authors_match, compose, normalize_author
 from scholia.functions.text import doi_to_file, strip_supplement
 from scholia.operators.identifiers import classify_identifiers, filename_clues
 from scholia.operators.linkage import clue_score, clue_stage, confidence_band
@@ -154,3 +154,14 @@ def test_no_clues(spark):
     assert (rows[2]["cr_doi"], rows[2]["clue_score"], rows[2]["match"]) == ("10.1/a", 100, True)
     assert (rows[3]["cr_doi"], rows[3]["clue_score"]) == ("10.1/a", 30)
     assert rows[4]["note"] == "clue: no_results"
+
+
+def test_composed_and_decomposed_names_match(spark):
+    import unicodedata
+
+    names = ["Müller", "Ñandú, José", "Nguyễn Thị Ấn", "Čapek", "Ångström", "Smith", "", "e\u0301", "\u0301x", "x\u0301\u0302", "Ωμέγα ᾧ", None]
+    apart = [unicodedata.normalize("NFD", n) if n else n for n in names]
+    df = spark.createDataFrame(list(zip(names, apart)), "whole string, apart string")
+    got = df.select(compose(F.col("apart")).alias("c"), authors_match(F.col("whole"), F.col("apart")).alias("m"), authors_match(F.col("apart"), F.col("whole")).alias("n")).collect()
+    assert [r["c"] for r in got] == [unicodedata.normalize("NFC", n) if n else n for n in names]
+    assert all(r["m"] == r["n"] == bool(n) for r, n in zip(got, names))
