@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.chunked import running_last, running_sum
 from scholia.functions.text import strip
+from scholia.session import cut_lineage
 
 SPAN = 10_000
 
@@ -61,13 +62,15 @@ def ordered_distinct(df: DataFrame, keys: list[str], pos: str, value: str) -> Da
 
 
 def rate_audit(
-    events: DataFrame, key: str, ts: str, limit: int, seconds: int, span_seconds: int = 3600
+    events: DataFrame, key: str, ts: str, limit: int, seconds: int, ranges: int | None = None
 ) -> DataFrame:
     """Adds the events of the key in ``(ts - seconds, ts]`` and whether they exceed ``limit``.
 
     Every event counts +1 from its time on and -1 from ``seconds`` later on; the
     running sum of these steps at an event is the number of events in its
-    window.  Steps at the same time are summed before the scan.
+    window.  Steps at the same time are summed before the scan, which runs over
+    ranges of (key, time) of about equal row counts: a key with all events is
+    spread over all of them, however its times lie.
     """
     width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(seconds)).cast("decimal(18,6)"))
     counts = events.groupBy(key, ts).agg(F.count("*").alias("_n"))
@@ -75,8 +78,9 @@ def rate_audit(
     leave = F.struct((F.col(ts) + width).alias("_at"), (-F.col("_n")).alias("_step"))
     steps = counts.select(key, F.explode(F.array(arrive, leave)).alias("s")).select(key, "s.*")
     steps = steps.groupBy(key, "_at").agg(F.sum("_step").alias("_step"))
-    bucket = F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / span_seconds)
-    scanned = running_sum(steps, [key], ["_at"], F.col("_step"), bucket, "in_window")
+    place = [key, "_at"] if ranges is None else [ranges, key, "_at"]
+    ranged = cut_lineage(steps.repartitionByRange(*place).withColumn("_range", F.spark_partition_id()))
+    scanned = running_sum(ranged, [key], ["_at"], F.col("_step"), F.col("_range"), "in_window")
     windows = scanned.select(key, F.col("_at").alias(ts), "in_window")
     return events.join(windows, [key, ts], "left").withColumn("over_limit", F.col("in_window") > limit)
 

@@ -16,98 +16,164 @@ from scholia.vocab import (
 )
 
 ENVIRONMENT = r"\\(begin|end)\{(\w+)\*?\}"
-_SPANS = "array<struct<name:string,start:int,end:int>>"
-_STATE = f"struct<at:int,stack:array<struct<name:string,start:int>>,spans:{_SPANS}>"
+# places in the text, and numbers of the pieces that hold the two marks
+_SPANS = "array<struct<name:string,start:int,end:int,first:int,last:int>>"
+_OPEN = "array<struct<name:string,start:int,first:int,had:int>>"
+_STATE = f"struct<at:int,stack:{_OPEN},kept:int,spans:{_SPANS}>"
+_ARGUMENTS = "array<struct<first:int,last:int,again:boolean>>"
+_CALLS = f"struct<depth:int,left:int,first:int,again:boolean,kept:int,spans:{_ARGUMENTS}>"
+#: Pieces in one inner fold.
+_RUN = 256
 
 
 def _pieces(text: Column, pattern: str) -> Column:
-    """Array of ``(before, token)``; the last token is empty."""
+    """The text cut at its tokens: what is before the first, the first token, and so on; the last token is empty.
+
+    Piece i is the text before token i and that token. Spans of pieces are put together
+    by slices of this array, so that a fold over the tokens never copies text.
+    """
     tokens = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
-    return F.zip_with(
-        F.split(text, pattern, -1), tokens,
-        lambda b, t: F.struct(b.alias("before"), t.alias("token")),
-    )
+    return F.flatten(F.zip_with(F.split(text, pattern, -1), tokens, lambda before, token: F.array(before, token)))
 
 
-def environment_spans(text: Column) -> Column:
-    """Outermost matched environments as ``(name, start, end)``, offsets from 0.
+def _fold(pieces: Column, zero: Column, spans: str, step, finish) -> Column:
+    """``finish(spans)`` of a fold over the numbers of the pieces; ``step(state, i, before, token)``.
 
-    An end closes the innermost open environment if the names agree and is
-    ignored otherwise.
+    Spark copies the whole state at every step. So runs of pieces are folded with
+    the spans they find only, and an outer fold puts together the spans of the runs.
+    ``kept`` in the state is how many spans of earlier runs still stand.
+    """
+    none = F.array().cast(spans)
+    last = (F.size(pieces) / 2 - 1).cast("int")
+
+    def run(whole: Column, begin: Column) -> Column:
+        numbers = F.sequence(begin, F.least(begin + (_RUN - 1), last))
+        joined = lambda s: F.concat(F.slice(whole.spans, F.lit(1), s.kept), s.spans)
+        after = lambda s: F.struct(
+            s.withField("kept", s.kept + F.size(s.spans)).withField("spans", none).alias("state"), joined(s).alias("spans")
+        )
+        return F.aggregate(numbers, whole.state, lambda s, i: step(s, i, F.get(pieces, 2 * i), F.get(pieces, 2 * i + 1)), after)
+
+    start = F.struct(zero.alias("state"), none.alias("spans"))
+    return F.aggregate(F.sequence(F.lit(0), last, F.lit(_RUN)), start, run, lambda whole: finish(whole.spans))
+
+
+def _up_to(pieces: Column, spans: Column, i: Column) -> Column:
+    """The text between the span before the i-th and the i-th, or to the end."""
+    begin = F.when(i > 0, F.get(spans, i - 1)["last"] + 1).otherwise(0)
+    end = F.coalesce(2 * F.get(spans, i)["first"] + 1, F.size(pieces))
+    return F.array_join(F.slice(pieces, 2 * begin + 1, F.greatest(end - 2 * begin, F.lit(0))), "")
+
+
+def _environments(pieces: Column, finish) -> Column:
+    """``finish(spans)`` of the outermost matched environments.
+
+    An open environment knows how many spans there were before it, which is what is left of
+    them once it is closed, so a step costs no look at the spans.
     """
     zero = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<name:string,start:int>>").alias("stack"),
-        F.array().cast(_SPANS).alias("spans"),
+        F.lit(0).alias("at"), F.array().cast(_OPEN).alias("stack"), F.lit(0).alias("kept"), F.array().cast(_SPANS).alias("spans"),
     )
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state.at + F.length(piece.before)
-        end = start + F.length(piece.token)
-        name = F.regexp_extract(piece.token, ENVIRONMENT, 2)
-        opens, top = piece.token.startswith("\\begin"), F.get(state.stack, F.lit(0))
-        closes = piece.token.startswith("\\end") & F.coalesce(top["name"] == name, F.lit(False))
-        pushed = F.concat(F.array(F.struct(name.alias("name"), start.alias("start"))), state.stack)
-        outer = F.filter(state.spans, lambda s: s.start < top.start)
-        closed = F.array(F.struct(top["name"].alias("name"), top.start.alias("start"), end.alias("end")))
-        moved = F.struct(
+    def step(state: Column, i: Column, before: Column, token: Column) -> Column:
+        start = state.at + F.length(before)
+        end = start + F.length(token)
+        name = F.regexp_extract(token, ENVIRONMENT, 2)
+        opens, top = token.startswith("\\begin"), F.get(state.stack, F.lit(0))
+        closes = token.startswith("\\end") & F.coalesce(top["name"] == name, F.lit(False))
+        opened = F.struct(name.alias("name"), start.alias("start"), i.alias("first"), (state.kept + F.size(state.spans)).alias("had"))
+        closed = F.struct(
+            top["name"].alias("name"), top["start"].alias("start"), end.alias("end"), top["first"].alias("first"), i.alias("last"),
+        )
+        outer = F.slice(state.spans, F.lit(1), F.greatest(top.had - state.kept, F.lit(0)))
+        return F.struct(
             end.alias("at"),
-            F.when(opens, pushed).when(closes, F.slice(state.stack, 2, 1_000_000)).otherwise(state.stack).alias("stack"),
-            F.when(closes, F.concat(outer, closed)).otherwise(state.spans).alias("spans"),
+            F.when(opens, F.concat(F.array(opened), state.stack))
+            .when(closes, F.slice(state.stack, 2, 1_000_000)).otherwise(state.stack).alias("stack"),
+            F.when(closes, F.least(top.had, state.kept)).otherwise(state.kept).alias("kept"),
+            F.when(closes, F.concat(outer, F.array(closed))).otherwise(state.spans).alias("spans"),
         )
-        return moved.cast(_STATE)
 
-    return F.aggregate(_pieces(text, ENVIRONMENT), zero.cast(_STATE), step, lambda s: s.spans)
+    return _fold(pieces, zero.cast(_STATE), _SPANS, step, finish)
+
+
+def _block(pieces: Column, span: Column) -> Column:
+    """Text of a span with its two marks."""
+    size = 2 * (span["last"] - span["first"]) + 1
+    return F.array_join(F.slice(pieces, 2 * span["first"] + 2, size), "")
+
+
+def environment_spans(text: Column) -> Column:
+    """Outermost matched environments as ``(name, start, end)``, offsets from 0.
+
+    An end closes the innermost open environment if the names agree and is
+    ignored otherwise.
+    """
+    place = lambda s: F.struct(s["name"].alias("name"), s.start.alias("start"), s.end.alias("end"))
+    return let(_pieces(text, ENVIRONMENT), lambda p: _environments(p, lambda spans: F.transform(spans, place)))
 
 
 def top_level_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per outermost environment, with its text and whether it is protected."""
-    rows = df.select(key, text, F.posexplode(environment_spans(F.col(text))).alias("pos", "_s"))
+
+    def cut(pieces: Column) -> Column:
+        return _environments(pieces, lambda spans: F.transform(spans, lambda s: F.struct(
+            s["name"].alias("name"), s.start.alias("start"), s.end.alias("end"), _block(pieces, s).alias("block")
+        )))
+
+    rows = df.select(key, F.posexplode(let(_pieces(F.col(text), ENVIRONMENT), cut)).alias("pos", "_s"))
     return rows.select(
         key, "pos", F.col("_s.name").alias("name"), F.col("_s.start").alias("start"), F.col("_s.end").alias("end"),
-        F.col("_s.name").isin(PROTECTED_ENVIRONMENTS).alias("protected"),
-        F.substring(F.col(text), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("block"),
+        F.col("_s.name").isin(PROTECTED_ENVIRONMENTS).alias("protected"), F.col("_s.block").alias("block"),
     )
 
 
 def balanced(text: Column, command: str, arguments: int = 1) -> Column:
-    """Struct of the text without ``\\command{..}`` and the arguments removed.
+    """Struct of the text without ``\\command{..}`` and the arguments removed, see :func:`balanced_calls`."""
+    return balanced_calls(text, {command: arguments})
+
+
+def balanced_calls(text: Column, commands: dict[str, int]) -> Column:
+    """Struct of the text without calls of the commands and the arguments removed; commands with their most arguments.
 
     Braces are counted, so arguments may nest; an unclosed one runs to the end.
-    With two arguments the second is optional and may follow white space.
+    With two arguments the second is optional and may follow white space. The braces
+    are walked once and the text is put together once, at the end.
     """
-    call = rf"\\{command}\{{"
-    opening = "\\" + command + "{"
-    state_type = "struct<depth:int,left:int,text:string,cur:string,args:array<string>>"
+    openings = {"\\" + name + "{": most for name, most in commands.items()}
+    further = lambda token: reduce(lambda rest, x: F.when(token == x[0], x[1] - 1).otherwise(rest), openings.items(), F.lit(0))
     zero = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("left"), F.lit("").alias("text"), F.lit("").alias("cur"),
-        F.array().cast("array<string>").alias("args"),
-    ).cast(state_type)
+        F.lit(0).alias("depth"), F.lit(0).alias("left"), F.lit(0).alias("first"), F.lit(False).alias("again"),
+        F.lit(0).alias("kept"), F.array().cast(_ARGUMENTS).alias("spans"),
+    ).cast(_CALLS)
 
-    def step(s: Column, p: Column) -> Column:
+    def step(s: Column, i: Column, before: Column, token: Column) -> Column:
         inside = s.depth > 0
-        is_call, is_open, is_close = p.token == opening, p.token == "{", p.token == "}"
+        is_call, is_open, is_close = token.isin(list(openings)), token == "{", token == "}"
         starts = ~inside & is_call
-        again = ~inside & is_open & (s.left > 0) & (strip(p.before) == "")
-        ends = inside & is_close & (s.depth == 1)
-        grown = F.concat(s.cur, p.before)
+        again = ~inside & is_open & (s.left > 0) & (strip(before) == "")
+        ends = inside & ((is_close & (s.depth == 1)) | (token == ""))
+        span = F.struct(s["first"].alias("first"), i.alias("last"), s.again.alias("again"))
         return F.struct(
             F.when(starts | again, 1)
             .when(inside & (is_call | is_open), s.depth + 1)
             .when(inside & is_close, s.depth - 1)
             .otherwise(s.depth).alias("depth"),
-            F.when(starts, arguments - 1).when(again, s.left - 1).when(inside, s.left).otherwise(0).alias("left"),
-            F.when(inside | again, s.text)
-            .when(starts, F.concat(s.text, p.before))
-            .otherwise(F.concat(s.text, p.before, p.token)).alias("text"),
-            F.when(ends | ~inside, "").otherwise(F.concat(grown, p.token)).alias("cur"),
-            F.when(ends | (inside & (p.token == "")), F.concat(s.args, F.array(grown))).otherwise(s.args).alias("args"),
-        ).cast(state_type)
-
-    return F.aggregate(
-        _pieces(text, call + r"|\{|\}"), zero, step,
-        lambda s: F.struct(s.text.alias("text"), s.args.alias("args")),
-    )
+            F.when(starts, further(token)).when(again, s.left - 1).when(inside, s.left).otherwise(0).alias("left"),
+            F.when(starts | again, i).otherwise(s["first"]).alias("first"),
+            F.when(starts | again, again).otherwise(s.again).alias("again"),
+            s.kept.alias("kept"),
+            F.when(ends, F.concat(s.spans, F.array(span))).otherwise(s.spans).alias("spans"),
+        )
+
+    def result(pieces: Column, spans: Column) -> Column:
+        gap = lambda s, i: F.when(s.again, F.lit("")).otherwise(_up_to(pieces, spans, i))
+        inner = lambda s: F.array_join(F.slice(pieces, 2 * s["first"] + 3, 2 * (s["last"] - s["first"]) - 1), "")
+        text = F.concat(F.array_join(F.transform(spans, gap), ""), _up_to(pieces, spans, F.size(spans)))
+        return F.struct(text.alias("text"), F.transform(spans, inner).alias("args"))
+
+    names = "|".join(commands)
+    return let(_pieces(text, rf"\\(?:{names})\{{|\{{|\}}"), lambda p: _fold(p, zero, _ARGUMENTS, step, lambda spans: result(p, spans)))
 
 
 def balanced_args(df: DataFrame, key: str, text: str, command: str, arguments: int = 1) -> DataFrame:
@@ -116,10 +182,10 @@ def balanced_args(df: DataFrame, key: str, text: str, command: str, arguments: i
     return df.select(key, F.posexplode(args).alias("pos", "argument"))
 
 
-def _without(text: Column, command: str, arguments: int = 1) -> Column:
-    """Removes a command with its arguments; texts without it are not scanned."""
-    found = lambda t: F.contains(t, F.lit("\\" + command + "{"))
-    return let(text, lambda t: F.when(found(t), balanced(t, command, arguments)["text"]).otherwise(t))
+def _without(text: Column, commands: dict[str, int]) -> Column:
+    """Removes commands with their arguments in one walk; texts without them are not scanned."""
+    found = lambda t: reduce(lambda x, y: x | y, (F.contains(t, F.lit("\\" + c + "{")) for c in commands))
+    return let(text, lambda t: F.when(found(t), balanced_calls(t, commands)["text"]).otherwise(t))
 
 
 def _replace_each(text: Column, pattern: str, render) -> Column:
@@ -195,27 +261,17 @@ def drop_comments(text: Column) -> Column:
 
 def _protect(text: Column) -> Column:
     """Struct of the text with numbered marks and the protected blocks."""
-    spans = F.filter(environment_spans(text), lambda s: s["name"].isin(PROTECTED_ENVIRONMENTS))
-    state_type = "struct<at:int,text:string,blocks:array<string>>"
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit("").alias("text"), F.array().cast("array<string>").alias("blocks")
-    ).cast(state_type)
 
-    def step(s: Column, span: Column) -> Column:
-        before = F.substring(text, s.at + 1, span.start - s.at)
-        mark = F.concat(F.lit("\u0000"), F.size(s.blocks).cast("string"), F.lit("\u0000"))
-        block = F.substring(text, span.start + 1, span.end - span.start)
+    def marked(pieces: Column, spans: Column) -> Column:
+        mark = lambda i: F.concat(F.lit("\u0000"), i.cast("string"), F.lit("\u0000"))
+        gaps = F.transform(spans, lambda s, i: F.concat(_up_to(pieces, spans, i), mark(i)))
         return F.struct(
-            span.end.alias("at"), F.concat(s.text, before, mark).alias("text"),
-            F.concat(s.blocks, F.array(block)).alias("blocks"),
-        ).cast(state_type)
-
-    return F.aggregate(
-        spans, zero, step,
-        lambda s: F.struct(
-            F.concat(s.text, F.substring(text, s.at + 1, F.length(text))).alias("text"), s.blocks.alias("blocks")
-        ),
-    )
+            F.concat(F.array_join(gaps, ""), _up_to(pieces, spans, F.size(spans))).alias("text"),
+            F.transform(spans, lambda s: _block(pieces, s)).alias("blocks"),
+        )
+
+    kept = lambda spans: F.filter(spans, lambda s: s["name"].isin(PROTECTED_ENVIRONMENTS))
+    return let(_pieces(text, ENVIRONMENT), lambda p: let(_environments(p, kept), lambda spans: marked(p, spans)))
 
 
 def _convert(text: Column) -> Column:
@@ -237,11 +293,8 @@ def _convert(text: Column) -> Column:
         else:
             text = F.replace(text, F.lit(escape), F.lit(plain))
     text = F.replace(text, F.lit("~"), F.lit(" "))
-    for command in ("title", "author", "thanks", "IEEEmembership"):
-        text = _without(text, command)
-    text = _substitute(text, LEFTOVER_RULES)
-    text = _without(text, "markboth", 2)
-    return _without(text, "resizebox")
+    text = _without(text, {"title": 1, "author": 1, "thanks": 1, "IEEEmembership": 1})
+    return _without(_substitute(text, LEFTOVER_RULES), {"markboth": 2, "resizebox": 1})
 
 
 def tex_to_text(tex: Column) -> Column:

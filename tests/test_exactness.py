@@ -127,10 +127,19 @@ def test_first_n(spark):
 def test_rate_window_bounds(spark):
     rows = [("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:00:10"), ("u", "2024-01-01 00:00:09.999999"), ("w", "2024-01-01 00:00:05")]
     df = spark.createDataFrame(rows, "k string, t string").select("k", F.col("t").cast("timestamp_ntz").alias("ts"))
-    got = sorted((r.k, str(r.ts), r.in_window, r.over_limit) for r in rate_audit(df, "k", "ts", 2, 10, span_seconds=3).collect())
+    got = sorted((r.k, str(r.ts), r.in_window, r.over_limit) for r in rate_audit(df, "k", "ts", 2, 10, ranges=3).collect())
     assert [(k, n, o) for k, _, n, o in got] == [("u", 2, False), ("u", 2, False), ("u", 3, True), ("u", 2, False), ("w", 1, False)]
 
 
+def test_rates_of_one_key_within_a_second_are_spread(spark):
+    rng = random.Random(9)
+    at = [rng.randrange(1_000_000) for _ in range(3000)]
+    df = spark.createDataFrame([("u", x) for x in at], "k string, x long").select("k", F.timestamp_micros("x").alias("ts"), "x")
+    want = {x: sum(x - 1000000 < y <= x for y in at) for x in set(at)}
+    got = rate_audit(df, "k", "ts", 2, 1, ranges=6).collect()
+    assert len(got) == 3000 and all(r.in_window == want[r.x] for r in got)
+
+
 def test_merging_twice_is_merging_once(spark):
     schema = "model_alias string, task_id string, status string, ts int"
     old = spark.createDataFrame([("m", "a", "failed", 1), ("m", "b", "success", 5)], schema)

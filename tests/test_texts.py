@@ -1,6 +1,7 @@
 """LaTeX, JSON and page operators on written examples and generated texts."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -32,6 +33,21 @@ def test_spans_agree_with_a_stack(spark):
         assert [tuple(s) for s in row.s] == _stack_spans(row.t), row.t
 
 
+def test_spans_and_arguments_of_long_texts(spark):
+    """Many runs of the fold: outer environments that close in later runs, calls that cross runs, linear time."""
+    rng = random.Random(8)
+    parts = [r"\begin{a}", r"\end{a}", r"\begin{b*}", r"\end{b*}", "x", "yy "]
+    texts = ["".join(rng.choice(parts) for _ in range(3000)) for _ in range(3)] + [r"\begin{o}" + r"\begin{a}\end{a}" * 900 + r"\end{o}\begin{a}\end{a}"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", tex.environment_spans(F.col("t")).alias("s")).collect():
+        assert [tuple(s) for s in row.s] == _stack_spans(row.t)
+    long = r"\t{" + "{x}" * 700 + "} mid " + r"\t{y} z " * 5000 + "p" * 900_000
+    start = time.monotonic()
+    got = spark.createDataFrame([(long,)], "t string").select(tex.balanced(F.col("t"), "t").alias("r")).first().r
+    assert got["args"] == ["{x}" * 700] + ["y"] * 5000 and got["text"] == " mid " + " z " * 5000 + "p" * 900_000
+    assert time.monotonic() - start < 30
+
+
 def test_balanced(spark):
     text = r"a \t{x{y}z} b {k} \t{1} {2} c \t{open {"
     df = spark.createDataFrame([(text,)], "t string")
