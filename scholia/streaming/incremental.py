@@ -13,6 +13,7 @@ from scholia.plans.extraction import extraction_run
 from scholia.sources.corpus import exclude_globs, plain_path
 from scholia.sources.hidden import hidden_texts
 from scholia.sources.sinks import merge_rows, path_exists, read_merged, write_extractions
+from scholia.streaming.windows import WindowCounts
 
 STATE_SCHEMA = (
     "model_alias string, task_id string, json string, status string, retries int, "
@@ -100,8 +101,8 @@ def rate_stream(
 ) -> DataFrame:
     """Events per key and sliding window; rows later than ``late`` are dropped.
 
-    The windows start at multiples of ``slide``; the exact count at every event
-    is the batch operator ``rate_audit``.
+    The windows start at multiples of ``slide``; ``exact_rate_stream`` has the
+    exact count at every event.
     """
     rows = events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
     window = F.window("_at", f"{seconds} seconds", f"{slide} seconds")
@@ -111,3 +112,25 @@ def rate_stream(
         "in_window", (F.col("in_window") > limit).alias("over_limit"),
     )
 
+
+
+def exact_rate_stream(events: DataFrame, key: str, ts: str, seconds: int, late: str, limit: int) -> DataFrame:
+    """Events of the key in ``(ts - seconds, ts]`` at every time of an event, as the batch operator ``rate_audit`` has it.
+
+    Returns ``key, ts, events, in_window, over_limit`` in append mode, one row for each key and
+    time; ``events`` happened at that time. A time is answered once the watermark has
+    passed it, so rows in any order count as long as they are not later than ``late``, and later ones
+    are dropped by Spark. A key keeps a number for each time that is not answered or may
+    still be in the window of one, and one timer. Rows without key or time are left out. The session
+    must use the RocksDB state store, as keyed state with timers needs it.
+    """
+    rows = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("at")).where("key IS NOT NULL AND at IS NOT NULL")
+    # the time comes twice: Spark takes the marked column for its watermark, the state wants microseconds
+    rows = rows.withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
+    kind = rows.schema["key"].dataType.simpleString()
+    answers = rows.groupBy("key").transformWithStateInPandas(
+        WindowCounts(seconds), f"key {kind}, micros bigint, events bigint, in_window bigint", "append", "eventtime"
+    )
+    return answers.select(
+        F.col("key").alias(key), F.timestamp_micros("micros").alias(ts), "events", "in_window", (F.col("in_window") > limit).alias("over_limit"),
+    )

@@ -4,7 +4,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from scholia.operators.tasks import Prompt, latest_state
-from scholia.streaming.incremental import corpus_stream, ingest, latest_state_stream, rate_stream, read_state
+from scholia.operators.ordered import rate_audit
+from scholia.streaming.incremental import corpus_stream, exact_rate_stream, ingest, latest_state_stream, rate_stream, read_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 SF_DIR = "/root/testdata/sf0.001"
@@ -137,3 +138,35 @@ def test_hidden_files_stream_once(spark, tmp_path):
     assert run() == [("_b.md", "B"), ("_in/c.md", "C"), ("a.md", "A")]
     (root / ".d.md").write_text("D")
     assert run() == [(".d.md", "D"), ("_b.md", "B"), ("_in/c.md", "C"), ("a.md", "A")]
+
+
+def test_exact_rates_equal_batch_with_late_rows(spark, tmp_path):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    source = tmp_path / "in"
+    # three files in turn; b's rows come late, but within the ten seconds that are waited for; the last file ends all windows
+    files = [
+        [("a", 0.0), ("a", 3.0), ("a", 3.0), ("b", 12.0), (None, 1.0), ("a", None)],
+        [("a", 9.999999), ("b", 5.5), ("a", 10.0), ("b", 21.0)],
+        [("a", 13.0), ("b", 14.0), ("b", 12.0), ("a", 60.0)],
+        [("z", 500.0)],
+    ]
+    schema = "k string, s double, x int"
+    try:
+        got = []
+        for number, rows in enumerate(files):
+            part = spark.createDataFrame([(k, s, 1) for k, s in rows], schema)
+            part.coalesce(1).write.mode("append").parquet(str(source))
+            events = spark.readStream.schema(schema).parquet(str(source)).select("k", F.expr("timestamp_micros(cast(round((s + 1000) * 1000000) as bigint))").alias("ts"))
+            out = exact_rate_stream(events, "k", "ts", 10, "10 seconds", 2)
+            query = out.writeStream.foreachBatch(lambda b, n: got.extend(b.collect())).outputMode("append")
+            query.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        every = spark.createDataFrame([(k, s) for rows in files for k, s in rows if k and s is not None and k != "z"], "k string, s double")
+        batch = rate_audit(every.select("k", F.expr("timestamp_micros(cast(round((s + 1000) * 1000000) as bigint))").alias("ts")), "k", "ts", 2, 10)
+        want = batch.groupBy("k", "ts", "in_window", "over_limit").count()
+        assert sorted((r.k, r.ts, r.events, r.in_window, r.over_limit) for r in got) == sorted((r.k, r.ts, r["count"], r.in_window, r.over_limit) for r in want.collect())
+        assert any(r.over_limit for r in got)
+    finally:
+        spark.conf.unset(provider)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
