@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import strip
 from scholia.session import cut_lineage
 
+#: Rounds of the walk that are read one by one before they are put together.
+ROUNDS_KEPT = 16
 INCLUDE = r"\\(?:input|include)\{(.+?)\}"
 
 
@@ -19,29 +23,30 @@ def include_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     keys gives document order.  A depth-first walk that visits a file once
     reaches it over the smallest key among all cycle-free paths, so each round
     keeps the smallest key per file and only follows files whose key changed.
+    A round writes these files only; what earlier rounds found is read, not
+    rewritten, until so many rounds have gone that they are put together.
     """
-    best = cut_lineage(
-        roots.select(
-            "root", F.col("root").alias("node"), F.array().cast("array<int>").alias("key"),
-            F.array("root").alias("_path"), F.lit(True).alias("_new"),
-        )
+    start = roots.select(
+        "root", F.col("root").alias("node"), F.array().cast("array<int>").alias("key"), F.array("root").alias("_path"),
     )
-    while best.filter("_new").limit(1).count():
-        steps = best.filter("_new").join(edges, F.col("node") == F.col("src"))
-        steps = steps.filter(~F.array_contains("_path", F.col("dst"))).select(
-            "root",
-            F.col("dst").alias("node"),
-            F.concat("key", F.array(F.col("pos").cast("int"))).alias("key"),
-            F.concat("_path", F.array("dst")).alias("_path"),
-            F.lit(True).alias("_new"),
-        )
-        rows = best.withColumn("_new", F.lit(False)).unionByName(steps)
-        place = F.struct("key", "_new", "_path")
-        best = cut_lineage(
-            rows.groupBy("root", "node").agg(F.min(place).alias("_p")).select(
-                "root", "node", "_p.key", "_p._path", "_p._new"
-            )
+    first = F.min(F.struct("key", "_path"))
+    found = [cut_lineage(start)]
+    while True:
+        steps = found[-1].join(edges, F.col("node") == F.col("src")).filter(~F.array_contains("_path", F.col("dst")))
+        steps = steps.select(
+            "root", F.col("dst").alias("node"),
+            F.concat("key", F.array(F.col("pos").cast("int"))).alias("key"), F.concat("_path", F.array("dst")).alias("_path"),
         )
+        steps = steps.groupBy("root", "node").agg(first.alias("_p"))
+        known = reduce(DataFrame.unionByName, found).groupBy("root", "node").agg(F.min("key").alias("_key"))
+        better = steps.join(known, ["root", "node"], "left").filter("_key IS NULL OR _p.key < _key")
+        changed = cut_lineage(better.select("root", "node", "_p.key", "_p._path"))
+        if changed.isEmpty():
+            break
+        if len(found) >= ROUNDS_KEPT:
+            found = [cut_lineage(reduce(DataFrame.unionByName, found).groupBy("root", "node").agg(first.alias("_p")).select("root", "node", "_p.*"))]
+        found.append(changed)
+    best = reduce(DataFrame.unionByName, found).groupBy("root", "node").agg(F.min("key").alias("key"))
     return best.select("root", "node", "key", F.size("key").alias("depth"))
 
 
@@ -98,3 +103,9 @@ def resolve_includes(files: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select(
         "root", F.concat("key", F.array(2 * F.col("_n"))).alias("key"), F.col("node").alias("path"), "piece"
     )
+
+
+def expanded_texts(pieces: DataFrame) -> DataFrame:
+    """``(root, text)``: the pieces of :func:`resolve_includes` put together; a root's whole text is one value."""
+    parts = F.array_sort(F.collect_list(F.struct("key", "piece")))
+    return pieces.groupBy("root").agg(F.array_join(F.transform(parts, lambda p: p.piece), "").alias("text"))

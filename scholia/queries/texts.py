@@ -262,3 +262,22 @@ def include_closure(t):
     roots = edges.filter("src = 'main'").select(F.col("src").alias("root")).distinct()
     closure = includes.include_closure(edges, roots)
     return closure.select("root", "node", F.array_join("key", ".").alias("place"), "depth")
+
+
+@query("q_resolve_includes", "", r"""
+WITH RECURSIVE f AS (SELECT doc_id, doc_id // 40 AS g, (doc_id % 40)::INTEGER AS k, doc_id % 7 = 3 AS more FROM documents),
+e AS (SELECT g, k AS src, 1 AS pos, 2 * k + 1 AS dst FROM f UNION ALL SELECT g, k, 3, 2 * k + 2 FROM f UNION ALL SELECT g, k, 5, k // 2 FROM f WHERE more),
+walk AS (
+  SELECT g, 0 AS node, []::INTEGER[] AS key, [0] AS path FROM f WHERE k = 0
+  UNION ALL SELECT w.g, e.dst, list_append(w.key, e.pos), list_append(w.path, e.dst)
+  FROM walk w JOIN e ON e.g = w.g AND e.src = w.node JOIN f ON f.g = w.g AND f.k = e.dst WHERE NOT list_contains(w.path, e.dst)),
+best AS (SELECT g, node, min(key) AS key FROM walk GROUP BY 1, 2),
+pieces AS (
+  SELECT b.g, list_append(b.key, 2 * n.n) AS key, CASE n.n WHEN 0 THEN 'T' || f.doc_id || ' ' WHEN 1 THEN ' m ' WHEN CASE WHEN f.more THEN 3 ELSE 2 END THEN ' e' || chr(10) ELSE ' ' END AS piece
+  FROM best b JOIN f ON f.g = b.g AND f.k = b.node JOIN (SELECT unnest([0, 1, 2, 3])::INTEGER AS n) n ON n.n <= CASE WHEN f.more THEN 3 ELSE 2 END)
+SELECT 'p' || g || '/f0.tex' AS root, string_agg(piece, '' ORDER BY key) AS text FROM pieces GROUP BY g""")
+def resolve_includes(t):
+    """Whole texts of every project: a tree of files with links across it and includes of files that are not there."""
+    files = t("f_tex_files")
+    roots = files.where("path LIKE '%/f0.tex'").select(F.col("path").alias("root"))
+    return includes.expanded_texts(includes.resolve_includes(files, roots))

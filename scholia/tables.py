@@ -101,6 +101,13 @@ FROM f_doc_titles""",
         """SELECT 'main' AS src, cast(r_regionkey AS int) AS pos, r_name AS dst FROM region
 UNION ALL SELECT r.r_name, cast(n.n_nationkey AS int), n.n_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
 UNION ALL SELECT n.n_name, 0, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey % 5 = 0""",
+    ),
+    "f_tex_files": (
+        ["documents"],
+        """SELECT concat('p', cast(cast((doc_id - doc_id % 40) / 40 AS int) AS string), '/f', cast(doc_id % 40 AS string), '.tex') AS path, concat('p', cast(cast((doc_id - doc_id % 40) / 40 AS int) AS string)) AS root_dir,
+       concat('T', cast(doc_id AS string), ' ', chr(92), 'input{f', cast(2 * (doc_id % 40) + 1 AS string), '} m ', chr(92), 'include{f', cast(2 * (doc_id % 40) + 2 AS string), '.tex}',
+       CASE WHEN doc_id % 7 = 3 THEN concat(' ', chr(92), 'input{f', cast(cast((doc_id % 40 - doc_id % 2) / 2 AS int) AS string), '}') ELSE '' END, ' e', chr(10)) AS text
+FROM documents""",
     ),
     "f_bib": (
         ["f_works"],

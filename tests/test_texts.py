@@ -159,3 +159,21 @@ def test_markup(spark):
     assert df.select(prompt).first()[0] == "X: abc {y}"
     page = "<|ref|>text<|/ref|><|det|>[[1,2,3,4]]<|/det|>\n\n\nA \\approx B"
     assert spark.createDataFrame([(page,)], "c string").select(clean_layout(F.col("c"))).first()[0] == "A ≈ B"
+
+
+def test_include_walk_takes_the_first_place_of_a_file(spark):
+    """More rounds than are read one by one, and a file found late at an earlier place."""
+    chain = [(f"n{i}", 1, f"n{i + 1}") for i in range(20)]
+    # x is two steps away at place 5, and at the end of the chain, which starts at place 1
+    edges = spark.createDataFrame([*chain, ("n0", 5, "y"), ("y", 1, "x"), ("n20", 1, "x"), ("x", 1, "n0"), ("x", 2, "z")], "src string, pos int, dst string")
+    roots = spark.createDataFrame([("n0",)], "root string")
+    got = {r.node: (list(r.key), r.depth) for r in includes.include_closure(edges, roots).collect()}
+    assert len(got) == 24 and got["n20"] == ([1] * 20, 20)
+    assert got["x"] == ([1] * 21, 21) and got["z"] == ([1] * 21 + [2], 22) and got["y"] == ([5], 1)
+
+
+def test_expanded_texts(spark):
+    rows = [("p/a.tex", "p", r"A \input{b} C \input{none} D \include{b.tex} E"), ("p/b.tex", "p", r"B\input{a}")]
+    files = spark.createDataFrame(rows, "path string, root_dir string, text string")
+    roots = spark.createDataFrame([("p/a.tex",)], "root string")
+    assert [tuple(r) for r in includes.expanded_texts(includes.resolve_includes(files, roots)).collect()] == [("p/a.tex", "A B C  D  E")]
