@@ -1,8 +1,8 @@
 """Token-overlap search: top-n items per query, and all pairs over a threshold.
 
-Both are exact.  Copies are collapsed first (one row per distinct token set),
-hot tokens are joined in bounded cells, and the rarest tokens decide which
-pairs have to be looked at at all.
+Both are exact.  Copies are collapsed first (one row per distinct token set).
+The search counts shared tokens in cells of bounded size; the join over a
+threshold looks at pairs that share one of their rarest tokens.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.functions.cells import BLOCK, highest, in_cells
 from scholia.functions.chunked import chunked_join, first_n
 from scholia.functions.text import first_of
 from scholia.session import cut_lineage
@@ -34,65 +35,29 @@ def _by_rarity(sets: DataFrame, key: str, tokens: str, counts: DataFrame) -> Dat
     )
 
 
-def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = 32) -> DataFrame:
+def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = BLOCK) -> DataFrame:
     """The n items sharing most tokens with each query token set.
 
     ``queries(q)`` and ``items(item, tokens)`` hold arrays of distinct tokens;
     the result is ``(q, item, overlap, rank)`` ordered by overlap, then item,
     where ``q`` is the :func:`set_key` of the query.
 
-    Why a part of the posting lists is enough:
-
-    * Of items with equal token sets only the n smallest can be returned.
-    * An item sharing exactly one token with the query can only be returned if
-      it is among the n smallest items holding that token.  So the first n
-      items of every posting list cover overlap 1, and with the whole lists of
-      rare tokens they give a lower bound s for the n-th best overlap.
-    * A better item shares at least max(s, 2) of the m query tokens, hence one
-      of the m - max(s, 2) + 1 rarest; the lists of the others are not read.
+    Of items with equal token sets only the n smallest can be returned. The others
+    meet the distinct queries in cells of about ``small`` items, each of which
+    gives n items a query at most, and the best of those are the best of all.
     """
     # the distinct queries are small next to their source and are used many times
     wanted = queries.select(set_key(F.col("q")).alias("id"), "q").groupBy("id").agg(F.any_value("q").alias("q"))
-    wanted = cut_lineage(wanted)
-    sets = items.select("item", "tokens", set_key(F.col("tokens")).alias("_set"))
-    items = first_n(sets, ["_set"], ["item"], n).drop("_set")
-    vocabulary = wanted.select(F.explode("q").alias("token")).distinct()
-    postings = items.select(F.explode("tokens").alias("token"), "item").join(vocabulary, "token", "left_semi")
-    counts = postings.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = cut_lineage(_by_rarity(wanted, "id", "q", counts))
-    searched = ranked.select("id", F.col("ranked.token").alias("query"))
-    overlap = F.size(F.array_intersect("query", "tokens")).alias("overlap")
-
-    # short lists: the n smallest items of every token, all items of rare tokens
-    bound = max(n, small)
-    heads = first_n(postings, ["token"], ["item"], bound)
-    met = searched.select("id", F.explode("query").alias("token")).join(heads, "token")
-    near = met.select("id", "item").distinct().join(items, "item").join(searched, "id")
-    near = near.select("id", "item", overlap)
-    near = cut_lineage(first_n(near, ["id"], [F.desc("overlap"), "item"], n))
-    floor = near.groupBy("id").agg(
-        F.when(F.count("*") == n, F.min("overlap")).otherwise(0).alias("floor")
-    )
-
-    # long lists: only as many of the rarest tokens as the bound leaves open
-    need = F.greatest(F.col("floor"), F.lit(2))
-    length = F.greatest(F.size("ranked") - need + 1, F.lit(0))
-    long_ones = F.filter(F.slice("ranked", F.lit(1), length), lambda t: t.df > bound)
-    probes = ranked.join(floor, "id").select(
-        "id", F.col("ranked.token").alias("query"),
-        F.transform(long_ones, lambda t: t.token).alias("open"), need.alias("need"),
-    )
-    far = chunked_join(
-        probes.select("id", F.explode("open").alias("token")), postings, "token", "id", "item", probes, items
+    wanted = cut_lineage(wanted.filter(F.size("q") > 0))
+    sets = items.filter(F.size("tokens") > 0).select("item", "tokens", set_key(F.col("tokens")).alias("_set"))
+    items = cut_lineage(first_n(sets, ["_set"], ["item"], n).drop("_set"))
+    met = in_cells(
+        wanted, items, ("id", "item"), ("q", "tokens"), lambda _: lambda i, shared: highest(shared, n), small
     )
-    far = far.filter(_first_shared("open", "tokens", "token"))
-    far = far.select("id", "item", "need", overlap).filter(F.col("overlap") >= F.col("need"))
-    far = first_n(far.select("id", "item", "overlap"), ["id"], [F.desc("overlap"), "item"], n)
-    # a pair may be in both parts
-    both = near.unionByName(far).distinct()
-    w = Window.partitionBy("id").orderBy(F.desc("overlap"), "item")
-    best = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    return best.withColumnRenamed("id", "q")
+    w = Window.partitionBy("id").orderBy(F.desc("shared"), "item")
+    best = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    # a join with heavy keys reads it twice
+    return cut_lineage(best.select(F.col("id").alias("q"), "item", F.col("shared").alias("overlap"), "rank"))
 
 
 def _first_shared(prefix: str, tokens: str, token: str) -> Column:
