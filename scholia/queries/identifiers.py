@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholia.functions.names import authors_match, compose
+from scholia.operators import linkage as link
 from scholia.functions.text import title_similarity
 from scholia.operators import identifiers as ids
 from scholia.operators.linkage import confidence_band, entry_class
@@ -91,14 +92,11 @@ def entry_classes(t):
 SELECT e.page_id, w.doi, {duck.authors_match("e.json_author", "w.first_author")} AS same_author
 FROM f_entries e JOIN f_works w ON w.year = 1990 + e.page_id % 35 AND substring(w.first_author, 1, 1) = substring(e.json_author, 1, 1)""")
 def author_pairs(t):
-    """The predicate as a residual filter value behind an equi-join block."""
-    e, w = t("f_entries"), t("f_works")
-    block = (w.year == F.lit(1990) + e.page_id % 35) & (
-        F.substring(w.first_author, 1, 1) == F.substring(e.json_author, 1, 1)
-    )
-    return e.join(w, block).select(
-        "page_id", "doi", authors_match(F.col("json_author"), F.col("first_author")).alias("same_author")
-    )
+    """The predicate behind an equi-join block of year and initial."""
+    e, w, initial = t("f_entries"), t("f_works"), lambda c: F.substring(c, 1, 1)
+    e = e.select("page_id", "json_author", (1990 + F.col("page_id") % 35).alias("year"), initial("json_author").alias("_initial"))
+    w = w.select("doi", "first_author", F.col("year").cast("long").alias("year"), initial("first_author").alias("_initial"))
+    return link.author_pairs(e, w, ["year", "_initial"]).select("page_id", "doi", "same_author")
 
 
 @query("q_authors_composed", "f_entries f_works", f"""

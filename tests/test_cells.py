@@ -3,6 +3,9 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
+from scholia.operators import linkage
 from scholia.operators.candidates import top_overlap
 
 
@@ -31,3 +34,20 @@ def test_long_sets_are_not_copied_to_each_of_their_tokens(spark):
     rows, mb = shuffled(spark, run)
     assert rows == 1200
     assert mb < 6
+
+
+def test_author_pairs_compare_names_once(spark, monkeypatch):
+    # 300 x 300 rows of 3 x 3 names: 90,000 pairs, nine of them compared
+    entries = spark.range(300).select(F.col("id").alias("e"), F.lit(1).alias("y"), F.concat(F.lit("Meyer "), (F.col("id") % 3).cast("string")).alias("json_author"))
+    works = spark.range(300).select(F.col("id").alias("w"), F.lit(1).alias("y"), F.concat(F.lit("meyer"), (F.col("id") % 3).cast("string")).alias("first_author"))
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def same(a, b):
+        compared.add(1)
+        return a.replace(" ", "").lower() == b
+
+    monkeypatch.setattr(linkage, "authors_match", same)
+    found = linkage.author_pairs(entries, works, ["y"])
+    assert found.groupBy().agg(F.count("*"), F.count_if(F.col("same_author")), F.count_if((F.col("e") % 3 == F.col("w") % 3) == F.col("same_author"))).first()[:] == (90_000, 30_000, 90_000)
+    assert compared.value == 9
