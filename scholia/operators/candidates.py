@@ -1,18 +1,17 @@
 """Token-overlap search: top-n items per query, and all pairs over a threshold.
 
-Both are exact.  Copies are collapsed first (one row per distinct token set).
-The search counts shared tokens in cells of bounded size; the join over a
-threshold looks at pairs that share one of their rarest tokens.
+Both are exact.  Copies are collapsed first (one row per distinct token set),
+and shared tokens are counted in cells of bounded size.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.cells import BLOCK, highest, in_cells
-from scholia.functions.chunked import chunked_join, first_n
-from scholia.functions.text import first_of
+from scholia.functions.cells import BLOCK, Block, Choice, highest, in_cells
+from scholia.functions.chunked import first_n
 from scholia.session import cut_lineage
 
 
@@ -25,16 +24,6 @@ def set_key(tokens: Column) -> Column:
     return F.coalesce(F.md5(F.array_join(F.sort_array(tokens), "\u0001")), F.lit(""))
 
 
-def _by_rarity(sets: DataFrame, key: str, tokens: str, counts: DataFrame) -> DataFrame:
-    """``(key, ranked)``: the counted tokens of each set with counts, rarest first."""
-    return (
-        sets.select(key, F.explode(tokens).alias("token"))
-        .join(counts, "token")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    )
-
-
 def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = BLOCK) -> DataFrame:
     """The n items sharing most tokens with each query token set.
 
@@ -60,46 +49,32 @@ def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = BLOCK
     return cut_lineage(best.select(F.col("id").alias("q"), "item", F.col("shared").alias("overlap"), "rank"))
 
 
-def _first_shared(prefix: str, tokens: str, token: str) -> Column:
-    """True for one of the tokens that two sets share, so a pair is kept once."""
-    return first_of(F.array_intersect(prefix, tokens)) == F.col(token)
-
-
-def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def similar_sets(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """All pairs of distinct token sets with Jaccard similarity >= threshold.
 
     ``left(l)`` and ``right(r)`` hold arrays of distinct tokens; the result is
-    ``(l, r, similarity)`` of their :func:`set_key` values.  Two sets that reach the threshold share one of
-    their rarest ``size - ceil(threshold * size) + 1`` tokens, so only these
-    prefixes are joined, and only sets of comparable size are verified.
+    ``(l, r, similarity)`` of their :func:`set_key` values.  Sets of a size that no
+    left set can reach the threshold with are left out; the others meet in cells.
     """
-    left, right = _distinct_sets(left, "l"), _distinct_sets(right, "r")
-    counts = (
-        left.select(F.explode("l_tokens").alias("token"))
-        .unionByName(right.select(F.explode("r_tokens").alias("token")))
-        .groupBy("token")
-        .agg(F.count("*").alias("df"))
-    )
-
-    def prefixes(sets: DataFrame, side: str) -> DataFrame:
-        ranked = _by_rarity(sets, side, f"{side}_tokens", counts)
-        ranked = ranked.select(side, F.col("ranked.token").alias(f"{side}_all"))
-        size = F.size(f"{side}_all")
-        length = size - F.ceil(F.round(size * F.lit(threshold), 9)).cast("int") + 1
-        return ranked.withColumn(f"{side}_open", F.slice(f"{side}_all", F.lit(1), length))
-
-    lhs, rhs = prefixes(left, "l"), prefixes(right, "r")
-    token = lambda side: F.explode(f"{side}_open").alias("token")
-    pairs = chunked_join(lhs.select("l", token("l")), rhs.select("r", token("r")), "token", "l", "r", lhs, rhs)
-    l_size, r_size = F.size("l_all"), F.size("r_all")
-    comparable = (r_size >= l_size * threshold - 1e-9) & (l_size >= r_size * threshold - 1e-9)
-    shared = F.size(F.array_intersect("l_all", "r_all")).cast("double")
-    similarity = shared / (l_size + r_size - shared)
-    return (
-        pairs.filter(comparable & _first_shared("l_open", "r_open", "token"))
-        .select("l", "r", similarity.alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
-    )
+    left = cut_lineage(_distinct_sets(left, "l"))
+    size = left.agg(F.min(F.size("l_tokens")).alias("least"), F.max(F.size("l_tokens")).alias("most")).first()
+    least, most = (size["least"] or 0) * threshold - 1e-9, (size["most"] or 0) / threshold + 1e-9
+    right = cut_lineage(_distinct_sets(right, "r").filter(F.size("r_tokens").between(least, most)))
+
+    def alike(cell: Block) -> Choice:
+        def choose(i: int, shared: np.ndarray) -> np.ndarray:
+            own = int(cell.left_sizes[i])
+            found = np.flatnonzero(shared >= max(1.0, own * threshold - 1e-9))
+            common = shared[found].astype(np.float64)
+            return found[common / (own + cell.right_sizes[found] - common) >= threshold]
+
+        return choose
+
+    pairs = in_cells(left, right, ("l", "r"), ("l_tokens", "r_tokens"), alike, block)
+    sizes = lambda df, side: df.select(side, F.size(f"{side}_tokens").alias(f"_{side}"))
+    shared = F.col("shared").cast("double")
+    pairs = pairs.join(sizes(left, "l"), "l").join(sizes(right, "r"), "r")
+    return pairs.select("l", "r", (shared / (F.col("_l") + F.col("_r") - shared)).alias("similarity"))
 
 
 def _distinct_sets(df: DataFrame, side: str) -> DataFrame:

@@ -172,20 +172,22 @@ def similarity_join(
     A row stands for two token sets and says how many rows of each side have
     them and which is the smallest; copies are not multiplied out.
     """
-    pairs = similar_sets(left.select(left_tokens.alias("l")), right.select(right_tokens.alias("r")), threshold)
+    # tokens are found once
+    left = cut_lineage(left.select(left_id, left_tokens.alias("l")))
+    right = cut_lineage(right.select(right_id, right_tokens.alias("r")))
+    pairs = similar_sets(left.select("l"), right.select("r"), threshold)
 
-    def members(df: DataFrame, tokens: Column, key: str, side: str, name: str) -> DataFrame:
-        return df.groupBy(set_key(tokens).alias(side)).agg(
+    def members(df: DataFrame, key: str, side: str, name: str) -> DataFrame:
+        return df.groupBy(set_key(F.col(side)).alias(side)).agg(
             F.min(key).alias(f"{name}_id"), F.count("*").alias(f"{name}_rows")
         )
 
     return (
-        pairs.join(members(left, left_tokens, left_id, "l", "left"), "l")
-        .join(members(right, right_tokens, right_id, "r", "right"), "r")
+        pairs.join(members(left, left_id, "l", "left"), "l")
+        .join(members(right, right_id, "r", "right"), "r")
     )
 
 
-
 def entry_class(title: Column, author: Column) -> Column:
     """A has title and author, B a title only, C no title."""
     has_title = F.coalesce(title, F.lit("")) != ""

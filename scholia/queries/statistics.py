@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scholia.operators import semi, stats
 from scholia.queries import query
 from scholia.queries.linkage import cascade_sql, identified
+from scholia.session import cut_lineage
 
 CLEAN = "NULLIF(NULLIF(NULLIF(NULLIF(NULLIF(trim(lower(v)), ''), 'not reported'), 'none'), 'null'), 'n/a')"
 
@@ -273,7 +274,8 @@ SELECT count(*) AS total_scanned, count(*) FILTER (WHERE entry_class = 'A') AS c
  count(*) FILTER (WHERE starts_with(note, 'text:')) AS text_attempted, count(*) FILTER (WHERE starts_with(note, 'text:') AND match) AS text_matched,
  count(*) FILTER (WHERE starts_with(note, 'text:') AND cr_doi IS NULL) AS text_failed, 0::BIGINT AS cache_hits FROM fin"""))
 def match_summary(t):
-    results = identified(t)
+    # counted twice, by class and by outcome
+    results = cut_lineage(identified(t))
     return stats.match_summary(results.select("entry_class"), results)
 
 

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from scholia.operators import linkage
-from scholia.operators.candidates import top_overlap
+from scholia.operators.candidates import similar_sets, top_overlap
 
 
 def shuffled(spark, run):
@@ -51,3 +51,24 @@ def test_author_pairs_compare_names_once(spark, monkeypatch):
     found = linkage.author_pairs(entries, works, ["y"])
     assert found.groupBy().agg(F.count("*"), F.count_if(F.col("same_author")), F.count_if((F.col("e") % 3 == F.col("w") % 3) == F.col("same_author"))).first()[:] == (90_000, 30_000, 90_000)
     assert compared.value == 9
+
+
+def test_similar_sets_do_not_move_sets_that_are_too_long(spark):
+    # the long sets share a rare token each with a short one, and can not be half alike
+    rng = random.Random(6)
+    left = [([f"w{x}" for x in rng.sample(range(1600), 8)],) for _ in range(400)]
+    right = [([f"w{x}" for x in rng.sample(range(1600), 300)],) for _ in range(300)] + left[:50]
+
+    def run():
+        found = similar_sets(spark.createDataFrame(left, "l array<string>"), spark.createDataFrame(right, "r array<string>"), 0.5)
+        return found.where("similarity = 1").count(), found.count()
+
+    # as on tables too large to be broadcast
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (same, rows), mb = shuffled(spark, run)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert same == 50 and rows >= 50
+    assert mb < 6
