@@ -4,7 +4,8 @@ The leaves of the tree hold the merge rank of each adjacent pair of symbols, an
 inner node the smaller of its children, so the root is the leftmost pair of the
 lowest rank. A merge changes three leaves, each in logarithmic time, until the
 root says that no pair can merge. A word of n symbols takes O(n log n) however
-long it is.
+long it is. The trees of the new words of a batch stand side by side in one array
+and take their merges in step; a long word has a tree of its own.
 
 The vocabulary is a tokenizer file of public format, named by its path; every
 executor must see it there. Its normalisation (composed form, lower case) and
@@ -23,6 +24,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,8 +35,10 @@ from scholia.llm.hashed import few, mapped, tidied
 SHIFT = 24
 MASK = (1 << SHIFT) - 1
 NONE = 1 << 62
-#: Encoded pieces between blanks, and words of pieces of several words, kept per Python worker in each of two generations: when the younger is full, it becomes the older.
-KEPT_PIECES, KEPT_WORDS = 200_000, 60_000
+#: Encoded pieces between blanks kept per Python worker in each of two generations: when the younger is full, it becomes the older.
+KEPT_PIECES = 100_000
+#: Words whose trees are in one array, and the most symbols of such a word.
+SIDE_BY_SIDE, SHORT = 8192, 64
 #: Rows handled at once, so that texts, ids and copies of few rows are held.
 ROWS = 256
 #: Longer pieces are encoded but not kept.
@@ -115,21 +119,86 @@ def merge(symbols: list[int], pairs: dict[int, int]) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
-class Pieces(dict):
-    """What a piece of text encodes to, made when first asked for and kept in two generations."""
+def merge_all(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """merge for many short words at once: the symbols that are left of all, and how many of each word.
+
+    symbols: those of all words in a row; sizes: how many each has. keys and made: the pairs
+    of merge as sorted arrays. Each step merges one pair of every word that has one.
+    """
+    words, leaves = len(sizes), 1 << max(1, int(sizes.max(initial=0)) - 1).bit_length()
+    wide, nodes = leaves + 1, 2 * leaves
+
+    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        asked = left << SHIFT | right
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, made[at], NONE)
+
+    # column sizes[i] of row i and those behind it stay -1, which is in no pair
+    held = np.full((words, wide), -1, np.int64)
+    held[np.arange(wide) < sizes[:, None]] = symbols
+    tree = np.full((words, nodes), NONE, np.int64)
+    if len(keys):
+        tree[:, leaves:] = rank(held[:, :-1], held[:, 1:])
+    low = leaves // 2
+    while low:
+        np.minimum(tree[:, 2 * low : 4 * low : 2], tree[:, 2 * low + 1 : 4 * low : 2], out=tree[:, low : 2 * low])
+        low //= 2
+    after = np.tile(np.arange(1, wide + 1), words)
+    before = np.tile(np.arange(-1, wide - 1), words)
+    held, tree = held.ravel(), tree.ravel()
+    open_ = np.flatnonzero(tree[1::nodes] != NONE)
+    while len(open_):
+        row, root = open_ * wide, open_ * nodes
+        least = tree[root + 1]
+        # the leftmost leaf that holds the root's value
+        at = np.ones(len(open_), np.int64)
+        while at[0] < leaves:
+            at *= 2
+            at += tree[root + at] != least
+        i = at - leaves
+        j = after[row + i]
+        k = after[row + j]
+        h = before[row + i]
+        joined = least & MASK
+        held[row + i] = joined
+        held[row + j] = -1
+        after[row + i] = k
+        before[row + k] = i
+        tree[root + at] = rank(joined, held[row + k])
+        tree[root + leaves + j] = NONE
+        # a first symbol has no pair before it: its own leaf stands in
+        first = h < 0
+        ahead = np.where(first, at, h + leaves)
+        tree[root + ahead] = np.where(first, tree[root + at], rank(held[row + np.where(first, 0, h)], joined))
+        ways = np.concatenate((at, leaves + j, ahead))
+        roots = np.concatenate((root, root, root))
+        while ways[0] > 1:
+            ways >>= 1
+            left = roots + 2 * ways
+            tree[roots + ways] = np.minimum(tree[left], tree[left + 1])
+        open_ = open_[tree[root + 1] != NONE]
+    stays = held >= 0
+    return held[stays], stays.reshape(words, wide).sum(axis=1)
 
-    def __init__(self, encode: Callable[[str], object], most: int):
-        self.encode, self.most, self.older = encode, most, {}
 
-    def __missing__(self, piece: str):
-        if (found := self.older.get(piece)) is None:
-            found = self.encode(piece)
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
+class Pieces(dict):
+    """What pieces of text encode to, in two generations."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def learn(self, pieces: set[str], encode: Callable[[list[str]], list]) -> None:
+        """From now until the next call, each of the pieces is there; new ones are encoded at once."""
+        if len(self) >= self.most:
+            self.older = {p: made for p, made in self.items() if len(p) <= KEPT_LENGTH}
+            self.clear()
+        new = []
+        for piece in pieces.difference(self):
+            if (known := self.older.get(piece)) is None:
+                new.append(piece)
+            else:
+                self[piece] = known
+        self.update(zip(new, encode(new)))
 
     def forget(self) -> None:
         self.clear()
@@ -150,6 +219,8 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             pairs.setdefault(self.ids[a] << SHIFT | self.ids[b], rank << SHIFT | self.ids[a + b])
         self.pairs = pairs
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         alphabet = byte_alphabet()
@@ -158,45 +229,92 @@ class Vocabulary:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.words = regex.compile(WORDS)
-        self.known, self.pieces = Pieces(self.word, KEPT_WORDS), Pieces(self.piece, KEPT_PIECES)
+        self.first_symbols, self.last_symbols = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        self.kept = Pieces(KEPT_PIECES)
 
     def forget(self) -> None:
         """Lets go of what was encoded, at the end of a task."""
-        self.known.forget()
-        self.pieces.forget()
-
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """Packed ids of the words of a piece and the text they decode to; no word crosses a blank."""
-        words = self.words.findall(piece)
-        # a piece that is one word is kept as a piece only
-        ids = self.word(words[0]) if len(words) == 1 else b"".join(map(self.known.__getitem__, words))
-        return ids, self.decode(ids)
-
-    def word(self, word: str) -> bytes:
-        """Ids of a word as packed little-endian unsigned 32-bit integers."""
-        data = word.encode("utf-8", "replace")
+        self.kept.forget()
+
+    def encoded(self, pieces: list[str]) -> list[tuple[bytes, str]]:
+        """Packed ids of the words of each piece and the text they decode to; no word crosses a blank."""
+        # letters alone are one word
+        parts = [None if piece.isalpha() else self.words.findall(piece) for piece in pieces]
+        words = {w for some in parts if some for w in some}
+        words.update([piece for piece, some in zip(pieces, parts) if some is None])
+        known = self.word_ids(list(words))
+        out = []
+        for piece, some in zip(pieces, parts):
+            if some is None:
+                out.append(known[piece])
+            else:
+                made = [known[w] for w in some]
+                out.append((b"".join([x[0] for x in made]), " ".join([x[1] for x in made if x[0]])))
+        return out
+
+    def word_ids(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids of words as packed little-endian unsigned 32-bit integers, and the texts they decode to."""
+        data = [w.encode("utf-8", "replace") for w in words]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        # words of like length stand together, so that no tree is much too wide
+        order = np.argsort(lengths, kind="stable")
+        inside = int(np.searchsorted(lengths[order], SHORT, "right"))
+        out = {}
+        for i in order[inside:].tolist():
+            ids = self.long_word(data[i])
+            out[words[i]] = ids, self.decode(ids)
+        # trees of 2, 4, 8, .. leaves
+        steps = np.searchsorted(lengths[order[:inside]], [1 << k for k in range(1, SHORT.bit_length())], "right")
+        bounds = sorted({*range(0, inside, SIDE_BY_SIDE), *steps.tolist(), inside})
+        for low, high in zip(bounds, bounds[1:]):
+            some = order[low:high].tolist()
+            sizes = lengths[some]
+            codes = np.frombuffer(b"".join([data[i] for i in some]), np.uint8)
+            symbols = self.first_symbols[codes]
+            ends = np.cumsum(sizes) - 1
+            symbols[ends] = self.last_symbols[codes[ends]]
+            if (symbols < 0).any():
+                # bytes without a symbol have no part in their word
+                sizes = np.add.reduceat(symbols >= 0, ends - sizes + 1, dtype=np.int64)
+                symbols = symbols[symbols >= 0]
+            left, counts = merge_all(symbols, sizes, self.keys, self.made)
+            packed, tokens, at = left.astype("<u4").tobytes(), list(map(self.texts.__getitem__, left.tolist())), 0
+            for i, n in zip(some, counts.tolist()):
+                out[words[i]] = packed[4 * at : 4 * (at + n)], " ".join(tokens[at : at + n])
+                at += n
+        return out
+
+    def long_word(self, data: bytes) -> bytes:
         ids = [self.inner[b] for b in data[:-1]]
         ids.append(self.last[data[-1]])
         return array("I", merge([i for i in ids if i >= 0], self.pairs)).tobytes()
 
-    def both(self, text: str | None) -> tuple[bytes, str]:
-        """Packed ids of a whole text and the text they decode to, by one look-up a piece."""
+    def pieces(self, text: str | None) -> list[list[str]]:
+        """The pieces of a whole text: a list of those between blanks and one with a special token by turns."""
         if not text:
-            return b"", ""
-        out: list[tuple[bytes, str]] = []
-        packed = self.pieces.__getitem__
-        for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
-            if k % 2:
-                out.append((self.special[part].to_bytes(4, "little"), part))
-            elif part:
-                # each character lowers on its own: a final sigma is not special
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += map(packed, part.replace("\n", " ").split(" "))
-        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])
+            return []
+        out = self.marks.split(text) if self.marks else [text]
+        # each character lowers on its own: a final sigma is not special
+        return [[part] if k % 2 else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().replace("\n", " ").split(" ") if part else [] for k, part in enumerate(out)]
+
+    def all(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Packed ids of whole texts and the texts they decode to, by one look-up a piece."""
+        split = [self.pieces(t) for t in texts]
+        self.kept.learn(set().union(*[part for parts in split for part in parts[::2]]), self.encoded)
+        known, made = self.kept.__getitem__, []
+        for parts in split:
+            out: list[tuple[bytes, str]] = []
+            for k, part in enumerate(parts):
+                if k % 2:
+                    out.append((self.special[part[0]].to_bytes(4, "little"), part[0]))
+                else:
+                    out += map(known, part)
+            made.append((b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])))
+        return made
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of a whole text."""
-        return self.both(text)[0]
+        return self.all([text])[0][0]
 
     def decode(self, ids: bytes | None) -> str:
         """Tokens of packed ids, joined by blanks as a file without decoder asks for; special tokens stay, unknown ids go."""
@@ -247,8 +365,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     """encode and decode in one pass, so that a task needs one Python worker: docs with both columns in place of the text."""
 
     def run(texts: list[str | None]) -> dict[str, list]:
-        known = vocabulary(path)
-        made = [known.both(t) for t in texts]
+        made = vocabulary(path).all(texts)
         return {ids: [m[0] for m in made], decoded: [m[1] for m in made]}
 
     return mapped(docs, text, {ids: ("binary", pa.binary()), decoded: ("string", pa.string())}, run, lambda: vocabulary(path).forget()).drop(text)
