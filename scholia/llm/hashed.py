@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,6 +20,15 @@ def few(source: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]
     return (b.slice(at, rows) for b in source for at in range(0, b.num_rows, rows))
 
 
+@lru_cache(maxsize=1)
+def c_library_trim() -> Callable[[int], int] | None:
+    """What gives the C library's free memory back to the system, where there is such a function."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
 def tidied(made: Iterator[pa.RecordBatch], done: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
     """What a task makes; at its end the worker, which stays for other tasks, gives back the memory that this one took."""
     try:
@@ -27,6 +37,8 @@ def tidied(made: Iterator[pa.RecordBatch], done: Callable[[], None] | None = Non
         if done:
             done()
         pa.default_memory_pool().release_unused()
+        if (trim := c_library_trim()) is not None:
+            trim(0)
 
 
 def mapped(df: DataFrame, of: str, made: dict[str, tuple[str, pa.DataType]], run: Callable[[list], dict[str, list]], done: Callable[[], None] | None = None) -> DataFrame:

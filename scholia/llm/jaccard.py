@@ -20,7 +20,9 @@ would be sent that more rows arise than keys of the bucket's sets, the bucket is
 sets also agree in a part of another sketch, with new hashes, so unlike texts that share
 one shingle no longer meet. At first each sends on only its few nearest partners, which joins what is
 left of large groups; a last round sends on every pair of different components
-that the bound leaves open. No link is lost and no group is multiplied out.
+that the bound leaves open. Near copies share many buckets: of buckets with the same sets one
+is kept, and in the last round a pair whose sets have a bucket in common among their first
+few is sent on from the smallest such bucket only. No link is lost and no group is multiplied out.
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -32,6 +34,7 @@ empty result.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +55,8 @@ PERCENT = 80
 BAND = 1.5
 #: Partners that a member of a bucket sends on in each round before the last, and the number of such rounds.
 NEAREST, ROUNDS = 2, 2
+#: Smallest buckets of a set that its rows carry.
+FIRST = 8
 #: Rows of a bucket in one chunk of the second round.
 CHUNK = 1024
 #: Texts handled at once in a task.
@@ -98,7 +103,9 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     rolled = np.full(len(h) - w + 1, w, np.uint64)
     for i in range(w):
         rolled = rolled * _MIX + h[i : len(h) - w + 1 + i]
-    return np.unique(mix(rolled))
+    rolled = mix(rolled)
+    rolled.sort()
+    return rolled[np.concatenate(([True], rolled[1:] != rolled[:-1]))]
 
 
 def band_of(n: int) -> int:
@@ -110,7 +117,8 @@ def parts_of(band: int, percent: int) -> tuple[int, int]:
     top = int(np.ceil(BAND ** (band + 1)))
     # |A ^ B| <= (1 - t) * union and union <= smaller / t
     most = (100 - percent) * top // percent
-    return most, most + 2 + most // 16
+    # a text of the band has few more empty parts than an eighth; with a sixteenth a fifth of the texts brought theirs, which all met
+    return most, most + 2 + most // 8
 
 
 def keys_of(marks: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -138,8 +146,8 @@ def digest(marks: np.ndarray) -> int:
 
 
 def bit_sketch(marks: np.ndarray) -> bytes:
-    """Parity of the hashes that fall on each bit; as many bits as a band needs, a power of two."""
-    bits = 1 << max(6, int(len(marks)).bit_length())
+    """Parity of the hashes that fall on each bit; two to four bits a hash, a power of two."""
+    bits = 1 << max(6, int(len(marks)).bit_length() + 1)
     return np.packbits(np.bincount((marks % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -166,7 +174,7 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             columns = [batch.column(0), pa.array([len(m) for m in marks], pa.int64()), signed(np.array([digest(m) for m in marks], np.uint64)), pa.array(map(bit_sketch, marks), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "name", "bits"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(lambda batches: tidied(run(batches)), "doc long, n long, name long, bits binary")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(lambda batches: tidied(run(batches), _known.clear), "doc long, n long, name long, bits binary")
 
 
 def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -204,7 +212,7 @@ def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([bucket, hub, pa.array(name), pa.array(deal)], ["bucket", "hub", "name", "deal"])
 
     # the columns that are mostly null stand together, which makes the shuffled rows pack well
-    rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(lambda batches: tidied(run(batches)), "bucket long, hub long, name long, deal long")
+    rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(lambda batches: tidied(run(batches), _known.clear), "bucket long, hub long, name long, deal long")
     least = F.min(F.when(F.col("hub").isNull(), F.col("name"))).over(Window.partitionBy("deal"))
     met = rows.withColumn("_least", least)
     return met.select(F.coalesce("bucket", "deal").alias("bucket"), "name", F.coalesce("hub", "_least").alias("hub")).where("name <> hub")
@@ -218,11 +226,34 @@ def crowded(met: DataFrame, scratch: Scratch) -> DataFrame:
     # written first: a hot bucket is split in a join of two plain sides
     rows = met.join(scratch.keep(many, "many"), "bucket", "left_semi")
     members = rows.select("bucket", "name").union(rows.select("bucket", F.col("hub").alias("name"))).distinct()
-    kept = scratch.keep(members, "members")
-    scratch.drop("many")
+    found = scratch.keep(members, "found")
+    kept = scratch.keep(found.join(scratch.keep(unlike_buckets(found), "unlike"), "bucket", "left_semi"), "members")
+    scratch.drop("many", "found", "unlike")
     return kept
 
 
+def unlike_buckets(members: DataFrame) -> DataFrame:
+    """Of the buckets that hold the same sets, told by two sums of 64-bit hashes, the smallest."""
+    held = members.groupBy("bucket").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("name", F.lit(i))).alias(f"x{i}") for i in (0, 1)])
+    return held.groupBy("k", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket")
+
+
+def with_first(members: DataFrame, one: DataFrame) -> DataFrame:
+    """name, n, bits of the sets in members, and their FIRST smallest buckets as packed numbers."""
+    buckets = F.slice(F.array_sort(F.collect_list("bucket")), 1, FIRST)
+    packed = F.aggregate(buckets, F.lit(b""), lambda made, bucket: F.concat(made, F.unhex(F.lpad(F.hex(bucket), 16, "0"))))
+    return members.groupBy("name").agg(packed.alias("first")).join(one.select("name", "n", "bits"), "name")
+
+
+def is_smallest(p: tuple, h: tuple) -> bool:
+    """Whether no smaller bucket than that of two rows of a cell is among the first ones of both; true where they are not known or have none in common."""
+    x, y = p[7:], h[7:]
+    if not x or not y or x[0] is None or y[0] is None:
+        return True
+    common = set(struct.unpack(f">{len(x[0]) // 8}q", x[0])).intersection(struct.unpack(f">{len(y[0]) // 8}q", y[0]))
+    return not common or min(common) == p[0]
+
+
 def near_sketches(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose sizes and bit sketches allow a link; one: a row (name, n, bits, ..) for each set."""
 
@@ -262,7 +293,7 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
 
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
     # repeated rows of a key have texts of their own: only the one of that name counts
-    sets = texts.select("name", "_text").mapInArrow(pack, "name long, marks binary").where(F.length("marks") > 0).dropDuplicates(["name", "marks"])
+    sets = texts.select("name", "_text").mapInArrow(lambda batches: tidied(pack(batches), _known.clear), "name long, marks binary").where(F.length("marks") > 0).dropDuplicates(["name", "marks"])
     joined = pairs.join(sets.select(F.col("name").alias("b"), F.col("marks").alias("y")), "b").join(
         sets.select(F.col("name").alias("a"), F.col("marks").alias("x")), "a"
     )
@@ -270,7 +301,7 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
 
 
 def open_pairs(
-    members: DataFrame, labels: DataFrame, one: DataFrame, percent: int, nearest: int | None, scratch: Scratch, docs: DataFrame, text: str, key: str, width: int
+    members: DataFrame, labels: DataFrame, one: DataFrame, held: DataFrame, percent: int, nearest: int | None, scratch: Scratch, docs: DataFrame, text: str, key: str, width: int
 ) -> DataFrame:
     """(a, b) of different components that share a bucket and whose sketches allow a link; of each member the nearest, or all."""
     named = members.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
@@ -280,7 +311,10 @@ def open_pairs(
         main = counts.groupBy("bucket").agg(
             F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("rows"), (F.sum("k") - F.max("k")).alias("probes"), F.count("*").alias("labels")
         ).where("labels > 1")
-        rows = named.join(scratch.keep(main, f"main{division}"), "bucket").join(one.select("name", "n", "bits"), "name")
+        rows = named.join(scratch.keep(main, f"main{division}"), "bucket").join(held, "name")
+        if division or nearest is not None:
+            # sets that share a bucket may share no part of it; rounds that send on few pairs have no use for them
+            rows = rows.withColumn("first", F.lit(None).cast("binary"))
         rows = scratch.keep(rows, f"rows{division}")
         wide = wide_buckets(rows) if division < DIVISIONS else None
         pairs = cut_lineage(cell_rows(rows if wide is None else rows.join(wide, "bucket", "left_anti")).mapInArrow(lambda batches: compared(batches, percent, nearest), "a long, b long").distinct())
@@ -318,7 +352,7 @@ def divided(rows: DataFrame, division: int, docs: DataFrame, one: DataFrame, tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), signed(np.concatenate(keys))], ["name", "key"])
 
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
-    keys = texts.select("name", "_text").mapInArrow(run, "name long, key long").distinct()
+    keys = texts.select("name", "_text").mapInArrow(lambda batches: tidied(run(batches), _known.clear), "name long, key long").distinct()
     return rows.join(keys, "name").select(F.xxhash64("bucket", "key").alias("bucket"), "name", "label")
 
 
@@ -327,7 +361,7 @@ def cell_rows(rows: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("rows") / CHUNK).cast("long")
     home = rows.withColumn("chunk", F.pmod(F.xxhash64("name"), chunks)).withColumn("probe", F.lit(False))
     probes = rows.where("label <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("probe", F.lit(True))
-    cells = home.unionByName(probes).select("bucket", "chunk", "probe", "name", "label", "n", "bits")
+    cells = home.unionByName(probes).select("bucket", "chunk", "probe", "name", "label", "n", "bits", "first")
     return cells.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "probe")
 
 
@@ -382,6 +416,8 @@ def cell_pairs(rows: list[tuple], percent: int, nearest: int | None = None) -> l
         took = np.flatnonzero(near)
         if nearest is not None and len(took) > nearest:
             took = took[np.argsort(far[took], kind="stable")[:nearest]]
+        if nearest is None:
+            took = [j for j in took if is_smallest(p, homes[j])]
         out += [(min(p[3], homes[j][3]), max(p[3], homes[j][3])) for j in took]
     return out
 
@@ -395,7 +431,7 @@ def small_cell_pairs(probes: list[tuple], homes: list[tuple], percent: int, near
             less, more = (p[5], h[5]) if p[5] < h[5] else (h[5], p[5])
             if p[4] != h[4] and less * 100 >= more * percent:
                 far = folded_distance(p[6], h[6])
-                if far * (100 + percent) <= (100 - percent) * (less + more):
+                if far * (100 + percent) <= (100 - percent) * (less + more) and (nearest is not None or is_smallest(p, h)):
                     near.append((far, h[3]))
         if nearest is not None and len(near) > nearest:
             near = sorted(near, key=lambda x: x[0])[:nearest]
@@ -419,14 +455,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     rows = scratch.keep(sets_of(docs, key, text, width), "sets")
     keyed = rows.where("n > 0 AND doc IS NOT NULL")
     one = scratch.keep(keyed.groupBy("name").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "one")
+    rows = scratch.keep(rows.select("doc", "n", "name"), "named")
+    scratch.drop("sets")
     met = scratch.keep(meetings(docs.where(F.col(key).isNotNull()), text, width, percent), "met")
     members = crowded(met, scratch)
+    held = scratch.keep(with_first(members, one), "held")
     stars = met.select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
     links = cut_lineage(linked(near_sketches(stars, one, percent), docs, one, text, key, width, percent))
     scratch.drop("met")
     labels = cut_lineage(components(links))
     for nearest in [*[NEAREST] * ROUNDS, None]:
-        found = open_pairs(members, labels, one, percent, nearest, scratch, docs, text, key, width)
+        found = open_pairs(members, labels, one, held, percent, nearest, scratch, docs, text, key, width)
         if found.isEmpty():
             break
         more = cut_lineage(linked(found, docs, one, text, key, width, percent))
@@ -437,6 +476,6 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     smallest = one.select("name", "doc").join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     smallest = smallest.join(smallest.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("name", "component_id")
     named = rows.join(cut_lineage(smallest), "name", "left")
-    scratch.drop("one", "members")
+    scratch.drop("one", "members", "held")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
     return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), own).alias("component_id"))

@@ -1,10 +1,11 @@
 """The work that operators do stays within bounds, with the results of the plain way."""
 
 import random
+import struct
 
 import numpy as np
 
-from scholia.llm import bpe
+from scholia.llm import bpe, jaccard
 from scholia.llm.queries import vocabulary_path
 
 
@@ -43,3 +44,41 @@ def test_batch_encodes_as_single_texts_and_is_bounded():
     made.all([" ".join(map(str, range(1000)))])
     made.all(["one"])
     assert set(made.kept) == {"one"} and len(made.kept.older) <= 2000
+
+
+def test_equal_buckets_count_once_and_pairs_are_sent_on_once(spark):
+    """Near copies of a large group share many buckets; a pair whose sets have one among their first few is sent on from the smallest."""
+    random.seed(9)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(n):
+        words = base[:]
+        for at in random.sample(range(0, 300, 5), n):
+            words[at] = f"x{random.randrange(10**9)}"
+        return " ".join(words)
+
+    # about 10 % of the shingles of each are its own: pairs are near the threshold
+    texts = [changed(8) for _ in range(jaccard.SMALL + 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs).collect()}
+    assert got == dict(enumerate(label))
+
+    def cell(bucket, size):
+        rows = [jaccard.shingles(t) for t in texts[:size]]
+        first = struct.pack(">2q", 3, 5)
+        return [(bucket, 0, probe, i, i, len(m), jaccard.bit_sketch(m), first) for probe in (False, True) for i, m in enumerate(rows)]
+
+    for size in (8, jaccard.SMALL + 1):
+        assert not jaccard.cell_pairs(cell(5, size), 40)
+        assert len(set(jaccard.cell_pairs(cell(3, size), 40))) == size * (size - 1) // 2
+        assert jaccard.cell_pairs(cell(5, size), 40, 2)
+
+    members = spark.createDataFrame([(b, n) for b in (5, 3, 9) for n in (1, 2, 3)] + [(7, 1), (7, 2)], "bucket long, name long")
+    assert sorted(r["bucket"] for r in jaccard.unlike_buckets(members).collect()) == [3, 7]
