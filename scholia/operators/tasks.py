@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scholia.functions.chunked import heavy_join
 from scholia.functions.text import doi_to_file
@@ -14,6 +17,8 @@ from scholia.operators.semi import is_valid_object, repair_json
 from scholia.session import cut_lineage
 
 TASK_KEY = ["model_alias", "task_id"]
+#: Tasks that an injected function gets at once.
+BATCH_ROWS = 512
 MAX_ERROR = 500
 
 
@@ -126,11 +131,19 @@ def reset_model(state: DataFrame, alias: str) -> DataFrame:
 def run_batch(tasks: DataFrame, fn: Callable, schema: str, partitions: int | None = None) -> DataFrame:
     """Applies a function over batches of tasks; the caller supplies it.
 
-    ``partitions`` sets how many run at the same time.
+    ``partitions`` sets how many run at the same time. The function gets at most ``BATCH_ROWS``
+    tasks at once, so that a worker holds few prompts, which may be whole texts, as Python objects.
     """
     if partitions:
         tasks = tasks.repartition(partitions, "task_id")
-    return tasks.mapInPandas(fn, schema)
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(at, BATCH_ROWS).to_pandas() for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+        for found in fn(parts):
+            yield pa.RecordBatch.from_pandas(found, schema=made, preserve_index=False)
+
+    return tasks.mapInArrow(run, schema)
 
 
 _RETRIABLE = r"(?i)\b(429|5\d\d)\b|time.?out|rate.?limit|connection|overloaded"
