@@ -7,10 +7,11 @@ and shared tokens are counted in cells of bounded size.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.cells import BLOCK, Block, Choice, highest, in_cells
+from scholia.functions.cells import BLOCK, CELLS, Block, Kept, blocks_of, highest, in_cells
 from scholia.functions.chunked import first_n
 from scholia.session import cut_lineage
 
@@ -33,16 +34,36 @@ def top_overlap(queries: DataFrame, items: DataFrame, n: int, small: int = BLOCK
 
     Of items with equal token sets only the n smallest can be returned. The others
     meet the distinct queries in cells of about ``small`` items, each of which
-    gives n items a query at most, and the best of those are the best of all.
+    gives n items a query at most, and the best of those are the best of all. One block
+    comes first: what the n-th item shares there is the least that counts in the others, where
+    each query then looks at the few items that hold one of its rare tokens.
     """
     # the distinct queries are small next to their source and are used many times
     wanted = queries.select(set_key(F.col("q")).alias("id"), "q").groupBy("id").agg(F.any_value("q").alias("q"))
     wanted = cut_lineage(wanted.filter(F.size("q") > 0))
     sets = items.filter(F.size("tokens") > 0).select("item", "tokens", set_key(F.col("tokens")).alias("_set"))
     items = cut_lineage(first_n(sets, ["_set"], ["item"], n).drop("_set"))
-    met = in_cells(
-        wanted, items, ("id", "item"), ("q", "tokens"), lambda _: lambda i, shared: highest(shared, n), small
-    )
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("t")).first()
+    blocks = blocks_of(size["n"], size["t"], small)
+    keys, sets = ("id", "item"), ("q", "tokens")
+
+    def most(cell: Block, _: pa.Table) -> Kept:
+        for i, shared in cell.each():
+            found = highest(shared, n)
+            yield i, found, shared[found]
+
+    if blocks == 1:
+        met = in_cells(wanted, items, keys, sets, most, small)
+    else:
+        early = F.pmod(F.xxhash64("item", F.lit(1)), F.lit(blocks)) == 0
+        first = cut_lineage(in_cells(wanted, items.filter(early), keys, sets, most, small))
+        least = first.groupBy("id").agg(F.when(F.count("*") >= n, F.min("shared")).otherwise(0).alias("least"))
+        asked = wanted.join(least, "id", "left").select("id", "q", F.coalesce("least", F.lit(0)).alias("least"))
+        rest = in_cells(
+            cut_lineage(asked), items.filter(~early), keys, sets,
+            lambda cell, lefts: cell.top(n, lefts["least"].to_numpy()), small, cells=CELLS,
+        )
+        met = first.unionByName(rest)
     w = Window.partitionBy("id").orderBy(F.desc("shared"), "item")
     best = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     # a join with heavy keys reads it twice
@@ -61,14 +82,13 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float, block: int
     least, most = (size["least"] or 0) * threshold - 1e-9, (size["most"] or 0) / threshold + 1e-9
     right = cut_lineage(_distinct_sets(right, "r").filter(F.size("r_tokens").between(least, most)))
 
-    def alike(cell: Block) -> Choice:
-        def choose(i: int, shared: np.ndarray) -> np.ndarray:
+    def alike(cell: Block, _: pa.Table) -> Kept:
+        for i, shared in cell.each():
             own = int(cell.left_sizes[i])
             found = np.flatnonzero(shared >= max(1.0, own * threshold - 1e-9))
             common = shared[found].astype(np.float64)
-            return found[common / (own + cell.right_sizes[found] - common) >= threshold]
-
-        return choose
+            found = found[common / (own + cell.right_sizes[found] - common) >= threshold]
+            yield i, found, shared[found]
 
     pairs = in_cells(left, right, ("l", "r"), ("l_tokens", "r_tokens"), alike, block)
     sizes = lambda df, side: df.select(side, F.size(f"{side}_tokens").alias(f"_{side}"))

@@ -3,8 +3,11 @@
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from scholia.functions.cells import Block, highest
 from scholia.operators import linkage
 from scholia.operators.candidates import similar_sets, top_overlap
 
@@ -72,3 +75,17 @@ def test_similar_sets_do_not_move_sets_that_are_too_long(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert same == 50 and rows >= 50
     assert mb < 6
+
+
+def test_search_looks_at_few_items_for_a_query():
+    # half the items hold each frequent word; what shares five of six tokens has a rare one, which 20 items hold
+    rng = random.Random(8)
+    common, size = [f"c{x}" for x in range(8)], 20_000
+    items = [sorted(rng.sample(common, 4)) + [f"r{i % 1000}", f"s{i % 1000}"] for i in range(size)]
+    queries = [items[i] for i in range(0, size, 200)]
+    cell = Block(*(pa.chunked_array([pa.array(x, pa.list_(pa.string()))]) for x in (queries, items)))
+    got = {i: (found.tolist(), shared.tolist()) for i, found, shared in cell.top(3, np.full(len(queries), 5))}
+    for i, shared in cell.each():
+        want = [x for x in highest(shared, 3).tolist() if shared[x] >= 5]
+        assert got[i] == (want, shared[want].tolist())
+    assert cell.looked <= 100 * len(queries)
