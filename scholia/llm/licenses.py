@@ -1,9 +1,11 @@
 """Licence scan of paragraphs by a sparse word n-gram classifier.
 
 Paragraphs are lines. A logistic regression with an L1 penalty over one- and two-word
-grams is trained on parts of the licence templates and on paragraphs of the corpus
-without any licence (the unknown class), a bounded sample. The level that a family's
-probability must reach is calibrated on another sample of such paragraphs. A
+grams is trained on parts of the licence templates and on all paragraphs of the corpus
+without any licence (the unknown class). Only grams of the templates are features, so a
+paragraph is the set of those it holds; equal sets are one row with their count as weight, and
+all together weigh as much as a fixed number of paragraphs. The level that a family's
+probability must reach is counted over the same paragraphs, all of them. A
 prediction counts when it also agrees with a template of its family: the share of the
 paragraph's grams, or of the template's, found in the other. DataFrame functions only.
 
@@ -25,6 +27,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +94,40 @@ TEMPLATES: dict[str, list[str]] = {
 
 #: Characters that end a word; everything else is part of one.
 MARKS = "\t\r\f\v\xa0!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»·–—‘’“”„…©®"
+#: The same and the blank, for the inside of a character class.
+ENDS = "".join(f"\\x{{{ord(c):x}}}" for c in " " + MARKS)
+#: Where a word of a lower-case line can begin; the first half is quick and decides mostly.
+BEGIN = f"(?<![a-z0-9])(?<![^{ENDS}\\n])"
+#: Steps of the level.
+STEPS = 10_000
+
+
+def one_of(words: list[str]) -> str:
+    """Pattern of any of the words, branching letter by letter."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [(c if c.isalnum() else "\\" + c) + pattern(rest) for c, rest in sorted(node.items()) if c]
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "") if ways else ""
+
+    return pattern(tree) or "(?!)"
+
+
+def holds_word(text: Column, words: list[str]) -> Column:
+    """Whether a text of any number of lines has one of these lower-case words."""
+    return F.lower(text).rlike(f"{BEGIN}{one_of(words)}(?![^{ENDS}\\n])")
+
+
+def runs(text: Column, words: list[str]) -> Column:
+    """The longest runs of these words that a line has, each as an array of words."""
+    word = f"{one_of(words)}(?![^{ENDS}])"
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"{BEGIN}{word}(?:[{ENDS}]++{word})*+"), F.lit(0))
+    return F.transform(found, lambda r: F.split(r, f"[{ENDS}]+"))
 
 
 def pieces(text: Column) -> Column:
@@ -123,8 +161,13 @@ def paragraphs(docs: DataFrame, text: str) -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select("*", F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "_p")).where("_p <> ''")
 
 
+def threes(tokens: Column) -> Column:
+    """Every three words in a row; fewer are one."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, 3)))
+
+
 def fit(docs: DataFrame, text: str = "text", rows: int = 4000, templates: dict[str, list[str]] | None = None) -> LicenceModel:
-    """Train on the templates, their parts, and at most rows paragraphs of the corpus; as many more calibrate the level."""
+    """Train on the templates, their parts, and all paragraphs of the corpus, which together weigh as much as at most so many rows."""
     spark, templates = docs.sparkSession, templates or TEMPLATES
     families = [*sorted(templates), UNKNOWN]
     positive = spark.createDataFrame([(families.index(f), t) for f in sorted(templates) for t in templates[f]], "label int, t string")
@@ -132,32 +175,44 @@ def fit(docs: DataFrame, text: str = "text", rows: int = 4000, templates: dict[s
     # whole templates weigh more than their parts of six words or more
     parts = positive.select("label", F.explode(F.expr("transform(sequence(0, greatest(size(w) - 6, 0)), i -> slice(w, i + 1, 12))")).alias("w"))
     positive = positive.select("label", "w", F.lit(5.0).alias("weight")).union(parts.select("label", "w", F.lit(1.0)))
-    known = positive.select(F.explode(F.expr("transform(sequence(0, greatest(size(w) - 3, 0)), i -> concat_ws(' ', slice(w, i + 1, 3)))")).alias("t")).distinct()
-    known = [r["t"] for r in known.collect()]
+    positive = positive.where("size(w) > 0").withColumn("grams", grams(F.col("w")))
+    counted = CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=1 << 30).fit(positive)
+    known = [r["t"] for r in positive.select(F.explode(threes(F.col("w"))).alias("t")).distinct().collect()]
+    in_grams = sorted({x for g in counted.vocabulary for x in g.split(" ")})
     # paragraphs of the corpus that share three words in a row with a template are no examples of the unknown
-    drawn = paragraphs(docs.select(F.col(text).alias("_t")), "_t").orderBy(F.xxhash64("_p")).limit(2 * rows)
-    drawn = drawn.select(words(F.col("_p")).alias("w"), F.pmod(F.xxhash64("_p", F.lit(1)), F.lit(2)).alias("half"))
-    three = F.expr("transform(sequence(0, greatest(size(w) - 3, 0)), i -> concat_ws(' ', slice(w, i + 1, 3)))")
-    drawn = drawn.where(~F.arrays_overlap(three, F.lit(known))).cache()
-    negative = drawn.where("half = 0").select(F.lit(len(families) - 1).alias("label"), "w", F.lit(1.0).alias("weight"))
-    rows_ = positive.union(negative).where("size(w) > 0").withColumn("grams", grams(F.col("w"))).coalesce(2).cache()
-    counted = CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=1 << 14).fit(positive.withColumn("grams", grams(F.col("w"))))
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", elasticNetParam=1.0, regParam=2e-4, maxIter=60, standardization=False).fit(counted.transform(rows_))
+    lines = paragraphs(docs.select(F.col(text).alias("_t")), "_t").where(~F.col("_p").rlike(f"^[{ENDS}]*+$"))
+    least = min(len(t.split(" ")) for t in known)
+    stated = lambda rs: F.exists(rs, lambda r: F.when(F.size(r) >= least, F.arrays_overlap(threes(r), F.lit(known))).otherwise(False))
+    held = lambda rs: F.when(~stated(rs), F.array(F.array_distinct(F.flatten(F.transform(rs, grams)))))
+    # a filter on what is made here would make it a second time
+    lines = lines.select(F.explode(let(runs(F.col("_p"), in_grams), held)).alias("grams"))
+    # cached: equal sets of features with the number of their paragraphs
+    unknown = counted.transform(lines).groupBy("x").count().cache()
+    total = unknown.agg(F.sum("count")).first()[0] or 0
+    weight = F.col("count") * F.lit(min(1.0, rows / max(1, total)))
+    negative = unknown.select(F.lit(len(families) - 1).alias("label"), "x", weight.alias("weight"))
+    training = counted.transform(positive).select("label", "x", "weight").union(negative)
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", elasticNetParam=1.0, regParam=2e-4, maxIter=60, standardization=False).fit(training)
     w = model.coefficientMatrix.toArray()
     used = np.flatnonzero(np.abs(w).max(axis=0) > 1e-6)
     weights = [(counted.vocabulary[i], [float(x) for x in w[:, i]]) for i in used]
-    in_grams = sorted({x for g, _ in weights for x in g.split(" ")})
-    common = drawn.select(F.explode(F.array_intersect("w", F.lit(in_grams))).alias("t")).groupBy("t").count()
-    often = {r["t"]: r["count"] for r in common.collect()}
-    made = LicenceModel(families, weights, [float(x) for x in model.interceptVector.toArray()], 0.0, None)
-    # calibration: what one in a thousand unknown paragraphs reaches at most
-    held = drawn.where("half = 1").select(grams(F.col("w")).alias("grams")).select(probabilities(made).alias("p"))
-    best = held.agg(F.percentile_approx(F.array_max(F.slice("p", 1, len(families) - 1)), 0.999, 10000)).first()[0]
-    drawn.unpersist()
-    rows_.unpersist()
-    level = min(0.9, max(0.5, best or 0.0))
-    telling = telling_words(weights, made.intercepts, level, sorted(in_grams, key=lambda x: (-often.get(x, 0), x)))
-    return LicenceModel(families, weights, made.intercepts, level, telling)
+    intercepts = [float(x) for x in model.interceptVector.toArray()]
+    # calibration: what one in a thousand unknown paragraphs reaches at most; half is the least that is asked
+    best = F.array_max(F.slice(vector_to_array("probability"), 1, len(families) - 1))
+    reached = model.transform(unknown).select(F.ceil(best * STEPS).alias("step"), "count").where(F.col("step") > STEPS // 2)
+    level, above = 0.5, 0
+    for r in sorted(reached.groupBy("step").agg(F.sum("count").alias("n")).collect(), reverse=True):
+        above += r["n"]
+        if above * 1000 > total:
+            level = min(0.9, r["step"] / STEPS)
+            break
+    # how many paragraphs have each word that is a feature by itself
+    here = unknown.agg(Summarizer.sum(F.col("x"), F.col("count").cast("double"))).first()[0] if total else []
+    often = dict(zip(counted.vocabulary, map(float, here)))
+    unknown.unpersist()
+    in_weights = {x for g, _ in weights for x in g.split(" ")}
+    telling = telling_words(weights, intercepts, level, sorted(in_weights, key=lambda x: (-often.get(x, 0), x)))
+    return LicenceModel(families, weights, intercepts, level, telling)
 
 
 def telling_words(weights: list[tuple[str, list[float]]], intercepts: list[float], level: float, words: list[str]) -> list[str] | None:
@@ -210,9 +265,11 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", templates: di
     spark: SparkSession = docs.sparkSession
     docs, at, named_back = set_aside(docs, ["paragraph", "licence", "probability", "shared"], (text,))
     kept = [c for c in docs.columns if c != at[text]]
-    rows = paragraphs(docs, at[text])
-    if model.telling is not None:
-        rows = rows.where(F.arrays_overlap(pieces(F.col("_p")), F.lit(model.telling).cast("array<string>")))
+    if model.telling is None:
+        rows = paragraphs(docs, at[text])
+    else:
+        # most texts are left out whole
+        rows = paragraphs(docs.where(holds_word(F.col(at[text]), model.telling)), at[text]).where(holds_word(F.col("_p"), model.telling))
     rows = rows.select(*kept, "paragraph", words(F.col("_p")).alias("w"))
     families = F.lit(model.families)
 

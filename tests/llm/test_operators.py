@@ -420,6 +420,18 @@ def test_license_scan_where_its_words_are_common(spark):
     assert got == found(dataclasses.replace(model, telling=None))
 
 
+def test_license_model_learns_from_every_paragraph(spark):
+    # the lines with words of a template come late in the order of their hashes, where no sample of forty reaches
+    plain = [f"Ein Satz mit Nummer {i} und noch mehr." for i in range(100)]
+    hashed = lambda lines: [(r["h"], r["t"]) for r in spark.createDataFrame([(x,) for x in lines], "t string").select("t", F.xxhash64("t").alias("h")).collect()]
+    last = sorted(hashed(plain))[60][0]
+    late = [t for h, t in hashed([f"Version {i} of the public notice." for i in range(200)]) if h > last][:40]
+    model = lambda lines: licenses.fit(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), rows=20)
+    without, having = dict(model(plain).weights), dict(model(plain + late).weights)
+    unknown = lambda weights, gram: weights.get(gram, [0.0])[-1]
+    assert len(late) == 40 and unknown(having, "version") > unknown(without, "version")
+
+
 def test_telling_words_are_a_bound():
     random.seed(8)
     for _ in range(200):
