@@ -20,7 +20,8 @@ would be sent that more rows arise than keys of the bucket's sets, the bucket is
 sets also agree in a part of another sketch, with new hashes, so unlike texts that share
 one shingle no longer meet. At first each sends on only its few nearest partners, which joins what is
 left of large groups; a last round sends on every pair of different components
-that the bound leaves open. Near copies share many buckets: of buckets with the same sets one
+that the bound leaves open. A bucket that sent nothing on is not looked at again: components only
+grow together, so it never has an open pair later. Near copies share many buckets: of buckets with the same sets one
 is kept, and in the last round a pair whose sets have a bucket in common among their first
 few is sent on from the smallest such bucket only. No link is lost and no group is multiplied out.
 
@@ -279,8 +280,14 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches, SLICE):
-            packed = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["name", "marks"])
+            names, packed = [], []
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                marks = shingles(t, width)
+                # repeated rows of a key have texts of their own: only the one of that name counts
+                if len(marks) and digest(marks) == name % 2**64:
+                    names.append(name)
+                    packed.append(marks.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["name", "marks"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,8 +299,8 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
-    # repeated rows of a key have texts of their own: only the one of that name counts
-    sets = texts.select("name", "_text").mapInArrow(lambda batches: tidied(pack(batches), _known.clear), "name long, marks binary").where(F.length("marks") > 0).dropDuplicates(["name", "marks"])
+    # dealt by name once: the joins of both sides find the sets where they are
+    sets = texts.select("name", "_text").mapInArrow(lambda batches: tidied(pack(batches), _known.clear), "name long, marks binary").dropDuplicates(["name"])
     joined = pairs.join(sets.select(F.col("name").alias("b"), F.col("marks").alias("y")), "b").join(
         sets.select(F.col("name").alias("a"), F.col("marks").alias("x")), "a"
     )
@@ -302,10 +309,11 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
 
 def open_pairs(
     members: DataFrame, labels: DataFrame, one: DataFrame, held: DataFrame, percent: int, nearest: int | None, scratch: Scratch, docs: DataFrame, text: str, key: str, width: int
-) -> DataFrame:
-    """(a, b) of different components that share a bucket and whose sketches allow a link; of each member the nearest, or all."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) of different components that share a bucket and whose sketches allow a link; of each member the nearest, or all.
+    And, but for the last round, the buckets that may have open pairs: those that sent one on, and divided ones."""
     named = members.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
-    found = None
+    found = live = None
     for division in range(DIVISIONS + 1):
         counts = named.groupBy("bucket", "label").agg(F.count("*").alias("k"))
         main = counts.groupBy("bucket").agg(
@@ -317,14 +325,28 @@ def open_pairs(
             rows = rows.withColumn("first", F.lit(None).cast("binary"))
         rows = scratch.keep(rows, f"rows{division}")
         wide = wide_buckets(rows) if division < DIVISIONS else None
-        pairs = cut_lineage(cell_rows(rows if wide is None else rows.join(wide, "bucket", "left_anti")).mapInArrow(lambda batches: compared(batches, percent, nearest), "a long, b long").distinct())
+        cells = cell_rows(rows if wide is None else rows.join(wide, "bucket", "left_anti"))
+        if division or nearest is None:
+            pairs = cut_lineage(cells.mapInArrow(lambda batches: compared(batches, percent, nearest), "a long, b long").distinct())
+        else:
+            told = cut_lineage(cells.mapInArrow(lambda batches: compared(batches, percent, nearest, told=True), "a long, b long, bucket long"))
+            pairs, live = told.select("a", "b").distinct(), told.select("bucket")
+            live = (live if wide is None else live.union(wide)).distinct()
         found = pairs if found is None else found.union(pairs)
         if wide is None:
             break
         parted = divided(rows.join(wide, "bucket", "left_semi").select("bucket", "name", "label"), division + 1, docs, one, text, key, width, percent)
         named = scratch.keep(parted, f"divided{division}")
     scratch.drop(*(f"{kind}{d}" for d in range(division + 1) for kind in ("main", "rows")), *(f"divided{d}" for d in range(division)))
-    return cut_lineage(found.distinct()) if division else found
+    return cut_lineage(found.distinct()) if division else found, live
+
+
+def still_open(members: DataFrame, live: DataFrame, round_: int, scratch: Scratch) -> DataFrame:
+    """The members of the live buckets."""
+    # written first: a hot bucket is split in a join of two plain sides
+    kept = scratch.keep(members.join(scratch.keep(live, "live"), "bucket", "left_semi"), f"open{round_}")
+    scratch.drop("live", f"open{round_ - 1}" if round_ else "members")
+    return kept
 
 
 def wide_buckets(rows: DataFrame) -> DataFrame | None:
@@ -365,28 +387,34 @@ def cell_rows(rows: DataFrame) -> DataFrame:
     return cells.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "probe")
 
 
-def compared(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None) -> Iterator[pa.RecordBatch]:
-    """The open pairs of sorted cells; the own rows of one cell and PROBES others are held."""
+def compared(batches: Iterator[pa.RecordBatch], percent: int, nearest: int | None, told: bool = False) -> Iterator[pa.RecordBatch]:
+    """The open pairs of sorted cells, with their bucket if told; the own rows of one cell and PROBES others are held."""
     cell, homes, probes = None, [], []
+
+    def pairs() -> list[tuple]:
+        made = cell_pairs(homes + probes, percent, nearest)
+        return [(a, b, cell[0]) for a, b in made] if told else made
+
     for batch in few(batches, PROBES):
-        found: list[tuple[int, int]] = []
+        found: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:2] != cell:
-                found += cell_pairs(homes + probes, percent, nearest)
+                found += pairs()
                 cell, homes, probes = row[:2], [], []
             elif len(probes) >= PROBES:
-                found += cell_pairs(homes + probes, percent, nearest)
+                found += pairs()
                 probes = []
             (probes if row[2] else homes).append(row)
             if len(found) >= 65536:
-                yield pairs_batch(found)
+                yield pairs_batch(found, told)
                 found = []
-        yield pairs_batch(found)
-    yield pairs_batch(cell_pairs(homes + probes, percent, nearest))
+        yield pairs_batch(found, told)
+    yield pairs_batch(pairs(), told)
 
 
-def pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+def pairs_batch(found: list[tuple], told: bool = False) -> pa.RecordBatch:
+    names = ["a", "b", "bucket"] if told else ["a", "b"]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(len(names))], names)
 
 
 def cell_pairs(rows: list[tuple], percent: int, nearest: int | None = None) -> list[tuple[int, int]]:
@@ -464,8 +492,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     links = cut_lineage(linked(near_sketches(stars, one, percent), docs, one, text, key, width, percent))
     scratch.drop("met")
     labels = cut_lineage(components(links))
-    for nearest in [*[NEAREST] * ROUNDS, None]:
-        found = open_pairs(members, labels, one, held, percent, nearest, scratch, docs, text, key, width)
+    last = "members"
+    for round_, nearest in enumerate([*[NEAREST] * ROUNDS, None]):
+        found, live = open_pairs(members, labels, one, held, percent, nearest, scratch, docs, text, key, width)
         if found.isEmpty():
             break
         more = cut_lineage(linked(found, docs, one, text, key, width, percent))
@@ -473,9 +502,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             # a link joins two labels: only the labels' own graph is new
             old = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
             labels = cut_lineage(components(old.union(more)))
+        if live is not None:
+            members, last = still_open(members, live, round_, scratch), f"open{round_}"
     smallest = one.select("name", "doc").join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     smallest = smallest.join(smallest.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("name", "component_id")
     named = rows.join(cut_lineage(smallest), "name", "left")
-    scratch.drop("one", "members", "held")
+    scratch.drop("one", last, "held")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
     return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), own).alias("component_id"))

@@ -82,3 +82,40 @@ def test_equal_buckets_count_once_and_pairs_are_sent_on_once(spark):
 
     members = spark.createDataFrame([(b, n) for b in (5, 3, 9) for n in (1, 2, 3)] + [(7, 1), (7, 2)], "bucket long, name long")
     assert sorted(r["bucket"] for r in jaccard.unlike_buckets(members).collect()) == [3, 7]
+
+
+def test_closed_buckets_are_not_looked_at_again(spark, monkeypatch):
+    # unlike texts with one opening meet in a bucket that has no open pair; near copies of another text stay open
+    random.seed(21)
+    held, open_pairs = [], jaccard.open_pairs
+    monkeypatch.setattr(jaccard, "open_pairs", lambda members, *a: held.append(members.count()) or open_pairs(members, *a))
+    rows = [(i, " ".join("all of them start alike".split() + [f"w{random.randrange(10**6)}" for _ in range(30)])) for i in range(40)]
+    long = [f"v{i}" for i in range(200)]
+    for i in range(40, 60):
+        rows.append((i, " ".join(f"y{random.randrange(10**6)}" if random.random() < 0.02 else w for w in long)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: set(jaccard.shingles(t).tolist()) for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i in range(40, 60):
+            for j in range(40, 60):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == want and len(held) > 1 and held[-1] < held[0]
+
+
+def test_texts_of_a_repeated_key_stay_apart(spark):
+    # x and a copy of it under the key of a; a and x are just below the threshold and their sketches leave them open
+    random.seed(22)
+    while True:
+        a = [f"w{i}" for i in range(200)]
+        x = [f"y{random.randrange(10**6)}" if random.random() < 0.025 else w for w in a]
+        m, n = (jaccard.shingles(" ".join(t)) for t in (a, x))
+        both = len(set(m.tolist()) & set(n.tolist()))
+        near = 9 * jaccard.sketch_distance(jaccard.bit_sketch(m), jaccard.bit_sketch(n)) <= len(m) + len(n)
+        met = set(jaccard.keys_of(m, 80)[0].tolist()) & set(jaccard.keys_of(n, 80)[0].tolist())
+        if 100 * both < 80 * (len(m) + len(n) - both) and near and met:
+            break
+    rows = [(5, " ".join(a)), (5, " ".join(x)), (3, " ".join(x))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 5)]
