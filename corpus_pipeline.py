@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scholia.llm import bpe, jaccard, language, mixing, quality
 from scholia.llm.queries import held_out, vocabulary_path
-from scholia.session import ensure_checkpoint_dir
+from scholia.session import cut_lineage, ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents of a smaller chance of the best grade go.
@@ -38,6 +38,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return language.predict(docs, model).where(~F.col("lang_rejected")).select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs whose key is not in gone; up to jaccard.BROADCAST_ROWS keys are sent to all tasks, so that no text moves."""
+    gone = cut_lineage(gone)
+    few = gone.limit(jaccard.BROADCAST_ROWS + 1).count() <= jaccard.BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the smallest doc_id of each group of similar documents stays; documents without words or id stay.
 
@@ -48,13 +55,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if copies.isEmpty():
         groups = jaccard.similar_groups(docs.select("doc_id", "text"))
         gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+        return without(docs, gone, "doc_id").select(*COLUMNS)
     again = docs.select(*COLUMNS).join(copies.withColumn("again", F.lit(True)), "doc_id", "left")
     own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
     keyed = again.withColumn("row_key", F.when(F.col("again"), own).otherwise(F.col("doc_id").cast("long")))
     groups = jaccard.similar_groups(keyed.select("row_key", "text"), key="row_key")
     gone = groups.where("component_id <> row_key").select("row_key").distinct()
-    kept = keyed.join(gone, "row_key", "left_anti")
+    kept = without(keyed, gone, "row_key")
     one = kept.where("again").groupBy("doc_id", "row_key").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return kept.where("again IS NULL").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 

@@ -200,6 +200,9 @@ class Pieces(dict):
                 self[piece] = known
         self.update(zip(new, encode(new)))
 
+    def known(self, piece: str) -> tuple[bytes, str] | None:
+        return self.get(piece) or self.older.get(piece)
+
     def forget(self) -> None:
         self.clear()
         self.older = {}
@@ -242,7 +245,9 @@ class Vocabulary:
         parts = [None if piece.isalpha() else self.words.findall(piece) for piece in pieces]
         words = {w for some in parts if some for w in some}
         words.update([piece for piece, some in zip(pieces, parts) if some is None])
-        known = self.word_ids(list(words))
+        # a word that was a piece of its own need not be merged again
+        known = {w: made for w in words if (made := self.kept.known(w))}
+        known |= self.word_ids([w for w in words if w not in known])
         out = []
         for piece, some in zip(pieces, parts):
             if some is None:
@@ -299,7 +304,9 @@ class Vocabulary:
 
     def all(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Packed ids of whole texts and the texts they decode to, by one look-up a piece."""
-        split = [self.pieces(t) for t in texts]
+        # copies of a text, which a mix puts side by side, are encoded once
+        distinct = list(dict.fromkeys(texts))
+        split = [self.pieces(t) for t in distinct]
         self.kept.learn(set().union(*[part for parts in split for part in parts[::2]]), self.encoded)
         known, made = self.kept.__getitem__, []
         for parts in split:
@@ -310,7 +317,8 @@ class Vocabulary:
                 else:
                     out += map(known, part)
             made.append((b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])))
-        return made
+        by_text = dict(zip(distinct, made))
+        return [by_text[t] for t in texts]
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of a whole text."""

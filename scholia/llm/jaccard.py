@@ -37,10 +37,11 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +72,6 @@ BUCKET_BITS = 48
 #: Largest broadcast list of texts to verify, in rows of two numbers; a longer one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,16 +81,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hash(word: bytes) -> int:
-    if (found := _known.get(word)) is None:
-        if len(_known) > 100_000:
-            _known.clear()
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            _known[word] = found
-    return found
-
-
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a whole text; A-Z count as a-z."""
     if not text:
@@ -99,7 +89,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    h = pd.util.hash_array(np.array(words, object), categorize=False)
     w = min(width, len(h))
     rolled = np.full(len(h) - w + 1, w, np.uint64)
     for i in range(w):
@@ -122,6 +112,12 @@ def parts_of(band: int, percent: int) -> tuple[int, int]:
     return most, most + 2 + most // 8
 
 
+@lru_cache(maxsize=32)
+def part_labels(band: int, parts: int) -> np.ndarray:
+    """A number for each part of a band's sketch."""
+    return mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 32))
+
+
 def keys_of(marks: np.ndarray, percent: int) -> list[np.ndarray]:
     """Join keys of a set, for its own band and, where a smaller partner may be there, the band below."""
     n, out = len(marks), []
@@ -130,14 +126,13 @@ def keys_of(marks: np.ndarray, percent: int) -> list[np.ndarray]:
     for at in {band, band - 1} if lower and band else {band}:
         most, parts = parts_of(at, percent)
         place = (mix(marks + np.uint64(at + 1)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        starts = np.flatnonzero(np.diff(place[order], prepend=-1))
-        value = np.zeros(parts, np.uint64)
-        full = place[order][starts]
-        value[full] = np.bitwise_xor.reduceat(marks[order], starts)
-        label = mix(np.arange(parts, dtype=np.uint64) + np.uint64((at + 1) << 32))
-        took = np.arange(parts) if parts - len(full) >= parts - most else full
-        out.append(mix(value[took] * _MIX + label[took]))
+        value, full = np.zeros(parts, np.uint64), np.zeros(parts, bool)
+        np.bitwise_xor.at(value, place, marks)
+        full[place] = True
+        if np.count_nonzero(full) > most:
+            out.append(mix(value[full] * _MIX + part_labels(at, parts)[full]))
+        else:
+            out.append(mix(value * _MIX + part_labels(at, parts)))
     return out
 
 
@@ -175,7 +170,7 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             columns = [batch.column(0), pa.array([len(m) for m in marks], pa.int64()), signed(np.array([digest(m) for m in marks], np.uint64)), pa.array(map(bit_sketch, marks), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "name", "bits"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(lambda batches: tidied(run(batches), _known.clear), "doc long, n long, name long, bits binary")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(lambda batches: tidied(run(batches)), "doc long, n long, name long, bits binary")
 
 
 def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
@@ -192,7 +187,7 @@ def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
                 marks = shingles(t, width)
                 if len(marks) and (name := digest(marks)) not in seen:
                     seen.add(name)
-                    found = np.unique(np.concatenate(keys_of(marks, percent)) & mask)
+                    found = np.concatenate(keys_of(marks, percent)) & mask
                     keys.append(found)
                     names.append(np.full(len(found), name, np.uint64))
             if len(seen) > 200_000:
@@ -202,6 +197,9 @@ def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
             key, name = np.concatenate(keys), np.concatenate(names).view(np.int64)
             order = np.lexsort((name, key))
             key, name = key[order], name[order]
+            # of equal keys of one set one counts
+            once = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
+            key, name = key[once], name[once]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             of = np.repeat(first, np.diff(np.append(first, len(key))))
             alone = of == np.arange(len(key))
@@ -213,7 +211,7 @@ def meetings(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([bucket, hub, pa.array(name), pa.array(deal)], ["bucket", "hub", "name", "deal"])
 
     # the columns that are mostly null stand together, which makes the shuffled rows pack well
-    rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(lambda batches: tidied(run(batches), _known.clear), "bucket long, hub long, name long, deal long")
+    rows = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(lambda batches: tidied(run(batches)), "bucket long, hub long, name long, deal long")
     least = F.min(F.when(F.col("hub").isNull(), F.col("name"))).over(Window.partitionBy("deal"))
     met = rows.withColumn("_least", least)
     return met.select(F.coalesce("bucket", "deal").alias("bucket"), "name", F.coalesce("hub", "_least").alias("hub")).where("name <> hub")
@@ -300,7 +298,7 @@ def linked(pairs: DataFrame, docs: DataFrame, one: DataFrame, text: str, key: st
 
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
     # dealt by name once: the joins of both sides find the sets where they are
-    sets = texts.select("name", "_text").mapInArrow(lambda batches: tidied(pack(batches), _known.clear), "name long, marks binary").dropDuplicates(["name"])
+    sets = texts.select("name", "_text").mapInArrow(lambda batches: tidied(pack(batches)), "name long, marks binary").dropDuplicates(["name"])
     joined = pairs.join(sets.select(F.col("name").alias("b"), F.col("marks").alias("y")), "b").join(
         sets.select(F.col("name").alias("a"), F.col("marks").alias("x")), "a"
     )
@@ -374,7 +372,7 @@ def divided(rows: DataFrame, division: int, docs: DataFrame, one: DataFrame, tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), signed(np.concatenate(keys))], ["name", "key"])
 
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
-    keys = texts.select("name", "_text").mapInArrow(lambda batches: tidied(run(batches), _known.clear), "name long, key long").distinct()
+    keys = texts.select("name", "_text").mapInArrow(lambda batches: tidied(run(batches)), "name long, key long").distinct()
     return rows.join(keys, "name").select(F.xxhash64("bucket", "key").alias("bucket"), "name", "label")
 
 

@@ -61,9 +61,10 @@ def document_counts(docs: DataFrame, text: str, bits: int) -> tuple[np.ndarray,
         total = np.zeros((1 << bits) + 1, np.int64)
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                found = np.unique(gram_buckets(value, bits))
-                total[found] += 1
-                total[-1] += bool(len(found))
+                found = np.zeros((1 << bits) + 1, bool)
+                found[gram_buckets(value, bits)] = True
+                found[-1] = found.any()
+                total += found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 

@@ -31,21 +31,18 @@ GRADES = 3
 BITS = 18
 #: Buckets of the shape features, after those of the words.
 SHAPES, STEPS = 6, 12
-_MARKS = re.compile(r"[^\w\s]+")
-_known: dict[str, int] = {}
+#: Runs of two marks or more.
+_MARKS = re.compile(r"[^\w\s]{2,}")
+_ENDS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 
 
-def bucket(word: str) -> int:
-    """Hash of a lower-case word without marks at its ends; kept per Python worker."""
-    if (found := _known.get(word)) is None:
-        if len(_known) > 60_000:
-            _known.clear()
-        # words keep a bucket of their marks as well: '###' or '!!' tells as much as a word
-        bare = word.strip("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~").lower()
-        found = crc32((bare or word).encode("utf-8", "replace")) & ((1 << BITS) - 1)
-        if len(word) <= 64:
-            _known[word] = found
-    return found
+def buckets(words: set[str]) -> np.ndarray:
+    """Hashes of words in lower case without marks at their ends; words hold no blanks."""
+    if not words:
+        return np.empty(0, np.int64)
+    # words keep a bucket of their marks as well: '###' or '!!' tells as much as a word
+    bare = " ".join([w.strip(_ENDS) or w for w in words])
+    return np.array(list(map(crc32, bare.lower().encode("utf-8", "replace").split(b" "))), np.int64) & ((1 << BITS) - 1)
 
 
 def step(x: float) -> int:
@@ -59,16 +56,17 @@ def features(text: str | None) -> np.ndarray:
     words = text.split()
     distinct = set(words)
     n, size = max(1, len(words)), max(1, len(text))
-    marked = sum(len(m) > 1 for w in distinct for m in _MARKS.findall(w)) / max(1, len(distinct))
+    # no run of marks crosses a blank, so one search does for all words
+    marked = len(_MARKS.findall(" ".join(distinct))) / max(1, len(distinct))
     lines = [x for x in text.split("\n") if x]
     shape = (
-        len(distinct) / n, marked, text.count("|") / n, sum(w.isupper() for w in words) / n,
+        len(distinct) / n, marked, text.count("|") / n, sum(map(str.isupper, words)) / n,
         min(1.0, (size / n) / 40), len(set(lines)) / max(1, len(lines)),
     )
     # shares count only where there are enough words to have one
     base, few = 1 << BITS, len(words) < 12
     shaped = [base + i * STEPS + (STEPS - 1 if few and i in (0, 4, 5) else step(x)) for i, x in enumerate(shape)]
-    return np.unique(np.fromiter((*map(bucket, distinct), *shaped), np.int64))
+    return np.unique(np.concatenate((buckets(distinct), np.array(shaped, np.int64))))
 
 
 @dataclass(frozen=True)
