@@ -190,7 +190,8 @@ class Pieces(dict):
     def learn(self, pieces: set[str], encode: Callable[[list[str]], list]) -> None:
         """From now until the next call, each of the pieces is there; new ones are encoded at once."""
         if len(self) >= self.most:
-            self.older = {p: made for p, made in self.items() if len(p) <= KEPT_LENGTH}
+            self.older.clear()
+            self.older.update((p, made) for p, made in self.items() if len(p) <= KEPT_LENGTH)
             self.clear()
         new = []
         for piece in pieces.difference(self):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 
 #: Rows handled at once, so that few texts are held twice.
-ROWS = 256
+ROWS = 128
 
 
 def few(source: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
